@@ -97,7 +97,8 @@ DEFAULT_TAG_EXCLUSIONS = [
 
 def default_curation(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocklist, aliases, exclusions) DataFrames holding the default rules."""
-    block = spark.createDataFrame([(t,) for t in DEFAULT_TAG_BLOCKLIST], "tag string")
-    alias = spark.createDataFrame(DEFAULT_TAG_ALIASES, "alias string, canonical string")
-    excl = spark.createDataFrame(DEFAULT_TAG_EXCLUSIONS, "context_tag string, excluded_tag string")
+    from cadence.plans.session import local_table
+    block = local_table(spark, [(t,) for t in DEFAULT_TAG_BLOCKLIST], "tag string")
+    alias = local_table(spark, DEFAULT_TAG_ALIASES, "alias string, canonical string")
+    excl = local_table(spark, DEFAULT_TAG_EXCLUSIONS, "context_tag string, excluded_tag string")
     return block, alias, excl

@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.plans.session import local_table
+
 # The five stand-in top tracks per tagged act, best first.
 TOP_TRACK_SLOTS = [("view", 1), ("b-side", 2), ("click", 3), ("encore", 4), ("purchase", 5)]
 
@@ -80,18 +82,17 @@ class TestTables:
     # B.4 -----------------------------------------------------------------
     @cached_property
     def tag_blocklist(self) -> DataFrame:
-        return self.spark.createDataFrame([("old rod",), ("small gear",)], "tag string")
+        return local_table(self.spark, [("old rod",), ("small gear",)], "tag string")
 
     @cached_property
     def tag_aliases(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [("hot ring", "warm ring"), ("cold ring", "warm ring")], "alias string, canonical string")
+        return local_table(self.spark, [("hot ring", "warm ring"), ("cold ring", "warm ring")],
+                           "alias string, canonical string")
 
     @cached_property
     def tag_exclusions(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [("red plate", "blue ring"), ("hot bolt", "warm ring")],
-            "context_tag string, excluded_tag string")
+        return local_table(self.spark, [("red plate", "blue ring"), ("hot bolt", "warm ring")],
+                           "context_tag string, excluded_tag string")
 
     @property
     def curation(self) -> tuple[DataFrame, DataFrame, DataFrame]:
