@@ -57,10 +57,11 @@ FROM (SELECT DISTINCT artist_name, CAST(substr(artist_name, 5) AS INT) AS k
 CROSS JOIN (SELECT * FROM (VALUES ('view', 1), ('b-side', 2), ('click', 3),
                                   ('encore', 4), ('purchase', 5)) v(track_name, rnk)) t""",
     "artist_feedback": """
+SELECT *, CAST(NULL AS TIMESTAMP) AS expanded_at FROM (
 SELECT DISTINCT user_id, 'ACT ' || CAST(100 + user_id AS VARCHAR) AS artist_name, 'block' AS verdict
 FROM plays
 UNION ALL
-SELECT DISTINCT user_id, 'Act ' || CAST(user_id AS VARCHAR), 'seed' FROM plays""",
+SELECT DISTINCT user_id, 'Act ' || CAST(user_id AS VARCHAR), 'seed' FROM plays) f""",
     "users": """
 SELECT c_custkey AS user_id, m.last_synced_at
 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_synced_at
