@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.operators.common import akey, top_k, utc_plays
-from cadence.operators.taste import artist_vectors, play_scores, recommend
+from cadence.operators.taste import play_scores, recommend, scoring_vectors
 
 # Fixed values (knobs of the reference's song lists)
 FAVORITE_ARTISTS = 15
@@ -23,7 +23,7 @@ def refresh(plays: DataFrame, corpus: DataFrame, feedback: DataFrame | None,
     Shared work (idf, artist vectors) is planned once for all users.  A user
     whose taste vector is empty gets no new rows and keeps the old cache;
     an empty corpus yields no new rows, so the old cache stays whole."""
-    vectors = artist_vectors(corpus)
+    vectors = scoring_vectors(corpus)
     new = recommend(play_scores(plays, as_of), vectors, feedback, k=k)
     if old_cache is None:
         return new

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.timeops import as_of_ntz, utc_micros
 from cadence.operators.common import akey, top_k, utc_plays
+from cadence.plans.session import materialize
 
 # Fixed values (knobs of the reference's recommender)
 TASTE_HALF_LIFE_DAYS = 90
@@ -63,6 +64,22 @@ def artist_vectors(corpus: DataFrame, idf_df: DataFrame | None = None) -> DataFr
                      ((F.col("weight") / F.col("_total")) * F.col("idf")).alias("value")))
 
 
+def scoring_vectors(corpus: DataFrame) -> DataFrame:
+    """Artist vectors with both the raw value (for taste vectors) and the
+    unit-length value ``unit`` (for cosines), written once to the shared
+    checkpoint folder: every user is scored against the same table, so it is
+    computed once, like the reference's shared corpus/idf/vector pass."""
+    v = artist_vectors(corpus)
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("artist_name")))
+    v = v.withColumn("unit", F.when(norm > 0, F.col("value") / norm))
+    return materialize(v)
+
+
+def scoring_vectors_from(vectors: DataFrame) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("artist_name")))
+    return vectors.withColumn("unit", F.when(norm > 0, F.col("value") / norm))
+
+
 def unit(vectors: DataFrame, keys: list[str]) -> DataFrame:
     """Scale each vector to length 1; zero vectors and zero entries dropped."""
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys)))
@@ -115,9 +132,12 @@ def recommend(scores: DataFrame, vectors: DataFrame, feedback: DataFrame | None
     the user has one.  Scores <= 0 are dropped; played, seeded and blocked
     artists (folded) are removed *before* ranking; users without a taste
     vector get no rows.  Output (user_id, artist_name, score, rank)."""
+    if "unit" not in vectors.columns:
+        vectors = scoring_vectors_from(vectors)
     taste = taste_vectors(scores, vectors)
     users = taste.select("user_id").distinct()
-    au = unit(vectors, ["artist_name"]).select("artist_name", "akey", "tag", "value")
+    au = (vectors.filter(F.col("unit").isNotNull() & (F.col("unit") != 0))
+                 .select("artist_name", "akey", "tag", F.col("unit").alias("value")))
     tu = unit(taste, ["user_id"]).withColumn("kind", F.lit("t"))
     parts = tu
     if feedback is not None:

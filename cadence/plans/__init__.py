@@ -3,5 +3,6 @@ from cadence.plans.session import (  # noqa: F401
     checkpoint_root,
     get_spark,
     local_table,
+    materialize,
     scratch_path,
 )

@@ -90,3 +90,13 @@ def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
         df = spark.createDataFrame([], st)
     df._cadence_rows = len(rows)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For intermediate results that several branches of a plan reuse (the
+    artist vectors every user is scored against): computed once, lineage cut,
+    and safe if executors are lost (never a local checkpoint)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

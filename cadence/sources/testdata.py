@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 
 from cadence.plans.session import local_table
 
+# Saved-search templates run for every user: (query, tz, sort, direction,
+# start, end); "{u}" is replaced by the user's id.
+SEARCH_TEMPLATES = [
+    ('artist:"act {u}" part:evening', "America/New_York", "listened_at", "desc", None, None),
+    ("year:2024 month:jan view", "UTC", "artist_name", "asc", "2024-01-08 00:00:00", "2024-01-15 00:00:00"),
+    ("date:2024-01-15 day:monday", "America/New_York", "album_name", "desc", None, None),
+    ('ALBUM:"album 1" day:sat', "Mars/Phobos", "track_name", "asc", None, None),
+    ("%", "UTC", "bogus", "sideways", None, None),
+    ("month:13 year:abc click", "UTC", "listened_at", "asc", None, None),
+    ("artist:Guns N' Roses", "UTC", "listened_at", "desc", None, None),
+    ("date:2024-02-31", "UTC", "listened_at", "desc", None, None),
+    ("", "Asia/Tokyo", "album_name", "asc", None, None),
+    ("act_1", "UTC", "artist_name", "desc", None, None),
+    ('track:"" vie', "America/New_York", "listened_at", "desc", None, None),
+    ("part:night day:tue date:20240116", "Asia/Tokyo", "listened_at", "asc", None, None),
+    ('YEAR:2024 month:1 artist:"ACT"', "America/New_York", "album_name", "desc", None, None),
+]
+
 # The five stand-in top tracks per tagged act, best first.
 TOP_TRACK_SLOTS = [("view", 1), ("b-side", 2), ("click", 3), ("encore", 4), ("purchase", 5)]
 
@@ -166,3 +184,20 @@ class TestTables:
         return (self.table("part")
                 .select(F.concat(F.lit("act "), (F.col("p_partkey") % 150).cast("string")).alias("name"))
                 .distinct())
+
+    @cached_property
+    def searches(self) -> DataFrame:
+        """Every template above for every user of ``plays`` (search_id 'u-i')."""
+        users = self.plays.select("user_id").distinct()
+        rows = []
+        for i, (q, tz, sort, direction, start, end) in enumerate(SEARCH_TEMPLATES):
+            head, _, tail = q.partition("{u}")
+            query = (F.concat(F.lit(head), F.col("user_id").cast("string"), F.lit(tail))
+                     if "{u}" in q else F.lit(q))
+            rows.append(F.struct(F.lit(i).alias("i"), query.alias("query"), F.lit(tz).alias("tz"),
+                                 F.lit(sort).alias("sort"), F.lit(direction).alias("direction"),
+                                 F.lit(start).cast("string").alias("start"),
+                                 F.lit(end).cast("string").alias("end")))
+        s = users.select("user_id", F.inline(F.array(*rows)))
+        return s.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string"))
+                        .alias("search_id"), "user_id", "query", "tz", "sort", "direction", "start", "end")
