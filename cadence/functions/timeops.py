@@ -65,6 +65,8 @@ def _tz_col(tz: str | Column) -> Column:
 def local_ts(col: Column | str, tz: str | Column) -> Column:
     """UTC wall clock -> the listener's wall clock (DST-aware)."""
     c = F.col(col) if isinstance(col, str) else col
+    if isinstance(tz, str) and check_tz(tz) == "UTC":
+        return c  # UTC wall clock already
     return F.convert_timezone(F.lit("UTC"), _tz_col(tz), c)
 
 
@@ -137,3 +139,13 @@ def _ntz_lit(value: _dt.datetime) -> Column:
 
 def as_of_lit(as_of) -> Column:
     return _ntz_lit(as_of_ntz(as_of))
+
+
+def valid_tz_col(tz: Column | str) -> Column:
+    """A tz column with unknown zones replaced by 'UTC' (X5 for a column):
+    one IN list over the known zones, planned as a hash-set lookup."""
+    name = tz if isinstance(tz, str) else None
+    if name is None:
+        raise TypeError("valid_tz_col takes a column name")
+    zones = ", ".join("'" + z.replace("'", "") + "'" for z in known_zones())
+    return F.expr(f"CASE WHEN `{name}` IN ({zones}) THEN `{name}` ELSE 'UTC' END")

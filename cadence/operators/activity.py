@@ -15,7 +15,7 @@ from cadence.functions.timeops import (
     local_period,
     part_of_day,
 )
-from cadence.operators.common import akey, in_window, round_half_up_ratio, utc_plays
+from cadence.operators.common import akey, in_window, modal_spelling, round_half_up_ratio, utc_plays
 
 
 def streaks(plays: DataFrame, tz: str = "UTC", as_of=None) -> DataFrame:
@@ -70,14 +70,20 @@ def loyalty(plays: DataFrame, tz: str = "UTC", days: int | None = None, as_of=No
     """
     tz = check_tz(tz)
     p = in_window(utc_plays(plays, "artist_name"), days, as_of)
-    p = p.select("user_id", "artist_name", local_date("listened_at", tz).alias("play_day"))
-    per = p.groupBy("user_id", akey().alias("akey")).agg(
-        F.mode("artist_name", True).alias("artist_name"),
-        F.count(F.lit(1)).alias("plays"),
-        F.countDistinct("play_day").alias("active_days"),
-        F.min("play_day").alias("first_day"),
-        F.max("play_day").alias("last_day"),
-    )
+    # one pre-aggregate (user, artist key, spelling, local day) feeds both the
+    # day statistics and the modal spelling; it is far smaller than plays
+    per_day = (p.groupBy("user_id", akey().alias("akey"), "artist_name",
+                         local_date("listened_at", tz).alias("play_day"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    days_ = (per_day.groupBy("user_id", "akey", "play_day").agg(F.sum("n").alias("n"))
+                    .groupBy("user_id", "akey").agg(
+                        F.sum("n").alias("plays"),
+                        F.count(F.lit(1)).alias("active_days"),
+                        F.min("play_day").alias("first_day"),
+                        F.max("play_day").alias("last_day")))
+    spelling = modal_spelling(per_day.groupBy("user_id", "akey", "artist_name").agg(F.sum("n").alias("n")),
+                              ["user_id", "akey"])
+    per = days_.join(spelling, ["user_id", "akey"])
     latest = F.max("last_day").over(Window.partitionBy("user_id"))
     per = per.withColumn("days_since_first_play",
                          (F.datediff(latest, F.col("first_day")) + 1).cast("long"))

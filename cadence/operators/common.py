@@ -49,3 +49,14 @@ def top_k(df: DataFrame, k: int, partition: list[str], order: list[Column],
     name = rank_col or "_rn"
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
     return out if rank_col else out.drop(name)
+
+
+def modal_spelling(counts: DataFrame, keys: list[str], name: str = "artist_name",
+                   count_col: str = "n") -> DataFrame:
+    """The most frequent spelling per ``keys`` from per-spelling counts; ties
+    go to the lowest spelling (as ``mode() WITHIN GROUP (ORDER BY name)``).
+
+    A min over struct(-count, name) is a plain hash aggregate with map-side
+    partial results -- much cheaper than the generic ``mode`` buffer."""
+    best = F.min(F.struct((-F.col(count_col)).alias("_nn"), F.col(name).alias("_v")))
+    return counts.groupBy(*keys).agg(best.alias("_m")).select(*keys, F.col("_m._v").alias(name))

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.functions.search import like_pattern, parse_search
-from cadence.functions.timeops import known_zones, local_date, part_of_day, weekday
+from cadence.functions.search import like_pattern, parse_searches
+from cadence.functions.timeops import local_date, part_of_day, valid_tz_col, weekday
 from cadence.operators.common import utc_plays
 
 SORT_COLUMNS = ["listened_at", "artist_name", "track_name", "album_name"]
@@ -28,20 +28,53 @@ def prepare_searches(searches: DataFrame) -> DataFrame:
     def opt(name, default):
         return F.col(name) if name in cols else F.lit(default)
 
-    tz = opt("tz", "UTC")
     sort = opt("sort", "listened_at")
     direction = F.lower(opt("direction", "desc"))
-    s = searches.select(
-        "search_id", "user_id", parse_search(F.col("query")).alias("f"),
-        F.when(tz.isin(*known_zones()), tz).otherwise(F.lit("UTC")).alias("tz"),
-        F.when(sort.isin(*SORT_COLUMNS), sort).otherwise(F.lit("listened_at")).alias("sort"),
-        F.when(direction == "asc", F.lit("asc")).otherwise(F.lit("desc")).alias("direction"),
-        opt("start", None).cast("timestamp_ntz").alias("start"),
-        opt("end", None).cast("timestamp_ntz").alias("end"))
-    pats = {k: F.transform(F.col(f"f.{k}"), like_pattern) for k in ("artist", "track", "album", "free")}
+    base = searches.select("search_id", "user_id", "query",
+                           valid_tz_col("tz").alias("tz") if "tz" in cols else F.lit("UTC").alias("tz"),
+                           sort.alias("sort"), direction.alias("direction"),
+                           opt("start", None).alias("start"), opt("end", None).alias("end"))
+    s = parse_searches(base).select(
+        "search_id", "user_id", "f", "tz",
+        F.when(F.col("sort").isin(*SORT_COLUMNS), F.col("sort")).otherwise(F.lit("listened_at")).alias("sort"),
+        F.when(F.col("direction") == "asc", F.lit("asc")).otherwise(F.lit("desc")).alias("direction"),
+        F.col("start").cast("timestamp_ntz").alias("start"),
+        F.col("end").cast("timestamp_ntz").alias("end"))
+    # per value: (lower-cased value, LIKE pattern or NULL when the value has
+    # no wildcard, in which case a substring test is exactly the ILIKE)
+    def term(v):
+        wild = v.contains("%") | v.contains("_")
+        return F.struct(F.lower(v).alias("low"), F.when(wild, like_pattern(v)).alias("pat"))
+    pats = {k: F.transform(F.col(f"f.{k}"), term) for k in ("artist", "track", "album", "free")}
     return s.select("*", *[v.alias(f"{k}_pat") for k, v in pats.items()])
 
 
+def _ilike(col: str, t: Column) -> Column:
+    """``col ILIKE '%v%'``: a plain substring test on the play's lower-cased
+    field (computed once per play, before the join) unless the value carries
+    a wildcard (then a LIKE with the search's pattern)."""
+    return F.when(t["pat"].isNull(), F.col(f"_{col}_lc").contains(t["low"])) \
+            .otherwise(F.ilike(F.col(col), t["pat"]))
+
+
+UNROLL = 4
+
+
+def _all_or_empty(arr: str, pred) -> Column:
+    """``forall(arr, pred)``, true for an empty list.  Higher-order functions
+    run interpreted, outside whole-stage codegen, so the first ``UNROLL``
+    terms are tested positionally in generated code and only longer lists
+    fall back to ``forall`` over the rest."""
+    a = F.col(arr)
+    n = F.size(a)
+    cond = None
+    for i in range(UNROLL):
+        term = (n <= i) | pred(F.get(a, i))
+        cond = term if cond is None else cond & term
+    rest = (n <= UNROLL) | F.forall(F.slice(a, UNROLL + 1, 1 << 20), pred)
+    return cond & rest
+
+
 def _any_or_empty(arr: str, value: Column) -> Column:
     return (F.size(F.col(arr)) == 0) | F.array_contains(F.col(arr), value)
 
@@ -55,13 +88,14 @@ def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
     reference behaviour."""
     s = prepare_searches(searches)
     p = utc_plays(plays, "artist_name", "track_name", "album_name")
+    p = p.select("*", *[F.lower(c).alias(f"_{c}_lc") for c in ("artist_name", "track_name", "album_name")])
     j = s.join(p, "user_id")
     ts = F.col("listened_at")
     cond = (
-        F.forall("artist_pat", lambda x: F.ilike(F.col("artist_name"), x))
-        & F.forall("track_pat", lambda x: F.ilike(F.col("track_name"), x))
-        & F.forall("album_pat", lambda x: F.ilike(F.col("album_name"), x))
-        & F.forall("free_pat", lambda x: F.ilike(F.col("artist_name"), x) | F.ilike(F.col("track_name"), x))
+        _all_or_empty("artist_pat", lambda x: _ilike("artist_name", x))
+        & _all_or_empty("track_pat", lambda x: _ilike("track_name", x))
+        & _all_or_empty("album_pat", lambda x: _ilike("album_name", x))
+        & _all_or_empty("free_pat", lambda x: _ilike("artist_name", x) | _ilike("track_name", x))
         & _any_or_empty("f.years", F.year(ts))
         & _any_or_empty("f.months", F.month(ts))
         & _any_or_empty("f.dates", local_date(ts, F.col("tz")))
@@ -89,14 +123,17 @@ def page(plays: DataFrame, searches: DataFrame, limit: int = 50, offset: int = 0
     limit = max(1, min(int(limit), MAX_PAGE))
     offset = max(0, int(offset))
     m = matches(plays, searches)
-    v = (F.when(F.col("sort") == "artist_name", F.col("artist_name"))
-          .when(F.col("sort") == "track_name", F.col("track_name"))
-          .when(F.col("sort") == "album_name", F.col("album_name"))
-          .otherwise(F.date_format("listened_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    by_time = F.col("sort") == "listened_at"
+    sv = (F.when(F.col("sort") == "artist_name", F.col("artist_name"))
+           .when(F.col("sort") == "track_name", F.col("track_name"))
+           .when(F.col("sort") == "album_name", F.col("album_name")))
+    tv = F.when(by_time, F.col("listened_at"))
     asc = F.col("direction") == "asc"
+    nulls = F.when(by_time, F.lit(False)).when(asc, sv.isNull()).otherwise(sv.isNotNull())
     w = Window.partitionBy("search_id").orderBy(
-        F.when(asc, v.isNull()).otherwise(v.isNotNull()).asc(),
-        F.when(asc, v).asc(), F.when(~asc, v).desc(),
+        nulls.asc(),
+        F.when(asc, sv).asc(), F.when(~asc, sv).desc(),
+        F.when(asc, tv).asc(), F.when(~asc, tv).desc(),
         F.col("listened_at").desc(), F.col("track_name").asc(), F.col("artist_name").asc())
     ranked = m.withColumn("pos", F.row_number().over(w))
     return (ranked.filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit))

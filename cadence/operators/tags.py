@@ -50,7 +50,10 @@ def tag_corpus(clean: DataFrame) -> DataFrame:
     """One spelling per case-folded artist (its modal spelling among the
     clean rows, ties to the lowest) with the max weight per tag."""
     k = clean.withColumn("akey", F.lower("artist_name"))
-    canon = k.groupBy("akey").agg(F.mode("artist_name", True).alias("display"))
+    per = k.groupBy("akey", "artist_name").agg(F.count(F.lit(1)).alias("n"))
+    canon = (per.groupBy("akey")
+                .agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col("artist_name").alias("v"))).alias("_m"))
+                .select("akey", F.col("_m.v").alias("display")))
     per_tag = k.groupBy("akey", "tag").agg(F.max("weight").alias("weight"))
     return (per_tag.join(canon, "akey")
                    .select(F.col("display").alias("artist_name"), "tag", "weight"))

@@ -38,10 +38,12 @@ def play_scores(plays: DataFrame, as_of=None, half_life_days: float = TASTE_HALF
         as_of_us = (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
         age_s = (F.lit(as_of_us) - utc_micros("listened_at")) / F.lit(1e6)
         w = F.pow(F.lit(0.5), age_s / F.lit(86400.0 * half_life_days))
-    return (p.groupBy("user_id", akey().alias("akey"))
-             .agg(F.mode("artist_name", True).alias("artist_name"),
-                  F.count(F.lit(1)).alias("plays"),
-                  F.sum(w).alias("score")))
+    per = (p.groupBy("user_id", akey().alias("akey"), "artist_name")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("s")))
+    return (per.groupBy("user_id", "akey")
+               .agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col("artist_name").alias("v"))).alias("_m"),
+                    F.sum("n").alias("plays"), F.sum("s").alias("score"))
+               .select("user_id", "akey", F.col("_m.v").alias("artist_name"), "plays", "score"))
 
 
 def idf(corpus: DataFrame) -> DataFrame:

@@ -72,8 +72,11 @@ def top_artists(plays: DataFrame, feedback: DataFrame | None = None,
         blocked = (feedback.filter(F.col("verdict") == "block")
                            .select("user_id", akey().alias("akey")))
         p = p.join(blocked, ["user_id", "akey"], "left_anti")
-    g = p.groupBy("user_id", "akey").agg(F.mode("artist_name", True).alias("artist_name"),
-                                        F.count(F.lit(1)).alias("plays"))
+    per = p.groupBy("user_id", "akey", "artist_name").agg(F.count(F.lit(1)).alias("n"))
+    g = (per.groupBy("user_id", "akey")
+            .agg(F.min(F.struct((-F.col("n")).alias("nn"), F.col("artist_name").alias("v"))).alias("_m"),
+                 F.sum("n").alias("plays"))
+            .select("user_id", "akey", F.col("_m.v").alias("artist_name"), "plays"))
     return top_k(g, limit, ["user_id"], [F.desc("plays"), F.asc("akey")], rank_col="rank") \
         .select("user_id", "artist_name", "plays", "rank")
 
