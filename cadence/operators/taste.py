@@ -74,7 +74,7 @@ def scoring_vectors(corpus: DataFrame) -> DataFrame:
     v = artist_vectors(corpus)
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("artist_name")))
     v = v.withColumn("unit", F.when(norm > 0, F.col("value") / norm))
-    return materialize(v)
+    return materialize(v, "artist-vectors")
 
 
 def scoring_vectors_from(vectors: DataFrame) -> DataFrame:

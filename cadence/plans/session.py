@@ -92,11 +92,15 @@ def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back.
 
     For intermediate results that several branches of a plan reuse (the
-    artist vectors every user is scored against): computed once, lineage cut,
-    and safe if executors are lost (never a local checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    artist vectors every user is scored against): computed in one job,
+    lineage cut, on shared storage so it survives lost executors (never a
+    local checkpoint), and read back with real size statistics for AQE."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -165,3 +165,18 @@ def _json_string(c: Column) -> Column:
     """A JSON string literal for ``c`` (quotes and escapes by to_json)."""
     j = F.to_json(F.array(c))
     return j.substr(F.lit(2), F.length(j) - 2)
+
+
+def render_track_info(asked: DataFrame, durations: DataFrame) -> DataFrame:
+    """track.getInfo answers for the asked (artist, track) pairs: a track
+    with its duration, a track without one (stored length 0), or an API
+    error for tracks the source does not know."""
+    d = durations.select("artist_name", "track_name", "duration_ms")
+    j = asked.select("artist_name", "track_name").join(d, ["artist_name", "track_name"], "left")
+    track = F.when(F.col("duration_ms") > 0,
+                   F.to_json(F.struct(F.col("track_name").alias("name"),
+                                      F.col("duration_ms").cast("string").alias("duration")))) \
+             .otherwise(F.to_json(F.struct(F.col("track_name").alias("name"))))
+    value = F.when(F.col("duration_ms").isNull(), F.lit('{"error":6,"message":"Track not found"}')) \
+             .otherwise(F.concat(F.lit('{"track":'), track, F.lit("}")))
+    return j.select("artist_name", "track_name", value.alias("value"))

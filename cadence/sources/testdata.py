@@ -201,3 +201,13 @@ class TestTables:
         s = users.select("user_id", F.inline(F.array(*rows)))
         return s.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string"))
                         .alias("search_id"), "user_id", "query", "tz", "sort", "direction", "start", "end")
+
+    @cached_property
+    def sync_runs(self) -> DataFrame:
+        """Sync runs per customer: one per shipped line, started at the ship
+        date; runs of returned lines ('R') count as failed."""
+        li = self.table("lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
+        o = self.table("orders").select("o_orderkey", "o_custkey")
+        return (li.join(o, li.l_orderkey == o.o_orderkey)
+                  .select(F.col("o_custkey").alias("user_id"), F.col("l_shipdate").alias("started_at"),
+                          (F.col("l_returnflag") != "R").alias("completed")))
