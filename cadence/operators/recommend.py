@@ -101,3 +101,15 @@ def songs_from_new_artists(recs: DataFrame, top_tracks: DataFrame,
                     .select("artist_name", "track_name", F.col("rank").alias("track_rank")))
     return (recs.select("user_id", "artist_name", F.col("score").alias("artist_score"), "rank")
                 .join(tt, "artist_name"))
+
+
+def bundle(recs: DataFrame, plays: DataFrame, top_tracks: DataFrame,
+           feedback: DataFrame) -> dict[str, DataFrame]:
+    """What a user's recommendation page shows, as four DataFrames:
+    cached artists, songs from favourites, songs from new artists and the
+    feedback list."""
+    from cadence.operators.worklists import feedback_list
+    return {"artists": recs.select("user_id", "artist_name", "score", "rank"),
+            "songs_from_favorites": songs_from_favourites(plays, top_tracks),
+            "songs_from_new_artists": songs_from_new_artists(recs, top_tracks),
+            "feedback": feedback_list(feedback)}
