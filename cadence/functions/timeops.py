@@ -99,12 +99,10 @@ def weekday(col: Column | str, tz: str | Column) -> Column:
     return (F.dayofweek(local_ts(col, tz)) - 1).cast("int")
 
 
-def utc_micros(col: Column | str) -> Column:
-    """Microseconds since the epoch of a UTC ``timestamp_ntz`` (session-free)."""
-    c = col if isinstance(col, str) else None
-    if c is None:
-        raise TypeError("utc_micros takes a column name")
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{c}`)")
+def utc_micros(col: str) -> Column:
+    """Microseconds since the epoch of a UTC ``timestamp_ntz`` column
+    (session-zone free)."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), F.col(col))
 
 
 def days_norm(days: int | None) -> int | None:

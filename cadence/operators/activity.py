@@ -3,8 +3,6 @@ A7, A8, A20, F1).  All users in one plan; ``user_id`` leads every key."""
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +145,3 @@ def recent_plays(plays: DataFrame, days: int, as_of) -> DataFrame:
     p = utc_plays(plays, "artist_name", "track_name", "album_name")
     return in_window(p, days, as_of)
 
-
-def as_of_default(as_of):
-    return as_of if as_of is not None else _dt.datetime.utcnow()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cadence.oracle import half_up
 
 PAIRS = """
 , pusers AS (SELECT DISTINCT user_id FROM plays)

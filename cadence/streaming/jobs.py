@@ -46,3 +46,20 @@ def land_replayed(spark: SparkSession, plays: DataFrame, name: str) -> str:
     path = scratch_path(spark, f"landing-{name}")
     land_pages(replayed_files(plays), path, "file")
     return path
+
+
+def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = None) -> None:
+    """Run ``stream`` with trigger(availableNow) through a foreachBatch
+    function and wait for it."""
+    spark = stream.sparkSession
+    ck = checkpoint or scratch_path(spark, f"stream-{name}")
+    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ck)
+               .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def land_parquet(df: DataFrame, path: str, file_col: str) -> None:
+    """Land rows as parquet files, one folder per ``file_col``."""
+    df.write.mode("overwrite").partitionBy(file_col).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cadence.functions.timeops import check_tz, local_ts
 from cadence.operators.binges import peak_7d
 from cadence.schemas import PLAY_KEY
-from cadence.sources.ingest import append_new, feedback_state
+from cadence.sources.ingest import append_new
 from cadence.sources.payloads import parse_recent_tracks
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -117,26 +117,30 @@ def binge_alerts(table_path: str, alerts_path: str, min_plays: int = 6):
 
 def feedback_state_batches(state_path: str):
     """T5: foreachBatch function merging feedback events into the latest-wins
-    state; each batch writes a new snapshot folder ``batch=<id>`` (readers take
-    the highest), so a failed batch never leaves a half-written state."""
+    state.  The snapshot keeps the latest event per (user, folded artist)
+    with its time -- 'clear' included, as a tombstone -- so an older event in
+    a later batch can never resurrect a cleared verdict.  Each batch writes a
+    new snapshot folder ``batch=<id>``; readers take the highest, so a failed
+    batch never leaves a half-written state."""
     def run(events: DataFrame, epoch_id: int) -> None:
         spark = events.sparkSession
-        prev = latest_snapshot(spark, state_path)
         ev = events.select("user_id", "artist_name", "action", "event_ts")
+        prev = latest_snapshot(spark, state_path)
         if prev is not None:
-            as_events = prev.select("user_id", "artist_name", F.col("verdict").alias("action"),
-                                    F.col("event_ts"))
-            ev = as_events.unionByName(ev)
-        state = feedback_state(ev.withColumn("event_ts", F.col("event_ts")), ("event_ts",))
-        last_ts = (ev.groupBy("user_id", F.lower("artist_name").alias("_k"))
-                     .agg(F.max("event_ts").alias("event_ts")))
-        state = (state.withColumn("_k", F.lower("artist_name"))
-                      .join(last_ts, ["user_id", "_k"]).drop("_k"))
-        state.write.mode("overwrite").parquet(f"{state_path}/batch={epoch_id}")
+            ev = prev.select("user_id", "artist_name", F.col("verdict").alias("action"), "event_ts") \
+                     .unionByName(ev)
+        last = F.max_by(F.struct("artist_name", "action", "event_ts"), F.col("event_ts"))
+        snap = (ev.groupBy("user_id", F.lower("artist_name").alias("_k")).agg(last.alias("_l"))
+                  .select("user_id", F.col("_l.artist_name").alias("artist_name"),
+                          F.col("_l.action").alias("verdict"), F.col("_l.event_ts").alias("event_ts"),
+                          F.lit(None).cast("timestamp_ntz").alias("expanded_at")))
+        snap.write.mode("overwrite").parquet(f"{state_path}/batch={epoch_id}")
     return run
 
 
 def latest_snapshot(spark: SparkSession, state_path: str) -> DataFrame | None:
+    """The newest snapshot written by ``feedback_state_batches`` (with
+    tombstones)."""
     try:
         df = spark.read.parquet(state_path)
     except Exception:  # noqa: BLE001 - nothing written yet
@@ -145,6 +149,14 @@ def latest_snapshot(spark: SparkSession, state_path: str) -> DataFrame | None:
     return df.filter(F.col("batch") == top).drop("batch")
 
 
+def current_feedback(spark: SparkSession, state_path: str) -> DataFrame | None:
+    """The live verdicts: the newest snapshot without tombstones."""
+    snap = latest_snapshot(spark, state_path)
+    if snap is None:
+        return None
+    return snap.filter(F.col("verdict") != "clear").select("user_id", "artist_name", "verdict", "expanded_at")
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

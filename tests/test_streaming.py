@@ -82,8 +82,11 @@ def test_feedback_state_batches(spark):
     run = ST.feedback_state_batches(path)
     run(b1, 0)
     run(b2, 1)
-    state = ST.latest_snapshot(spark, path).collect()
+    state = ST.current_feedback(spark, path).collect()
     assert [(r.artist_name, r.verdict) for r in state] == [("a", "block")]
+    # an older event arriving late does not bring back the cleared verdict
+    run(spark.createDataFrame([(ALICE, "B", "seed", t0 + dt.timedelta(minutes=30))], schema), 2)
+    assert [(r.artist_name, r.verdict) for r in ST.current_feedback(spark, path).collect()] == [("a", "block")]
     assert [(r.artist_name, r.verdict) for r in I.feedback_state(b1.unionByName(b2)).collect()] == [("a", "block")]
 
 
