@@ -60,6 +60,13 @@ def _ilike(col: str, t: Column) -> Column:
 UNROLL = 4
 
 
+def _unless(skip: Column, test: Column) -> Column:
+    """``skip OR test`` written as CASE: subexpression elimination never
+    hoists what sits inside a CASE branch, so ``test`` (a time-zone
+    conversion, a substring test) is only evaluated when ``skip`` is false."""
+    return F.when(skip, F.lit(True)).otherwise(test)
+
+
 def _all_or_empty(arr: str, pred) -> Column:
     """``forall(arr, pred)``, true for an empty list.  Higher-order functions
     run interpreted, outside whole-stage codegen, so the first ``UNROLL``
@@ -69,14 +76,13 @@ def _all_or_empty(arr: str, pred) -> Column:
     n = F.size(a)
     cond = None
     for i in range(UNROLL):
-        term = (n <= i) | pred(F.get(a, i))
+        term = _unless(n <= i, pred(F.get(a, i)))
         cond = term if cond is None else cond & term
-    rest = (n <= UNROLL) | F.forall(F.slice(a, UNROLL + 1, 1 << 20), pred)
-    return cond & rest
+    return cond & _unless(n <= UNROLL, F.forall(F.slice(a, UNROLL + 1, 1 << 20), pred))
 
 
 def _any_or_empty(arr: str, value: Column) -> Column:
-    return (F.size(F.col(arr)) == 0) | F.array_contains(F.col(arr), value)
+    return _unless(F.size(F.col(arr)) == 0, F.array_contains(F.col(arr), value))
 
 
 def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
         & _any_or_empty("f.dates", local_date(ts, F.col("tz")))
         & _any_or_empty("f.days", weekday(ts, F.col("tz")))
         & _any_or_empty("f.parts", part_of_day(ts, F.col("tz")))
-        & (F.col("start").isNull() | (ts >= F.col("start")))
-        & (F.col("end").isNull() | (ts < F.col("end")))
+        & _unless(F.col("start").isNull(), ts >= F.col("start"))
+        & _unless(F.col("end").isNull(), ts < F.col("end"))
     )
     return j.filter(F.coalesce(cond, F.lit(False))).select(
         "search_id", "user_id", "artist_name", "track_name", "album_name", "listened_at",
