@@ -48,9 +48,10 @@ def play_scores(plays: DataFrame, as_of=None, half_life_days: float = TASTE_HALF
 
 def idf(corpus: DataFrame) -> DataFrame:
     """V1: idf = ln(N / df) per tag; N = artists in the corpus (a scalar
-    subquery, evaluated once), df = artists carrying the tag."""
+    subquery, evaluated once), df = artists carrying the tag.  The corpus has
+    one row per (artist, tag), so df is a plain count."""
     n = corpus.select(F.countDistinct("artist_name")).scalar()
-    return (corpus.groupBy("tag").agg(F.countDistinct("artist_name").alias("df"))
+    return (corpus.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
                   .select("tag", F.log(n.cast("double") / F.col("df")).alias("idf")))
 
 
@@ -234,8 +235,8 @@ def compatibility(plays: DataFrame, primary: DataFrame, pairs: DataFrame,
              .groupBy("pair_id", "akey", "artist_name").agg(F.sum("n").alias("n")))
     display = (top_k(votes, 1, ["pair_id", "akey"], [F.desc("n"), F.asc("artist_name")])
                .select("pair_id", "akey", "artist_name"))
-    shared = shared.join(display, ["pair_id", "akey"])
     n_shared = shared.groupBy("pair_id").agg(F.count(F.lit(1)).alias("shared_artist_count"))
+    shared = shared.join(display, ["pair_id", "akey"])
 
     score = (pairs.select("pair_id", "user_a", "user_b")
              .join(agg.select("pair_id", F.round(cos * 100, 1).alias("score")), "pair_id", "left")
