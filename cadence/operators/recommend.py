@@ -38,11 +38,10 @@ def write_cache(recs: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None
     overwrite, so only buckets holding refreshed users are rewritten; callers
     pass the full new state of those buckets (``refresh`` with the old cache
     restricted to them)."""
-    spark = recs.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (recs.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
          .repartition("user_bucket")
-         .write.mode("overwrite").partitionBy("user_bucket").parquet(path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("user_bucket").parquet(path))
 
 
 def read_cache(spark: SparkSession, path: str, user_ids: list[int] | None = None) -> DataFrame:

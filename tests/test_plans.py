@@ -48,3 +48,23 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_k_uses_group_limit(plans):
     assert "WindowGroupLimit" in plans["song_binges"]
     assert "WindowGroupLimit" in plans["top_artists"]
+
+
+def test_hot_groups_are_split(plans):
+    # the 7-day peak partitions by (keys, 7-day chunk), not by the keys alone
+    assert "_chunk" in plans["binges"] and "Generate explode" in plans["binges"]
+    # first-wins and latest-wins are aggregates (map-side combine), not sorts
+    assert "min_by" in plans["dedupe_plays"] and "partial_min_by" in plans["dedupe_plays"]
+    assert "partial_max_by" in plans["feedback_state"]
+
+
+def test_scalar_subquery_not_cross_join(plans):
+    assert "Subquery" in plans["idf"] or "subquery" in plans["idf"]
+
+
+def test_session_defaults(spark):
+    from cadence.plans.session import get_spark
+
+    s = get_spark()
+    assert s.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert s.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
