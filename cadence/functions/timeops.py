@@ -155,3 +155,23 @@ def valid_tz_col(tz: Column | str) -> Column:
         raise TypeError("valid_tz_col takes a column name")
     zones = ", ".join("'" + z.replace("'", "") + "'" for z in known_zones())
     return F.expr(f"CASE WHEN `{name}` IN ({zones}) THEN `{name}` ELSE 'UTC' END")
+
+
+# SQL-text forms of the same expressions, for predicates built as one
+# expression string (one call to the JVM instead of thousands).
+def local_ts_sql(col: str, tz: str) -> str:
+    e = _EPOCH_NTZ
+    return (f"timestampadd(MICROSECOND, unix_micros(from_utc_timestamp(timestamp_micros("
+            f"timestampdiff(MICROSECOND, {e}, {col})), {tz})), {e})")
+
+
+def local_date_sql(col: str, tz: str) -> str:
+    return f"to_date({local_ts_sql(col, tz)})"
+
+
+def weekday_sql(col: str, tz: str) -> str:
+    return f"CAST(dayofweek({local_ts_sql(col, tz)}) - 1 AS INT)"
+
+
+def part_of_day_sql(col: str, tz: str) -> str:
+    return f"CAST(floor(hour({local_ts_sql(col, tz)}) / 6) AS INT)"

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadence.functions.search import like_pattern, parse_searches
-from cadence.functions.timeops import local_date, part_of_day, valid_tz_col, weekday
+from cadence.functions.search import parse_searches, sql_str
+from cadence.functions.timeops import local_date_sql, part_of_day_sql, valid_tz_col, weekday_sql
 from cadence.operators.common import utc_plays
 
 SORT_COLUMNS = ["listened_at", "artist_name", "track_name", "album_name"]
@@ -41,48 +41,64 @@ def prepare_searches(searches: DataFrame) -> DataFrame:
         F.col("start").cast("timestamp_ntz").alias("start"),
         F.col("end").cast("timestamp_ntz").alias("end"))
     # per value: (lower-cased value, LIKE pattern or NULL when the value has
-    # no wildcard, in which case a substring test is exactly the ILIKE)
-    def term(v):
-        wild = v.contains("%") | v.contains("_")
-        return F.struct(F.lower(v).alias("low"), F.when(wild, like_pattern(v)).alias("pat"))
-    pats = {k: F.transform(F.col(f"f.{k}"), term) for k in ("artist", "track", "album", "free")}
-    return s.select("*", *[v.alias(f"{k}_pat") for k, v in pats.items()])
+    # no wildcard, in which case a substring test is exactly the ILIKE); the
+    # pattern doubles backslashes so they match literally (see like_pattern)
+    bs, bs2 = sql_str(r"\\"), sql_str(r"\\\\")  # regex \\ -> replacement \\\\
+    term = ("v -> named_struct('low', lower(v), 'pat', CASE WHEN contains(v, '%') OR contains(v, '_') "
+            f"THEN concat('%', regexp_replace(v, {bs}, {bs2}), '%') END)")
+    pats = [F.expr(f"transform(f.{k}, {term})").alias(f"{k}_pat") for k in ("artist", "track", "album", "free")]
+    return s.select("*", *pats)
 
 
-def _ilike(col: str, t: Column) -> Column:
-    """``col ILIKE '%v%'``: a plain substring test on the play's lower-cased
-    field (computed once per play, before the join) unless the value carries
-    a wildcard (then a LIKE with the search's pattern)."""
-    return F.when(t["pat"].isNull(), F.col(f"_{col}_lc").contains(t["low"])) \
-            .otherwise(F.ilike(F.col(col), t["pat"]))
+UNROLL = 4
 
 
-UNROLL = 4
+def _ilike_sql(col: str, x: str) -> str:
+    """``col ILIKE '%v%'`` for a parsed term ``x``: a plain substring test on
+    the play's lower-cased field (computed once per play, before the join)
+    unless the value carries a wildcard (then a LIKE with its pattern)."""
+    return f"(CASE WHEN {x}.pat IS NULL THEN contains(`_{col}_lc`, {x}.low) ELSE `{col}` ILIKE {x}.pat END)"
 
 
-def _unless(skip: Column, test: Column) -> Column:
+def _unless_sql(skip: str, test: str) -> str:
     """``skip OR test`` written as CASE: subexpression elimination never
     hoists what sits inside a CASE branch, so ``test`` (a time-zone
     conversion, a substring test) is only evaluated when ``skip`` is false."""
-    return F.when(skip, F.lit(True)).otherwise(test)
+    return f"(CASE WHEN {skip} THEN true ELSE {test} END)"
 
 
-def _all_or_empty(arr: str, pred) -> Column:
+def _all_sql(arr: str, pred) -> str:
     """``forall(arr, pred)``, true for an empty list.  Higher-order functions
     run interpreted, outside whole-stage codegen, so the first ``UNROLL``
     terms are tested positionally in generated code and only longer lists
     fall back to ``forall`` over the rest."""
-    a = F.col(arr)
-    n = F.size(a)
-    cond = None
-    for i in range(UNROLL):
-        term = _unless(n <= i, pred(F.get(a, i)))
-        cond = term if cond is None else cond & term
-    return cond & _unless(n <= UNROLL, F.forall(F.slice(a, UNROLL + 1, 1 << 20), pred))
-
-
-def _any_or_empty(arr: str, value: Column) -> Column:
-    return _unless(F.size(F.col(arr)) == 0, F.array_contains(F.col(arr), value))
+    parts = [_unless_sql(f"size({arr}) <= {i}", pred(f"get({arr}, {i})")) for i in range(UNROLL)]
+    rest = f"forall(slice({arr}, {UNROLL + 1}, 1048576), x -> {pred('x')})"
+    parts.append(_unless_sql(f"size({arr}) <= {UNROLL}", rest))
+    return " AND ".join(parts)
+
+
+def _any_sql(arr: str, value: str) -> str:
+    return _unless_sql(f"size({arr}) = 0", f"array_contains({arr}, {value})")
+
+
+def match_predicate() -> str:
+    """F3 as one SQL boolean expression over the joined (search, play) row."""
+    ts, tz = "listened_at", "tz"
+    conds = [
+        _all_sql("artist_pat", lambda x: _ilike_sql("artist_name", x)),
+        _all_sql("track_pat", lambda x: _ilike_sql("track_name", x)),
+        _all_sql("album_pat", lambda x: _ilike_sql("album_name", x)),
+        _all_sql("free_pat", lambda x: f"({_ilike_sql('artist_name', x)} OR {_ilike_sql('track_name', x)})"),
+        _any_sql("f.years", f"year({ts})"),
+        _any_sql("f.months", f"month({ts})"),
+        _any_sql("f.dates", local_date_sql(ts, tz)),
+        _any_sql("f.days", weekday_sql(ts, tz)),
+        _any_sql("f.parts", part_of_day_sql(ts, tz)),
+        _unless_sql("`start` IS NULL", f"{ts} >= `start`"),
+        _unless_sql("`end` IS NULL", f"{ts} < `end`"),
+    ]
+    return "coalesce(" + " AND ".join(conds) + ", false)"
 
 
 def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
@@ -96,21 +112,7 @@ def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
     p = utc_plays(plays, "artist_name", "track_name", "album_name")
     p = p.select("*", *[F.lower(c).alias(f"_{c}_lc") for c in ("artist_name", "track_name", "album_name")])
     j = s.join(p, "user_id")
-    ts = F.col("listened_at")
-    cond = (
-        _all_or_empty("artist_pat", lambda x: _ilike("artist_name", x))
-        & _all_or_empty("track_pat", lambda x: _ilike("track_name", x))
-        & _all_or_empty("album_pat", lambda x: _ilike("album_name", x))
-        & _all_or_empty("free_pat", lambda x: _ilike("artist_name", x) | _ilike("track_name", x))
-        & _any_or_empty("f.years", F.year(ts))
-        & _any_or_empty("f.months", F.month(ts))
-        & _any_or_empty("f.dates", local_date(ts, F.col("tz")))
-        & _any_or_empty("f.days", weekday(ts, F.col("tz")))
-        & _any_or_empty("f.parts", part_of_day(ts, F.col("tz")))
-        & _unless(F.col("start").isNull(), ts >= F.col("start"))
-        & _unless(F.col("end").isNull(), ts < F.col("end"))
-    )
-    return j.filter(F.coalesce(cond, F.lit(False))).select(
+    return j.filter(F.expr(match_predicate())).select(
         "search_id", "user_id", "artist_name", "track_name", "album_name", "listened_at",
         "sort", "direction")
 

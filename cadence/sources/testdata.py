@@ -187,18 +187,22 @@ class TestTables:
 
     @cached_property
     def searches(self) -> DataFrame:
-        """Every template above for every user of ``plays`` (search_id 'u-i')."""
-        users = self.plays.select("user_id").distinct()
+        """Every template above for every user of ``plays`` (search_id 'u-i'),
+        generated per user row by one ``inline`` expression."""
+        from cadence.functions.search import sql_str
+
+        def lit(v):
+            return "CAST(NULL AS STRING)" if v is None else sql_str(v)
+
         rows = []
         for i, (q, tz, sort, direction, start, end) in enumerate(SEARCH_TEMPLATES):
             head, _, tail = q.partition("{u}")
-            query = (F.concat(F.lit(head), F.col("user_id").cast("string"), F.lit(tail))
-                     if "{u}" in q else F.lit(q))
-            rows.append(F.struct(F.lit(i).alias("i"), query.alias("query"), F.lit(tz).alias("tz"),
-                                 F.lit(sort).alias("sort"), F.lit(direction).alias("direction"),
-                                 F.lit(start).cast("string").alias("start"),
-                                 F.lit(end).cast("string").alias("end")))
-        s = users.select("user_id", F.inline(F.array(*rows)))
+            query = (f"concat({sql_str(head)}, CAST(user_id AS STRING), {sql_str(tail)})"
+                     if "{u}" in q else sql_str(q))
+            rows.append(f"named_struct('i', {i}, 'query', {query}, 'tz', {lit(tz)}, 'sort', {lit(sort)}, "
+                        f"'direction', {lit(direction)}, 'start', {lit(start)}, 'end', {lit(end)})")
+        users = self.plays.select("user_id").distinct()
+        s = users.select("user_id", F.expr(f"inline(array({', '.join(rows)}))"))
         return s.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string"))
                         .alias("search_id"), "user_id", "query", "tz", "sort", "direction", "start", "end")
 
