@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.timeops import as_of_ntz, utc_micros
-from cadence.operators.common import akey, top_k, utc_plays
+from cadence.operators.common import akey, modal_spelling, top_k, utc_plays
 from cadence.plans.session import materialize
 
 # Fixed values (knobs of the reference's recommender)
@@ -197,35 +197,49 @@ def _pct(v: str, total: str):
     return F.round((F.col(v) * 100).cast("decimal(38,0)") / den, 1)
 
 
-def compatibility(plays: DataFrame, primary: DataFrame, pairs: DataFrame,
-                  shared_artists_k: int = 25, shared_tags_k: int = 15,
-                  divergent_k: int = 10) -> dict[str, DataFrame]:
-    """A14 for a table of user pairs (pair_id, user_a, user_b).
-
-    score: cosine of the two users' primary-tag play-count vectors x 100,
-    rounded to 0.1 (half-up; deviation from binary half-even).  Tag shares are
-    exact half-up percentages of each user's tagged plays (0 for a user with
-    none); shared tags have both shares > 0, top 15 by their sum; divergent
-    tags top 10 by gap.  Shared artists are folded, both counts > 0, top 25 by
-    total, shown with the modal spelling over both users' plays.  A pair of a
-    user with themselves compares the user's vector with itself.
-    """
-    utp = _user_tag_plays(plays, primary)
-    sides = _pair_sides(pairs, utp, ["tag"], "plays")
+def _compat_tag_sides(plays: DataFrame, primary: DataFrame, pairs: DataFrame):
+    sides = _pair_sides(pairs, _user_tag_plays(plays, primary), ["tag"], "plays")
     agg = sides.groupBy("pair_id").agg(
         F.sum(F.col("a_val") * F.col("b_val")).cast("double").alias("dot"),
         F.sum(F.col("a_val") * F.col("a_val")).cast("double").alias("na2"),
         F.sum(F.col("b_val") * F.col("b_val")).cast("double").alias("nb2"),
         F.sum("a_val").alias("total_a"), F.sum("b_val").alias("total_b"))
+    return sides, agg
+
+
+def _compat_shared(plays: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, akey, a_plays, b_plays) for folded artists both users play."""
+    per_artist = (plays.select("user_id", akey().alias("akey"))
+                       .groupBy("user_id", "akey").agg(F.count(F.lit(1)).alias("plays")))
+    return (_pair_sides(pairs, per_artist, ["akey"], "plays")
+            .filter((F.col("a_val") > 0) & (F.col("b_val") > 0))
+            .select("pair_id", "akey", F.col("a_val").alias("a_plays"), F.col("b_val").alias("b_plays")))
+
+
+def compat_score(plays: DataFrame, primary: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A14 score: cosine of the two users' primary-tag play-count vectors
+    x 100, rounded to 0.1 (half-up; deviation from binary half-even), and the
+    number of shared (folded) artists.  A pair of a user with themselves
+    compares the user's vector with itself (score 100)."""
+    _, agg = _compat_tag_sides(plays, primary, pairs)
     cos = F.when((F.col("na2") > 0) & (F.col("nb2") > 0),
                  F.col("dot") / (F.sqrt("na2") * F.sqrt("nb2"))).otherwise(F.lit(0.0))
-
+    n_shared = _compat_shared(plays, pairs).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("shared_artist_count"))
+    return (pairs.select("pair_id", "user_a", "user_b")
+            .join(agg.select("pair_id", F.round(cos * 100, 1).alias("score")), "pair_id", "left")
+            .join(n_shared, "pair_id", "left")
+            .select("pair_id", "user_a", "user_b",
+                    F.coalesce("score", F.lit(0.0)).alias("score"),
+                    F.coalesce("shared_artist_count", F.lit(0)).cast("long").alias("shared_artist_count")))
+
+
+def compat_shared_artists(plays: DataFrame, pairs: DataFrame, k: int = 25) -> DataFrame:
+    """A14 shared artists: both counts > 0, top 25 per pair by total (ties
+    by folded name), shown with the modal spelling over both users' plays
+    (each play counted once, also when a pair is one user twice)."""
+    shared = _compat_shared(plays, pairs)
     ap = plays.select("user_id", akey().alias("akey"), "artist_name")
-    per_artist = ap.groupBy("user_id", "akey").agg(F.count(F.lit(1)).alias("plays"))
-    shared = (_pair_sides(pairs, per_artist, ["akey"], "plays")
-              .filter((F.col("a_val") > 0) & (F.col("b_val") > 0))
-              .select("pair_id", "akey", F.col("a_val").alias("a_plays"), F.col("b_val").alias("b_plays")))
-    # modal spelling over the rows of both users (each play once, also when a == b)
     spell = ap.groupBy("user_id", "akey", "artist_name").agg(F.count(F.lit(1)).alias("n"))
     users_of_pair = (pairs.select("pair_id", F.col("user_a").alias("user_id"))
                      .unionByName(pairs.select("pair_id", F.col("user_b").alias("user_id")))
@@ -233,35 +247,45 @@ def compatibility(plays: DataFrame, primary: DataFrame, pairs: DataFrame,
     votes = (users_of_pair.join(spell, "user_id")
              .join(shared.select("pair_id", "akey"), ["pair_id", "akey"], "left_semi")
              .groupBy("pair_id", "akey", "artist_name").agg(F.sum("n").alias("n")))
-    display = (top_k(votes, 1, ["pair_id", "akey"], [F.desc("n"), F.asc("artist_name")])
-               .select("pair_id", "akey", "artist_name"))
-    n_shared = shared.groupBy("pair_id").agg(F.count(F.lit(1)).alias("shared_artist_count"))
-    shared = shared.join(display, ["pair_id", "akey"])
-
-    score = (pairs.select("pair_id", "user_a", "user_b")
-             .join(agg.select("pair_id", F.round(cos * 100, 1).alias("score")), "pair_id", "left")
-             .join(n_shared, "pair_id", "left")
-             .select("pair_id", "user_a", "user_b",
-                     F.coalesce("score", F.lit(0.0)).alias("score"),
-                     F.coalesce("shared_artist_count", F.lit(0)).cast("long").alias("shared_artist_count")))
-
-    top_shared = top_k(shared.withColumn("total", F.col("a_plays") + F.col("b_plays")),
-                       shared_artists_k, ["pair_id"], [F.desc("total"), F.asc("akey")])
-    top_shared = top_shared.select("pair_id", "artist_name", "a_plays", "b_plays")
-
-    totals = agg.select("pair_id", "total_a", "total_b")
-    rows = (sides.join(totals, "pair_id")
+    display = modal_spelling(votes, ["pair_id", "akey"])
+    top = top_k(shared.withColumn("total", F.col("a_plays") + F.col("b_plays")),
+                k, ["pair_id"], [F.desc("total"), F.asc("akey")])
+    return top.join(display, ["pair_id", "akey"]).select("pair_id", "artist_name", "a_plays", "b_plays")
+
+
+def _compat_tag_rows(plays: DataFrame, primary: DataFrame, pairs: DataFrame) -> DataFrame:
+    sides, agg = _compat_tag_sides(plays, primary, pairs)
+    rows = (sides.join(agg.select("pair_id", "total_a", "total_b"), "pair_id")
             .select("pair_id", "tag", _pct("a_val", "total_a").alias("a_pct"),
                     _pct("b_val", "total_b").alias("b_pct")))
-    rows = rows.withColumn("gap", F.abs(F.col("a_pct") - F.col("b_pct")))
-    shared_tags = top_k(rows.filter((F.col("a_pct") > 0) & (F.col("b_pct") > 0)),
-                        shared_tags_k, ["pair_id"],
-                        [F.desc(F.col("a_pct") + F.col("b_pct")), F.asc("tag")])
-    divergent = top_k(rows, divergent_k, ["pair_id"], [F.desc("gap"), F.asc("tag")])
+    return rows.withColumn("gap", F.abs(F.col("a_pct") - F.col("b_pct")))
+
+
+def _as_double(df: DataFrame) -> DataFrame:
+    return df.select("pair_id", "tag", *[F.col(c).cast("double").alias(c) for c in ("a_pct", "b_pct", "gap")])
+
+
+def compat_shared_tags(plays: DataFrame, primary: DataFrame, pairs: DataFrame, k: int = 15) -> DataFrame:
+    """A14 shared tags: each tag's share of the user's tagged plays (exact
+    half-up to 0.1; 0 for a user with none), tags with both shares > 0, top
+    15 by the sum of shares (ties by tag)."""
+    rows = _compat_tag_rows(plays, primary, pairs)
+    top = top_k(rows.filter((F.col("a_pct") > 0) & (F.col("b_pct") > 0)), k, ["pair_id"],
+                [F.desc(F.col("a_pct") + F.col("b_pct")), F.asc("tag")])
+    return _as_double(top)
+
 
-    def dbl(df):
-        return df.select("pair_id", "tag", *[F.col(c).cast("double").alias(c) for c in ("a_pct", "b_pct", "gap")])
+def compat_divergent_tags(plays: DataFrame, primary: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
+    """A14 divergent tags: the union of both users' tags, top 10 by the gap
+    between the two shares (ties by tag)."""
+    return _as_double(top_k(_compat_tag_rows(plays, primary, pairs), k, ["pair_id"],
+                            [F.desc("gap"), F.asc("tag")]))
 
-    return {"score": score, "shared_artists": top_shared,
-            "shared_tags": dbl(shared_tags), "divergent_tags": dbl(divergent)}
 
+def compatibility(plays: DataFrame, primary: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """A14 for a table of user pairs (pair_id, user_a, user_b): the four
+    parts of the comparison."""
+    return {"score": compat_score(plays, primary, pairs),
+            "shared_artists": compat_shared_artists(plays, pairs),
+            "shared_tags": compat_shared_tags(plays, primary, pairs),
+            "divergent_tags": compat_divergent_tags(plays, primary, pairs)}
