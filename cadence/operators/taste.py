@@ -72,13 +72,11 @@ def scoring_vectors(corpus: DataFrame) -> DataFrame:
     unit-length value ``unit`` (for cosines), written once to the shared
     checkpoint folder: every user is scored against the same table, so it is
     computed once, like the reference's shared corpus/idf/vector pass."""
-    v = artist_vectors(corpus)
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("artist_name")))
-    v = v.withColumn("unit", F.when(norm > 0, F.col("value") / norm))
-    return materialize(v, "artist-vectors")
+    return materialize(scoring_vectors_from(artist_vectors(corpus)), "artist-vectors")
 
 
 def scoring_vectors_from(vectors: DataFrame) -> DataFrame:
+    """Add ``unit``: each artist vector scaled to length 1 (NULL for a zero vector)."""
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("artist_name")))
     return vectors.withColumn("unit", F.when(norm > 0, F.col("value") / norm))
 

@@ -108,9 +108,7 @@ def with_bindings(body: str) -> str:
     """``WITH <all bindings>`` followed by ``body``; a body that starts with a
     comma continues the CTE list."""
     ctes = ",\n".join(f"{name} AS ({BINDINGS[name]})" for name in _ORDER)
-    body = body.strip()
-    sep = "\n" if body.startswith(",") else "\n"
-    return f"WITH {ctes}{sep}{body}"
+    return f"WITH {ctes}\n{body.strip()}"
 
 
 def local(col: str, tz: str) -> str:
