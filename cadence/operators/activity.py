@@ -62,7 +62,7 @@ def loyalty(plays: DataFrame, tz: str = "UTC", days: int | None = None, as_of=No
     """A3: active_days / days from first play to the user's latest play.
 
     The anchor is the user's latest local play day inside the window (J20),
-    taken as a window max over the per-artist aggregate, which is small.
+    an aggregate per user joined back to the per-artist rows.
     Artists are folded on lower(); the shown spelling is the modal one, ties
     to the lowest.
     """
@@ -82,9 +82,11 @@ def loyalty(plays: DataFrame, tz: str = "UTC", days: int | None = None, as_of=No
     spelling = modal_spelling(per_day.groupBy("user_id", "akey", "artist_name").agg(F.sum("n").alias("n")),
                               ["user_id", "akey"])
     per = days_.join(spelling, ["user_id", "akey"])
-    latest = F.max("last_day").over(Window.partitionBy("user_id"))
-    per = per.withColumn("days_since_first_play",
-                         (F.datediff(latest, F.col("first_day")) + 1).cast("long"))
+    # the user's latest day as an aggregate joined back (not a window over all
+    # of a user's artists): a hot user's rows can then be split by AQE
+    latest = days_.groupBy("user_id").agg(F.max("last_day").alias("latest"))
+    per = per.join(latest, "user_id").withColumn(
+        "days_since_first_play", (F.datediff(F.col("latest"), F.col("first_day")) + 1).cast("long"))
     return (per.filter(F.col("plays") >= min_plays)
             .select("user_id", "artist_name", "plays", "active_days", "days_since_first_play",
                     round_half_up_ratio(F.col("active_days"), F.col("days_since_first_play"), 2)
