@@ -116,3 +116,30 @@ def test_payload_shapes(spark):
     tops = spark.createDataFrame([('{"toptracks":{"track":[{"name":"x"},{"name":"y"}],"@attr":{"artist":"A"}}}',),
                                   ('{"toptracks":{"track":[],"@attr":{"artist":"B"}}}',)], "value string")
     assert {tuple(r) for r in P.parse_top_tracks(tops).collect()} == {("A", "x", 1), ("A", "y", 2), ("B", "", 0)}
+
+
+def test_live_clock_across_dst_fall_back(spark):
+    """New York falls back at 2024-11-03 06:00 UTC (02:00 EDT -> 01:00 EST):
+    local time repeats an hour.  The streaming clock, fed one file per
+    trigger, must equal the batch clock cell by cell."""
+    from cadence.schemas import PLAYS
+
+    base = dt.datetime(2024, 11, 3, 0, 0)
+    rows = [(7, "A", f"T{i % 3}", "Alb", base + dt.timedelta(minutes=20 * i)) for i in range(30)]
+    plays = spark.createDataFrame(rows, PLAYS).withColumn("play_id", F.monotonically_increasing_id())
+    path = scratch_path(spark, "landing-dst")
+    for f in range(4):  # 3-hour files covering all 10 hours
+        part = plays.filter((F.col("listened_at") >= base + dt.timedelta(hours=3 * f)) &
+                            (F.col("listened_at") < base + dt.timedelta(hours=3 * f + 3)))
+        P.render_recent_tracks(part).write.mode("append").text(f"{path}/all")
+    users = spark.createDataFrame([(7, "user-7")], "user_id long, username string")
+    stream = ST.plays_from_landing(spark, f"{path}/all", users, max_files_per_trigger=1)
+    live = SJ.drain(ST.live_clock(stream, NY, delay="2 hours"), "t_dst", mode="update")
+    final = live.groupBy("user_id", "day", "part").agg(F.max("plays").alias("plays"))
+    batch = A.clock(plays.drop("play_id"), NY, None)
+    assert final.exceptAll(batch).count() == 0 and batch.exceptAll(final).count() == 0
+    # local night of 2024-11-03 runs 04:00-11:00 UTC (7 hours, the repeated
+    # hour included)
+    night = [r.plays for r in batch.collect() if r.day == dt.date(2024, 11, 3) and r.part == 0]
+    assert night == [sum(1 for _, _, _, _, t in rows
+                         if dt.datetime(2024, 11, 3, 4, 0) <= t < dt.datetime(2024, 11, 3, 11, 0))]
