@@ -17,7 +17,8 @@ def _plan(df) -> str:
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in E.queries().items():
+    for name in E._QUERIES:  # the optional operators have tests of their own
+        fn = E.queries()[name]
         if name in _EAGER:
             continue
         out[name] = _plan(fn(spark, SF_SMALL))
