@@ -134,3 +134,94 @@ def window_hashes(h: np.ndarray, width: int, stream: int = 7) -> np.ndarray:
     for k in range(width):
         out += h[k:k + n] * coeff[k]
     return mix64(out)
+
+
+# --- running numpy over texts -----------------------------------------------
+
+def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with new columns computed from its text column, in Arrow batches.
+
+    ``fn`` gets the texts of a batch (null as empty) and returns one sequence per
+    field of ``fields`` (a DDL string).  ``keep`` names the columns to carry along
+    untouched (all by default); those that clash with a new name, in any case, are
+    replaced by the new column."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    bounded_batches(df.sparkSession)
+    new = _parse_datatype_string(fields)
+    taken = {f.name.lower() for f in new.fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
+    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text_"))
+    schema = StructType([f for f in given.schema.fields[:-1]] + new.fields)
+    arrow = to_arrow_schema(new, timezone="UTC")
+
+    def run(batches):
+        for b in batches:
+            columns = fn([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            made = [pa.array(c, type=f.type, from_pandas=True) for c, f in zip(columns, arrow)]
+            yield pa.RecordBatch.from_arrays(list(b.columns[:-1]) + made, names=kept + arrow.names)
+
+    return given.mapInArrow(run, schema)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
+    """At most ``rows`` rows (of each ``group`` value), always the same ones: those
+    whose hashed key is smallest.  Spark keeps no more than that per task."""
+    from pyspark.sql import Window
+
+    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
+    if group is None:
+        return df.orderBy(*order).limit(rows)
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).drop("_n")
+
+
+def ngram_counts(texts: list[str], byte_class: np.ndarray, sizes: tuple[int, ...], dims: int) -> np.ndarray:
+    """Counts of hashed byte n-grams, one row of ``dims`` (a power of two) a text.
+
+    ``byte_class`` gives the class of each byte, 0 to 254; a run of one class 0
+    counts like any other n-gram."""
+    out = np.zeros((len(texts), dims), dtype=np.float32)
+    shift = np.uint32(32 - int(dims).bit_length() + 1)
+    for first, part in chunks(texts):
+        a = np.frombuffer(b"\xff".join(part) + b"\xff", dtype=np.uint8)
+        lens = np.array([len(p) + 1 for p in part])
+        row = np.repeat(np.arange(len(part), dtype=np.int64) * dims, lens)
+        left = np.repeat(np.cumsum(lens), lens) - np.arange(len(a)) - 1  # bytes up to the end of the text
+        c = byte_class[a].astype(np.uint32) + np.uint32(1)
+        total = np.zeros(len(part) * dims, dtype=np.int64)
+        for n in sizes:
+            m = len(a) - n + 1
+            if m <= 0:
+                continue
+            code = np.full(m, n, np.uint32)
+            for k in range(n):
+                code = code * np.uint32(0x01000193) ^ c[k:k + m]
+            bucket = (code * np.uint32(0x9E3779B1)) >> shift
+            whole = left[:m] >= n
+            total += np.bincount(row[:m][whole] + bucket[whole], minlength=len(total))
+        out[first:first + len(part)] = total.reshape(len(part), dims)
+    return out
+
+
+def sparse_bytes(counts: np.ndarray) -> list[bytes]:
+    """Each row's non-zero entries as bytes, for sending a bounded sample around."""
+    out = []
+    for r in counts:
+        i = np.flatnonzero(r)
+        out.append(i.astype("<u2").tobytes() + r[i].astype("<f4").tobytes())
+    return out
+
+
+def dense_rows(packed: list[bytes], dims: int) -> np.ndarray:
+    out = np.zeros((len(packed), dims), dtype=np.float32)
+    for r, b in zip(out, packed):
+        n = len(b) // 6
+        r[np.frombuffer(b, "<u2", n)] = np.frombuffer(b, "<f4", n, 2 * n)
+    return out
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
