@@ -155,7 +155,7 @@ def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str]
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text_"))
     schema = StructType([f for f in given.schema.fields[:-1]] + new.fields)
-    arrow = to_arrow_schema(new, timezone="UTC")
+    arrow = to_arrow_schema(new)
 
     def run(batches):
         for b in batches:

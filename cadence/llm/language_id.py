@@ -74,9 +74,10 @@ def _k_means(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
     return c
 
 
-def fit_counts(languages: list[str], counts: np.ndarray, clusters: int = 4, margin: float = 0.1) -> LanguageModel:
+def fit_counts(languages: list[str], counts: np.ndarray, clusters: int = 4, slack: float = 0.5) -> LanguageModel:
     """The model of labelled n-gram counts.  The smallest accepted cosine of a
-    language is its training texts' 0.1 % quantile less ``margin``."""
+    language is ``slack`` times the 0.1 % quantile of its training texts, since
+    unseen short texts lie farther out than those that shaped the centroids."""
     if not len(languages):
         return LanguageModel((), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     idf = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1.0)
@@ -86,7 +87,7 @@ def fit_counts(languages: list[str], counts: np.ndarray, clusters: int = 4, marg
     for lang in sorted(set(languages)):
         own = x[label == lang]
         c = _k_means(own, clusters)
-        floor = float(np.quantile((own @ c.T).max(axis=1), 0.001)) - margin
+        floor = slack * float(np.quantile((own @ c.T).max(axis=1), 0.001))
         names += [lang] * len(c)
         rows.append(c)
         least += [floor] * len(c)

@@ -198,8 +198,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 def judge(documents: DataFrame, model: Trees, text: str = "text", keep: list[str] | None = None,
           threshold: float = 0.5) -> DataFrame:
-    """``documents`` with the BASE statistics, base_failed, quality (the trees'
-    probability) and kept."""
+    """``documents`` with the BASE statistics, base_failed, quality_score (the
+    trees' probability) and kept."""
     def run(texts: list[str]):
         found = [statistics(t) for t in texts]
         base = np.array([b for b, _ in found], dtype=np.int64).reshape(len(texts), len(BASE))
@@ -207,5 +207,5 @@ def judge(documents: DataFrame, model: Trees, text: str = "text", keep: list[str
         failed = np.array([base_failed(b[0], b[4]) for b in base.tolist()], dtype=bool)
         return [*base.T, failed, quality, ~failed & (quality >= threshold)]
 
-    fields = ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, quality double, kept boolean"
+    fields = ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, quality_score double, kept boolean"
     return with_text_columns(documents, text, run, fields, keep)
