@@ -12,10 +12,10 @@ similarity.
 Applying is one pass over all texts in Arrow batches, without a shuffle.  What is
 sent to the tasks is (2 x per_label) x ``RANK`` + ``DIMS`` x ``RANK`` floats.
 
-Defined results: null or empty text has the zero vector and gets the share of
-label 1 in the labelled sample's votes for it, i.e. the base rate; without
-labelled rows every score is 0.5.  Ties between neighbours go to the one that
-comes first in the order of hashed ids.  Repeated rows are scored alike.
+Defined results: null or empty text, or one unlike all labelled texts, gets the
+share of label 1 among all labels; without labelled rows every score is 0.5.  Of
+neighbours with the same cosine at the last place one is taken, the same each
+run.  Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.llm.common import (bounded_sample, chunks, crc_remainder, dense_rows, ngram_counts, sparse_bytes,
-                                unit_rows, window_hashes, with_text_columns, word_spans)
+                                unit_rows, window_hashes, with_text_columns, word_hashes, word_spans)
 
 GRAM_DIMS, SHAPE_DIMS = 4096, 1024
 DIMS = GRAM_DIMS + SHAPE_DIMS
@@ -54,7 +54,6 @@ def shape_counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed pairs of word shapes.  The shape of a word: the kinds of
     bytes in it, its length class, whether it equals the word before."""
     out = np.zeros((len(texts), SHAPE_DIMS), dtype=np.float32)
-    from cadence.llm.common import word_hashes
     for first, part in chunks(texts):
         a, starts, ends, before = word_spans(part)
         if len(starts) < 2:
@@ -83,7 +82,6 @@ class NeighbourModel:
     axes: np.ndarray  # DIMS x RANK
     vectors: np.ndarray  # unit rows of the labelled documents
     labels: np.ndarray
-    weights: np.ndarray  # of a neighbour's vote, by its label
     base_rate: float
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
@@ -103,15 +101,13 @@ def fit_counts(counts: np.ndarray, labels: np.ndarray, rank: int = RANK, base_ra
     idf = (np.log((1.0 + n) / (1.0 + (counts > 0).sum(axis=0))) + 1.0).astype(np.float32) if n else np.ones(
         DIMS, np.float32)
     if not n:
-        return NeighbourModel(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), labels,
-                              np.ones(2), 0.5)
+        return NeighbourModel(idf, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
     x = weighted(counts, idf)
     q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((n, min(rank, n))).astype(np.float32))[0]
     for _ in range(steps):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     rate = float(labels.mean()) if base_rate is None else base_rate
-    return NeighbourModel(idf, q.astype(np.float32), unit_rows(x @ q).astype(np.float32), labels.astype(np.int64),
-                          np.ones(2), rate)
+    return NeighbourModel(idf, q.astype(np.float32), unit_rows(x @ q).astype(np.float32), labels.astype(np.int64), rate)
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import chat_format, html_text, language_id, quality_rules, url_filter
+from cadence.llm import chat_format, html_text, language_id, quality_knn, quality_rules, url_filter
 from cadence.llm.common import table
 
 
@@ -19,6 +19,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality_knn.held_out(F.col("doc_id"))
+    model = quality_knn.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    found = quality_knn.classify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -56,6 +64,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op2_language_id,
+        op4_quality_classifier,
         op5_html_extraction,
         op6_quality_rules,
         op8_chat_formatting,
