@@ -167,15 +167,24 @@ def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str]
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None) -> DataFrame:
-    """At most ``rows`` rows (of each ``group`` value), always the same ones: those
-    whose hashed key is smallest.  Spark keeps no more than that per task."""
+    """At most ``rows`` different keys (of each ``group`` value), always the same
+    ones: those whose hashed key is smallest.
+
+    A count gives the share of the hash range that holds a little more than
+    ``rows`` keys, so only those few are ever sorted in one task, however many
+    rows or tasks there are."""
     from pyspark.sql import Window
 
-    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
-    if group is None:
-        return df.orderBy(*order).limit(rows)
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).drop("_n")
+    from cadence.plans.session import bounded_broadcast
+
+    names = df.columns
+    grouped = df.withColumn("_g", F.lit(0) if group is None else F.col(group)).distinct()
+    sizes = grouped.groupBy("_g").agg(F.count("*").alias("_size"))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    few = grouped.join(bounded_broadcast(sizes, 100_000), "_g").withColumn("_p", place).filter(
+        F.col("_p") * F.col("_size") <= rows + 6.0 * rows ** 0.5 + 50)
+    w = Window.partitionBy("_g").orderBy("_p", key)
+    return few.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).select(*names)
 
 
 def ngram_counts(texts: list[str], byte_class: np.ndarray, sizes: tuple[int, ...], dims: int) -> np.ndarray:
