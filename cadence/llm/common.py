@@ -153,15 +153,16 @@ def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str]
     new = _parse_datatype_string(fields)
     taken = {f.name.lower() for f in new.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
-    given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text_"))
-    schema = StructType([f for f in given.schema.fields[:-1]] + new.fields)
-    arrow = to_arrow_schema(new)
+    plain = text in kept and dict(df.dtypes)[text] == "string"  # no second copy of the text is sent
+    given = df.select(*[F.col(f"`{c}`") for c in kept], *([] if plain else [F.col(f"`{text}`").cast("string").alias("_text_")]))
+    schema = StructType(given.schema.fields[:len(kept)] + new.fields)
+    arrow, at = to_arrow_schema(new), kept.index(text) if plain else len(kept)
 
     def run(batches):
         for b in batches:
-            columns = fn([t or "" for t in b.column(b.num_columns - 1).to_pylist()])
+            columns = fn([t or "" for t in b.column(at).to_pylist()])
             made = [pa.array(c, type=f.type, from_pandas=True) for c, f in zip(columns, arrow)]
-            yield pa.RecordBatch.from_arrays(list(b.columns[:-1]) + made, names=kept + arrow.names)
+            yield pa.RecordBatch.from_arrays(list(b.columns[:len(kept)]) + made, names=kept + arrow.names)
 
     return given.mapInArrow(run, schema)
 
@@ -171,18 +172,21 @@ def bounded_sample(df: DataFrame, key: str, rows: int, group: str | None = None)
     ones: those whose hashed key is smallest.
 
     A count gives the share of the hash range that holds a little more than
-    ``rows`` keys, so only those few are ever sorted in one task, however many
-    rows or tasks there are."""
+    ``rows`` keys, so only those few are ever shuffled and sorted, however many
+    rows or tasks there are.  With repeated keys the sample is smaller."""
     from pyspark.sql import Window
 
     from cadence.plans.session import bounded_broadcast
 
     names = df.columns
-    grouped = df.withColumn("_g", F.lit(0) if group is None else F.col(group)).distinct()
-    sizes = grouped.groupBy("_g").agg(F.count("*").alias("_size"))
+    if group is None:
+        grouped = df.withColumns({"_g": F.lit(0), "_size": F.lit(df.count())})
+    else:
+        sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"))
+        grouped = df.withColumn("_g", F.col(group)).join(bounded_broadcast(sizes, 100_000), "_g")
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    few = grouped.join(bounded_broadcast(sizes, 100_000), "_g").withColumn("_p", place).filter(
-        F.col("_p") * F.col("_size") <= rows + 6.0 * rows ** 0.5 + 50)
+    few = grouped.withColumn("_p", place).filter(
+        F.col("_p") * F.col("_size") <= rows + 6.0 * rows ** 0.5 + 50).distinct()
     w = Window.partitionBy("_g").orderBy("_p", key)
     return few.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= rows).select(*names)
 

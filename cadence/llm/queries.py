@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import (chat_format, decontaminate, html_text, language_id, packing, quality_knn, quality_rules,
+from cadence.llm import (chat_format, decontaminate, html_text, language_id, ngram_join, packing, quality_knn, quality_rules,
                          token_counts, url_filter)
 from cadence.llm.common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.held_out(F.col("doc_id"))
@@ -80,6 +84,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_ngram_jaccard_join,
         op2_language_id,
         op3_benchmark_decontamination,
         op4_quality_classifier,
