@@ -18,11 +18,12 @@ hashes).  Two texts link when ``den * intersection >= num * union``.
    against one class that it shares prefix shingles with (the ``hub`` of a shingle,
    another one each round), which unites copies without looking at all pairs of a
    group; the last round then tests every remaining candidate pair whose classes
-   lie in different components.  No candidate is left out.
+   lie in different components.  No candidate is left out.  Sets are made again
+   from the texts of classes with a candidate pair, none are kept of the others.
 
-Hot shingles: counts and minima per shingle are pre-aggregated; the joins are
-plain equi-joins that Spark splits on skew, and the last one is keyed by
-shingle and length band.  Intermediate tables are written under the shared
+Hot shingles: minima per shingle are pre-aggregated; the joins are plain
+equi-joins that Spark splits on skew, and the last one is keyed by shingle and
+length band.  Intermediate tables are written under the shared
 checkpoint folder.  Two different shingles share a 64-bit hash with a chance of
 one in 1.8e19 a pair.
 
@@ -34,8 +35,11 @@ texts of their own under that id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.common import bounded_batches, chunks, mix64, window_hashes, with_text_columns, word_hashes
@@ -43,8 +47,9 @@ from cadence.llm.components import connected
 from cadence.plans.session import materialize
 
 WIDTH, NUM, DEN = 4, 85, 100
-#: Counters of the frequency sketch, sent between tasks in slices.
-SKETCH, SLICES = 1 << 20, 64
+#: Bits of a shingle's hash that name its counter in the frequency sketch, and the
+#: slices in which sketches are sent.  A tenfold corpus deserves three bits more.
+SKETCH_BITS, SLICES = 22, 64
 #: Hash ranges of the suffix filter.
 RANGES = 64
 
@@ -71,40 +76,44 @@ def set_id(s: np.ndarray) -> int:
     return int(mix64(total + np.uint64(len(s)))[0].view(np.int64))
 
 
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def frequencies(documents: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
-    """Rarity of shingles by hash range: documents that hold a shingle of the range,
-    on a scale of a few steps an octave.  Each task sends one sketch; sums are made
-    in two steps, so that no task reads more than some hundred of them."""
+    """Rarity of shingles by counter: documents that hold a shingle of the counter, on
+    a scale of a few steps an octave.  Each task sends one sketch (a byte a counter,
+    at most 255); sums are made in two steps, so that no task reads more than some
+    hundred sketches."""
     bounded_batches(documents.sparkSession)
-    per = SKETCH // SLICES
+    size = 1 << SKETCH_BITS
+    per = size // SLICES
 
     def count(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(size, np.uint32)
         for b in batches:
-            for s in shingle_sets([t or "" for t in b.column(0).to_pylist()], width):
-                total += 0 if not len(s) else np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        task = TaskContext.get().partitionId()
-        rows = [total[i * per:(i + 1) * per].astype("<u4").tobytes() for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task // 256] * SLICES, pa.int32()),
-                                          pa.array(rows, pa.binary())], names=["slice", "task", "counts"])
-
-    def add(key, group):
-        import pandas as pd
-
-        total = np.zeros(per, np.uint64)
-        for c in group["counts"]:
-            total += np.frombuffer(c, "<u4")
-        data = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
-        return pd.DataFrame({"slice": [key[0]], "task": [0], "counts": [data]}).astype({"slice": "int32", "task": "int32"})
-
-    schema = "slice int, task int, counts binary"
-    sketch = documents.select(F.col(text).cast("string")).mapInArrow(count, schema)
-    sketch = sketch.groupBy("slice", "task").applyInPandas(add, schema)
-    sketch = sketch.groupBy("slice").applyInPandas(add, schema)
-    total = np.zeros(SKETCH, np.uint32)
+            sets = shingle_sets([t or "" for t in b.column(0).to_pylist()], width)
+            at, n = np.unique(_counter(np.concatenate([np.zeros(0, np.uint64), *sets])), return_counts=True)
+            total[at] += n.astype(np.uint32)
+        data = np.minimum(total, 255).astype(np.uint8).tobytes()
+        rows = [data[i * per:(i + 1) * per] for i in range(SLICES)]
+        group = TaskContext.get().partitionId() // 256
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()),
+                                          pa.array(rows, pa.binary())], names=["slice", "tasks", "counts"])
+
+    def add(kind):
+        def total(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+            t = sum(np.frombuffer(c, kind).astype(np.float64) for c in group["counts"])
+            return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(t, 4e9).astype("<u4").tobytes()]})
+        return total
+
+    sketch = documents.select(F.col(text).cast("string")).mapInArrow(count, "slice int, tasks int, counts binary")
+    sketch = sketch.groupBy("slice", "tasks").applyInPandas(add("u1"), "slice int, counts binary")
+    sketch = sketch.groupBy("slice").applyInPandas(add("<u4"), "slice int, counts binary")
+    total = np.zeros(size, np.uint32)
     for r in sketch.collect():  # SLICES rows of fixed size
         total[r["slice"] * per:(r["slice"] + 1) * per] = np.frombuffer(r["counts"], "<u4")
     return np.round(4 * np.log2(total + 1.0)).astype(np.uint8)
@@ -121,7 +130,7 @@ def set_rows(documents: DataFrame, rarity: np.ndarray, text: str, key: str, widt
         prefix, ranges = [], []
         for s in sets:
             p = prefix_length(len(s), num, den)
-            level = rarity[(s >> np.uint64(44)).astype(np.int64)]
+            level = rarity[_counter(s)]
             # s is sorted, so a stable sort by rarity orders by (rarity, hash)
             prefix.append(s[np.argsort(level, kind="stable")[:p]].view(np.int64))
             ranges.append(np.minimum(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 255)
@@ -151,18 +160,23 @@ def _as(df: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{name}_{c}") for c in df.columns])
 
 
-def _hub_pairs(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """(a, b): for each class the hub, of another component, that it shares most
-    prefix shingles with."""
-    one = F.struct("class", "n", "at", "component")
-    hubs = shared.groupBy("gram").agg(F.min_by(one, F.xxhash64("class", F.lit(turn))).alias("hub"),
-                                      F.min("component").alias("low"), F.max("component").alias("high"))
-    hubs = hubs.filter("low < high").select("gram", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("class", "n", "at", "component")])
+def _hub_pairs(shared: DataFrame, turns: int, num: int, den: int) -> DataFrame:
+    """(a, b, turn): for each class and turn, the hub that it shares most prefix
+    shingles with.  The hub of a shingle is its class with most shared shingles in
+    the prefix, i.e. the copy with fewest changes of its own, to which most others
+    are near; every turn picks it from another part of the classes."""
+    one = F.struct("class", "n", "at")
+    part = F.pmod(F.xxhash64("class"), F.lit(turns))
+    hubs = shared.groupBy("gram").agg(*[
+        F.max_by(one, F.when(part == t, F.struct("weight", "class"))).alias(f"hub{t}") for t in range(turns)])
+    hubs = hubs.select("gram", F.posexplode(F.array(*[f"hub{t}" for t in range(turns)])).alias("turn", "hub")).filter(
+        "hub IS NOT NULL").select("gram", "turn", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("class", "n", "at")])
     met = _as(shared, "a", ("gram",)).join(hubs, "gram").filter(
-        (F.col("a_component") != F.col("b_component")) & _may_link("a", "b", num, den))
-    counted = met.groupBy("a_class", "b_class").agg(F.count("*").alias("shares"))
-    best = counted.groupBy("a_class").agg(F.max_by("b_class", F.struct("shares", "b_class")).alias("hub"))
-    return best.select(F.least("a_class", "hub").alias("a"), F.greatest("a_class", "hub").alias("b")).distinct()
+        (F.col("a_class") != F.col("b_class")) & _may_link("a", "b", num, den))
+    counted = met.groupBy("a_class", "turn", "b_class").agg(F.count("*").alias("shares"))
+    best = counted.groupBy("a_class", "turn").agg(F.max_by("b_class", F.struct("shares", "b_class")).alias("hub"))
+    return best.groupBy(F.least("a_class", "hub").alias("a"), F.greatest("a_class", "hub").alias("b")).agg(
+        F.min("turn").alias("turn"))
 
 
 def _all_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -181,28 +195,31 @@ def _all_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
 
 # --- verification ---------------------------------------------------------------
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs: suffix filter, then exact intersection."""
-    bounds = classes.select("class", "n", "ranges")
-    near = pairs.join(_as(bounds, "a", ()).withColumnRenamed("a_class", "a"), "a").join(
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that pass the suffix filter: the sum of the differences of their
+    counts by hash range is not above what linked sets may differ by."""
+    bounds, names = classes.select("class", "n", "ranges"), pairs.columns
+    both = pairs.join(_as(bounds, "a", ()).withColumnRenamed("a_class", "a"), "a").join(
         _as(bounds, "b", ()).withColumnRenamed("b_class", "b"), "b")
 
     def suffix(batches):
         import pyarrow as pa
 
         for x in batches:
-            t = {c: x.column(c) for c in ("a_n", "b_n", "a_ranges", "b_ranges")}
-            na, nb = (np.array(t[c], dtype=np.int64) for c in ("a_n", "b_n"))
-            ra, rb = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64)
+            na, nb = (np.array(x.column(c), dtype=np.int64) for c in ("a_n", "b_n"))
+            ra, rb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int64)
                       for c in ("a_ranges", "b_ranges"))
-            differ = np.abs(ra - rb).sum(axis=1)
             need = -(-num * (na + nb) // (num + den))
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(differ <= na + nb - 2 * need)],
-                                             names=["a", "b", "near"])
+            near = pa.array(np.abs(ra - rb).sum(axis=1) <= na + nb - 2 * need)
+            yield pa.RecordBatch.from_arrays([x.column(c) for c in names], names=names).filter(near)
 
-    near = near.mapInArrow(suffix, "a bigint, b bigint, near boolean")
-    tested = near.filter("near").join(_as(sets, "a", ()).withColumnRenamed("a_class", "a"), "a").join(
-        _as(sets, "b", ()).withColumnRenamed("b_class", "b"), "b")
+    return both.select(*names, "a_n", "b_n", "a_ranges", "b_ranges").mapInArrow(suffix, pairs.schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of candidate pairs, by exact intersection."""
+    tested = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a").join(
+        sets.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
 
     def intersect(batches):
         import pyarrow as pa
@@ -249,6 +266,36 @@ def _candidate_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str
     return found.join(wanted, ["class", "id"], "left_semi").dropDuplicates(["class"]).select("class", "set")
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """(gram, class, n, at, weight) of the prefix shingles that another class has as well;
+    weight: how many of them the class has."""
+    prefixes = classes.select(F.explode("prefix").alias("gram"), "class")
+    other = prefixes.select("gram", F.col("class").alias("other"))  # the same shuffle serves both sides
+    met = prefixes.join(other, (prefixes["gram"] == other["gram"]) & (prefixes["class"] != other["other"]), "left_semi")
+    at = (F.array_position("prefix", F.col("gram")) - 1).cast("int")
+    weight = F.count("*").over(Window.partitionBy("class"))  # a class has no more rows than its prefix
+    return met.join(classes.select("class", "n", "prefix"), "class").select(
+        "gram", "class", "n", at.alias("at"), weight.alias("weight"))
+
+
+def _sets_of(pairs: DataFrame, documents: DataFrame, classes: DataFrame, known: DataFrame | None, text: str, key: str,
+             width: int) -> DataFrame:
+    """(class, set) of the classes in ``pairs`` that ``known`` lacks."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("class"), "class", "left_anti")
+    return _candidate_sets(documents, classes.select("class", "id").join(wanted, "class"), text, key, width)
+
+
+def _across(pairs: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The pairs whose classes lie in different components."""
+    if component is None:
+        return pairs
+    for side in ("a", "b"):
+        pairs = pairs.join(component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c")), side, "left")
+    return pairs.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
+
+
 def _labelled(classes: DataFrame, component: DataFrame | None) -> DataFrame:
     """Adds ``component``; a class without a link is a component of its own."""
     if component is None:
@@ -269,27 +316,26 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     classes = materialize(rows.filter("n > 0").groupBy("class").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
         F.first("ranges").alias("ranges")), "classes")
-    prefixes = classes.select("class", "n", F.posexplode("prefix").alias("at", "gram"))
-    common = prefixes.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1").select("gram")
-    shared = materialize(prefixes.join(common, "gram").select("gram", "class", "n", "at"), "shared")
-    wanted = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", "id")
-    sets = materialize(_candidate_sets(documents, wanted, text, key, width), "candidate-sets")
-
-    component = None  # (node, component) of the classes linked so far
-    tested: DataFrame | None = None
-    turn = 0
-    while turn <= hub_rounds:
-        labelled = _labelled(shared, component)
-        pairs = _hub_pairs(labelled, turn, num, den) if turn < hub_rounds else _all_pairs(labelled, num, den)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialize(_verified(pairs, classes, sets, num, den), "verified")
-        tested = new if tested is None else tested.unionByName(new)
-        linked = new.filter("linked").count()
-        if linked:
+    shared = materialize(_shared(classes), "shared")
+
+    component: DataFrame | None = None  # (node, component) of the classes linked so far
+    none = classes.sparkSession.createDataFrame([], "a bigint, b bigint, linked boolean")
+    tested, sets = none, None
+    if hub_rounds:
+        hubs = materialize(_near(_hub_pairs(shared, hub_rounds, num, den), classes, num, den), "hubs")
+        sets = materialize(_sets_of(hubs, documents, classes, None, text, key, width), "candidate-sets")
+    for turn in range(hub_rounds):
+        pairs = _across(hubs.filter(F.col("turn") == turn), component)
+        new = materialize(_verified(pairs, sets, num, den), "verified")
+        tested = tested.unionByName(new)
+        if new.filter("linked").count():
             component = connected(tested.filter("linked"))
-        # a round of hubs without a link says that few are left: go on to the last round
-        turn = turn + 1 if linked or turn == hub_rounds else hub_rounds
+    pairs = _all_pairs(_labelled(shared, component), num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    rest = materialize(_near(pairs, classes, num, den), "rest")
+    more = materialize(_sets_of(rest, documents, classes, sets, text, key, width), "candidate-sets")
+    new = materialize(_verified(rest, more if sets is None else sets.unionByName(more), num, den), "verified")
+    if new.filter("linked").count():
+        component = connected(tested.unionByName(new).filter("linked"))
 
     ids = _labelled(classes.select("class", "id"), component)
     least = ids.groupBy("component").agg(F.min("id").alias("least"))
