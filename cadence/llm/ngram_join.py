@@ -50,6 +50,8 @@ WIDTH, NUM, DEN = 4, 85, 100
 #: Bits of a shingle's hash that name its counter in the frequency sketch, and the
 #: slices in which sketches are sent.  A tenfold corpus deserves three bits more.
 SKETCH_BITS, SLICES = 22, 64
+#: Shingles before a shared one that tell whether a pair was met already.
+BEFORE = 32
 #: Hash ranges of the suffix filter.
 RANGES = 64
 
@@ -143,16 +145,12 @@ def set_rows(documents: DataFrame, rarity: np.ndarray, text: str, key: str, widt
 
 # --- candidates ----------------------------------------------------------------
 
-def least_overlap(na: Column, nb: Column, num: int, den: int) -> Column:
-    """Smallest intersection that links sets of these sizes."""
-    return F.ceil((num * (na + nb)).cast("double") / (num + den))
-
-
-def _may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Length and positional filter on rows with ``{a}_n``, ``{a}_at``, ``{b}_n``, ``{b}_at``."""
-    na, nb, pa, pb = (F.col(f"{x}_{y}").cast("long") for y in ("n", "at") for x in (a, b))
+def _may_link(num: int, den: int, before: Column) -> Column:
+    """Length and positional filter on rows with sizes ``a_n``, ``b_n`` and places
+    ``a_at``, ``b_at`` of a shared shingle, before which at most ``before`` are shared."""
+    na, nb, pa, pb = (F.col(c).cast("long") for c in ("a_n", "b_n", "a_at", "b_at"))
     length = F.least(na, nb) * den >= F.greatest(na, nb) * num
-    most = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
+    most = before + 1 + F.least(na - pa - 1, nb - pb - 1)
     return length & (most * (num + den) >= (na + nb) * num)
 
 
@@ -172,7 +170,7 @@ def _hub_pairs(shared: DataFrame, turns: int, num: int, den: int) -> DataFrame:
     hubs = hubs.select("gram", F.posexplode(F.array(*[f"hub{t}" for t in range(turns)])).alias("turn", "hub")).filter(
         "hub IS NOT NULL").select("gram", "turn", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("class", "n", "at")])
     met = _as(shared, "a", ("gram",)).join(hubs, "gram").filter(
-        (F.col("a_class") != F.col("b_class")) & _may_link("a", "b", num, den))
+        (F.col("a_class") != F.col("b_class")) & _may_link(num, den, F.least("a_at", "b_at")))
     counted = met.groupBy("a_class", "turn", "b_class").agg(F.count("*").alias("shares"))
     best = counted.groupBy("a_class", "turn").agg(F.max_by("b_class", F.struct("shares", "b_class")).alias("hub"))
     return best.groupBy(F.least("a_class", "hub").alias("a"), F.greatest("a_class", "hub").alias("b")).agg(
@@ -180,16 +178,26 @@ def _hub_pairs(shared: DataFrame, turns: int, num: int, den: int) -> DataFrame:
 
 
 def _all_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): every candidate pair of classes in different components, keyed by
-    shingle and length band: a set links with sets of its own or the next band."""
+    """(a, b): every candidate pair of classes in different components.
+
+    Only shingles that lie in several components count.  The join is keyed by
+    shingle and length band (a set links with sets of its own or the next band).  A
+    pair is met at its first common shingle: each row has the ``BEFORE`` shingles
+    that come before it in its class, and where two rows have one in common, the
+    pair was met there.  Only classes with more can still meet twice."""
     mixed = shared.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = shared.join(mixed.select("gram"), "gram", "left_semi")
+    rows = shared.join(mixed.select("gram"), "gram", "left_semi").drop("weight")
+    order = Window.partitionBy("class").orderBy("at")
+    rows = rows.withColumns({"rank": F.row_number().over(order) - 1,
+                             "before": F.collect_list("gram").over(order.rowsBetween(-BEFORE, -1))})
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
     longer = _as(rows.withColumn("band", band), "b", ("gram", "band"))
     shorter = _as(rows.withColumn("band", F.explode(F.array(band, band + 1))), "a", ("gram", "band"))
-    order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class") < F.col("b_class")))
+    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class") < F.col("b_class")))
+    ranks = F.when(F.greatest("a_rank", "b_rank") > BEFORE, F.least("a_rank", "b_rank")).otherwise(F.lit(0))
     met = shorter.join(longer, ["gram", "band"]).filter(
-        order & (F.col("a_component") != F.col("b_component")) & _may_link("a", "b", num, den))
+        ordered & (F.col("a_component") != F.col("b_component")) & _may_link(num, den, ranks.cast("long"))
+        & ~F.arrays_overlap("a_before", "b_before"))
     return met.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
 
 
