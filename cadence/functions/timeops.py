@@ -9,7 +9,8 @@ listener's local wall clock, obtained with ``convert_timezone``.
 from __future__ import annotations
 
 import datetime as _dt
-from zoneinfo import ZoneInfo, available_timezones
+from functools import lru_cache
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,31 +31,28 @@ def check_tz(name: str | None) -> str:
     Validation happens on the driver before the plan is built, as a junk zone
     would otherwise raise inside the executors.
     """
-    if not name or not isinstance(name, str) or name in _JVM_REJECTED_ZONES:
-        return "UTC"
-    try:
-        ZoneInfo(name)
-    except Exception:
-        return "UTC"
-    return name
+    return name if isinstance(name, str) and name in known_zones() else "UTC"
 
 
-def known_zones() -> list[str]:
-    """All zone names ``check_tz`` accepts, for validating a tz *column*."""
-    return sorted(z for z in available_timezones() if z not in _JVM_REJECTED_ZONES)
+@lru_cache(maxsize=1)
+def known_zones() -> tuple[str, ...]:
+    """All zone names that a search or a listener may use (``check_tz`` and the tz
+    column check): region names, without the tz database's own subfolders."""
+    return tuple(sorted(z for z in available_timezones() if z not in _JVM_REJECTED_ZONES))
 
 
-def to_utc_ntz(col: Column | str, dtype, session_tz: str = "UTC") -> Column:
+def to_utc_ntz(col: Column | str, dtype) -> Column:
     """Normalise a play-time column to UTC wall clock ``timestamp_ntz``.
 
     ``timestamp_ntz`` input is taken to be UTC already (the stored convention);
-    an instant (``timestamp``) is rendered in UTC regardless of session zone.
+    an instant (``timestamp``) is rendered in UTC by its microseconds, so neither
+    the session zone nor its repeated hour plays a part.
     """
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, TimestampNTZType):
         return c
     if isinstance(dtype, TimestampType):
-        return F.convert_timezone(F.lit(session_tz), F.lit("UTC"), c.cast("timestamp_ntz"))
+        return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(_EPOCH_NTZ))
     raise TypeError(f"play time must be a timestamp, got {dtype}")
 
 
@@ -105,23 +103,28 @@ def utc_micros(col: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), F.col(col))
 
 
+# Fixed value: the longest range that a range picker offers.
+PICKER_DAYS = 1826
+
+
 def days_norm(days: int | None) -> int | None:
-    """Range-picker days (F2): <= 0 or None is all time, capped at 1826."""
-    return min(int(days), 1826) if days and int(days) > 0 else None
+    """Range-picker days (F2) for a caller that offers a picker: <= 0 or None is
+    all time, more than ``PICKER_DAYS`` is that.  Operators take any number."""
+    return min(int(days), PICKER_DAYS) if days and int(days) > 0 else None
 
 
 def since(col: Column | str, days: int | None, as_of) -> Column | None:
-    """Rolling range picker (F1): ``col >= as_of - days``; None when all time.
+    """Rolling range (F1): ``col >= as_of - days``; None (all time) when ``days`` is
+    None or not positive.
 
     ``as_of`` replaces the reference's ``now()`` so results are reproducible.
     """
-    days = days_norm(days)
-    if days is None:
+    if not days or int(days) <= 0:
         return None
     if as_of is None:
         raise ValueError("as_of is required when days is set")
     c = F.col(col) if isinstance(col, str) else col
-    start = as_of_ntz(as_of) - _dt.timedelta(days=days)
+    start = as_of_ntz(as_of) - _dt.timedelta(days=int(days))
     return c >= _ntz_lit(start)
 
 

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from cadence.functions.timeops import since, to_utc_ntz
 
 
+# Spark's own threshold for trimming ranked groups before the shuffle, and the
+# parts in which larger ones are trimmed.
+GROUP_LIMIT = 1000
+PARTS = 64
+
+
 def utc_plays(plays: DataFrame, *cols: str) -> DataFrame:
     """Project ``plays`` to ``cols`` (plus user_id, listened_at) with
     ``listened_at`` normalised to UTC wall clock.  Projecting first keeps the
     parquet ReadSchema down to the columns the operator really reads."""
     want = ["user_id", *[c for c in cols if c not in ("user_id", "listened_at")]]
     dtype = plays.schema["listened_at"].dataType
-    try:
-        session_tz = plays.sparkSession.conf.get("spark.sql.session.timeZone")
-    except Exception:  # pragma: no cover
-        session_tz = "UTC"
-    return plays.select(*want, to_utc_ntz("listened_at", dtype, session_tz).alias("listened_at"))
+    return plays.select(*want, to_utc_ntz("listened_at", dtype).alias("listened_at"))
 
 
 def in_window(df: DataFrame, days: int | None, as_of) -> DataFrame:
@@ -42,11 +44,20 @@ def round_half_up_ratio(num: Column, den: Column, digits: int) -> Column:
 
 def top_k(df: DataFrame, k: int, partition: list[str], order: list[Column],
           rank_col: str | None = None) -> DataFrame:
-    """Per-partition top-k by ``row_number``.  With a literal k Spark plans a
-    WindowGroupLimit, which trims each partition before the shuffle."""
+    """Per-partition top-k by ``row_number``.
+
+    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark itself trims each
+    task's groups to k rows before the shuffle.  For any k the rows are first
+    ranked within ``PARTS`` parts of a group and trimmed to k there, so that the
+    final sort of a hot group reads at most ``PARTS`` x k rows."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*partition).orderBy(*order)
     name = rank_col or "_rn"
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(PARTS))
+        df = df.withColumn("_part", part)
+        inner = Window.partitionBy(*partition, "_part").orderBy(*order)
+        df = df.withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= k).drop("_rank", "_part")
+    w = Window.partitionBy(*partition).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
     return out if rank_col else out.drop(name)
 

@@ -9,15 +9,17 @@ from the same predicate, so "of N" always agrees with the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadence.functions.search import parse_searches, sql_str
 from cadence.functions.timeops import local_date_sql, part_of_day_sql, valid_tz_col, weekday_sql
-from cadence.operators.common import utc_plays
+from cadence.operators.common import top_k, utc_plays
 
 SORT_COLUMNS = ["listened_at", "artist_name", "track_name", "album_name"]
+# Fixed value: the largest page that a pager offers.
 MAX_PAGE = 200
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
 def prepare_searches(searches: DataFrame) -> DataFrame:
@@ -38,11 +40,12 @@ def prepare_searches(searches: DataFrame) -> DataFrame:
         "search_id", "user_id", "f", "tz",
         F.when(F.col("sort").isin(*SORT_COLUMNS), F.col("sort")).otherwise(F.lit("listened_at")).alias("sort"),
         F.when(F.col("direction") == "asc", F.lit("asc")).otherwise(F.lit("desc")).alias("direction"),
-        F.col("start").cast("timestamp_ntz").alias("start"),
-        F.col("end").cast("timestamp_ntz").alias("end"))
+        F.expr(_instant_sql(base, "start")).alias("start"), F.expr(_instant_sql(base, "end")).alias("end"),
+        F.when(F.expr(f"`start` IS NOT NULL AND {_instant_sql(base, 'start')} IS NULL"), "start is no time")
+         .when(F.expr(f"`end` IS NOT NULL AND {_instant_sql(base, 'end')} IS NULL"), "end is no time").alias("error"))
     # per value: (lower-cased value, LIKE pattern or NULL when the value has
     # no wildcard, in which case a substring test is exactly the ILIKE); the
-    # pattern doubles backslashes so they match literally (see like_pattern)
+    # pattern doubles backslashes so they match literally
     bs, bs2 = sql_str(r"\\"), sql_str(r"\\\\")  # regex \\ -> replacement \\\\
     term = ("v -> named_struct('low', lower(v), 'pat', CASE WHEN contains(v, '%') OR contains(v, '_') "
             f"THEN concat('%', regexp_replace(v, {bs}, {bs2}), '%') END)")
@@ -50,6 +53,26 @@ def prepare_searches(searches: DataFrame) -> DataFrame:
     return s.select("*", *pats)
 
 
+def _instant_sql(df: DataFrame, name: str) -> str:
+    """A search bound as UTC wall clock: an instant, or text with a zone offset, by
+    its microseconds; a wall clock without offset is UTC; other text is NULL."""
+    kind = dict(df.dtypes)[name]
+    if kind == "timestamp_ntz":
+        return f"`{name}`"
+    at_epoch = f"timestampadd(MICROSECOND, unix_micros({{}}), {_EPOCH})"
+    if kind == "timestamp":
+        return at_epoch.format(f"`{name}`")
+    offset = sql_str(r"[Tt ]\d{1,2}(:\d{2}){0,2}(\.\d+)?\s*([Zz]|[+-]\d{2}(:?\d{2})?)\s*$")
+    instant = at_epoch.format(f"try_cast(`{name}` AS TIMESTAMP)")
+    return f"(CASE WHEN `{name}` RLIKE {offset} THEN {instant} ELSE try_cast(`{name}` AS TIMESTAMP_NTZ) END)"
+
+
+def search_errors(searches: DataFrame) -> DataFrame:
+    """(search_id, error) of the searches with a bound that is no time; such a search
+    matches nothing and does not touch the others."""
+    return prepare_searches(searches).filter("error IS NOT NULL").select("search_id", "error")
+
+
 UNROLL = 4
 
 
@@ -73,7 +96,7 @@ def _all_sql(arr: str, pred) -> str:
     terms are tested positionally in generated code and only longer lists
     fall back to ``forall`` over the rest."""
     parts = [_unless_sql(f"size({arr}) <= {i}", pred(f"get({arr}, {i})")) for i in range(UNROLL)]
-    rest = f"forall(slice({arr}, {UNROLL + 1}, 1048576), x -> {pred('x')})"
+    rest = f"forall(slice({arr}, {UNROLL + 1}, size({arr})), x -> {pred('x')})"
     parts.append(_unless_sql(f"size({arr}) <= {UNROLL}", rest))
     return " AND ".join(parts)
 
@@ -95,6 +118,7 @@ def match_predicate() -> str:
         _any_sql("f.dates", local_date_sql(ts, tz)),
         _any_sql("f.days", weekday_sql(ts, tz)),
         _any_sql("f.parts", part_of_day_sql(ts, tz)),
+        "error IS NULL",
         _unless_sql("`start` IS NULL", f"{ts} >= `start`"),
         _unless_sql("`end` IS NULL", f"{ts} < `end`"),
     ]
@@ -124,12 +148,16 @@ def totals(plays: DataFrame, searches: DataFrame) -> DataFrame:
                     .select("search_id", F.coalesce("total", F.lit(0)).cast("long").alias("total")))
 
 
+def clamp_page(limit: int, offset: int) -> tuple[int, int]:
+    """Q2, for a caller that offers a pager: limit within 1..``MAX_PAGE``, offset >= 0."""
+    return max(1, min(int(limit), MAX_PAGE)), max(0, int(offset))
+
+
 def page(plays: DataFrame, searches: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Q1: one page per search, ordered by the search's whitelisted column and
     direction (ASC puts NULLs last, DESC first, like Postgres), then
-    listened_at desc, track, artist.  Q2: limit clamped to 1..200, offset >= 0."""
-    limit = max(1, min(int(limit), MAX_PAGE))
-    offset = max(0, int(offset))
+    listened_at desc, track, artist.  Any positive limit and offset hold."""
+    limit, offset = max(1, int(limit)), max(0, int(offset))
     m = matches(plays, searches)
     by_time = F.col("sort") == "listened_at"
     sv = (F.when(F.col("sort") == "artist_name", F.col("artist_name"))
@@ -138,11 +166,10 @@ def page(plays: DataFrame, searches: DataFrame, limit: int = 50, offset: int = 0
     tv = F.when(by_time, F.col("listened_at"))
     asc = F.col("direction") == "asc"
     nulls = F.when(by_time, F.lit(False)).when(asc, sv.isNull()).otherwise(sv.isNotNull())
-    w = Window.partitionBy("search_id").orderBy(
-        nulls.asc(),
-        F.when(asc, sv).asc(), F.when(~asc, sv).desc(),
-        F.when(asc, tv).asc(), F.when(~asc, tv).desc(),
-        F.col("listened_at").desc(), F.col("track_name").asc(), F.col("artist_name").asc())
-    ranked = m.withColumn("pos", F.row_number().over(w))
-    return (ranked.filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
+    order = [nulls.asc(),
+             F.when(asc, sv).asc(), F.when(~asc, sv).desc(),
+             F.when(asc, tv).asc(), F.when(~asc, tv).desc(),
+             F.col("listened_at").desc(), F.col("track_name").asc(), F.col("artist_name").asc()]
+    ranked = top_k(m, offset + limit, ["search_id"], order, rank_col="pos")
+    return (ranked.filter(F.col("pos") > offset)
                   .select("search_id", "pos", "artist_name", "track_name", "album_name", "listened_at"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadence.functions.timeops import as_of_lit
 from cadence.operators.common import akey, top_k, utc_plays
-from cadence.operators.taste import play_scores, recommend, scoring_vectors
+from cadence.operators.taste import play_scores, recommend, scoring_vectors, taste_vectors
+from cadence.plans.session import materialize, read_table
+from cadence.schemas import RECOMMENDATIONS
 
 # Fixed values (knobs of the reference's song lists)
 FAVORITE_ARTISTS = 15
@@ -21,42 +24,63 @@ def refresh(plays: DataFrame, corpus: DataFrame, feedback: DataFrame | None,
     """V7: recompute every user's recommendations in one plan.
 
     Shared work (idf, artist vectors) is planned once for all users.  A user
-    whose taste vector is empty gets no new rows and keeps the old cache;
-    an empty corpus yields no new rows, so the old cache stays whole."""
+    without a taste vector keeps the old list; a user with one gets the new list,
+    even if it is shorter or empty (every candidate played or blocked)."""
     vectors = scoring_vectors(corpus)
-    new = recommend(play_scores(plays, as_of), vectors, feedback, k=k)
+    scores = play_scores(plays, as_of)
+    new = recommend(scores, vectors, feedback, k=k)
     if old_cache is None:
         return new
-    kept = old_cache.select(*new.columns).join(new.select("user_id").distinct(), "user_id", "left_anti")
-    return new.unionByName(kept)
-
-
-def write_cache(recs: DataFrame, path: str, buckets: int = USER_BUCKETS) -> None:
-    """Replace the cached lists of the users present in ``recs``.
-
-    Written as parquet partitioned by a user bucket with dynamic partition
-    overwrite, so only buckets holding refreshed users are rewritten; callers
-    pass the full new state of those buckets (``refresh`` with the old cache
-    restricted to them)."""
-    (recs.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
-         .repartition("user_bucket")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("user_bucket").parquet(path))
+    refreshed = taste_vectors(scores, vectors).select("user_id").distinct()
+    return new.unionByName(old_cache.select(*new.columns).join(refreshed, "user_id", "left_anti"))
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def write_cache(recs: DataFrame, path: str, users: DataFrame | None = None, computed_at=None,
+                buckets: int = USER_BUCKETS) -> None:
+    """Replace the cached lists of ``users`` (default: those in ``recs``).
+
+    Parquet partitioned by user bucket, with dynamic partition overwrite: only the
+    buckets of ``users`` are written, with the other users' rows of these buckets
+    as they were.  A user whose new list is empty leaves one row without artist,
+    so that the bucket is written even if nothing else is in it.  The number of
+    buckets is part of the layout and stays that of the first write."""
+    spark = recs.sparkSession
+    users = (recs if users is None else users).select("user_id").distinct()
+    old = read_table(spark, path)
+    if old is not None:
+        buckets = old.select("buckets").first()[0]
+    columns = [f.name for f in RECOMMENDATIONS.fields]
+    new = recs.withColumn("computed_at", F.lit(None).cast("timestamp_ntz") if computed_at is None
+                          else as_of_lit(computed_at)).select(*columns)
+    empty = users.join(recs.select("user_id"), "user_id", "left_anti").select(
+        "user_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in RECOMMENDATIONS.fields[1:]])
+    state = new.unionByName(empty)
+    if old is not None:
+        touched = users.select(_bucket(buckets).alias("user_bucket")).distinct()
+        others = old.join(touched, "user_bucket", "left_semi").join(users, "user_id", "left_anti")
+        state = state.unionByName(others.select(*columns))
+    state = materialize(state, "cache")  # read before the folders it comes from are replaced
+    (state.withColumn("buckets", F.lit(buckets)).withColumn("user_bucket", _bucket(buckets))
+          .hint("rebalance", "user_bucket").sortWithinPartitions("user_bucket", "user_id")
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("buckets", "user_bucket").parquet(path))
 
 
 def read_cache(spark: SparkSession, path: str, user_ids: list[int] | None = None) -> DataFrame:
-    """Cached recommendations (best first within a user)."""
-    df = spark.read.parquet(path)
+    """Cached recommendations (best first within a user).  ``user_ids`` prunes
+    to the users' buckets and is pushed to the parquet reader."""
+    df = spark.read.parquet(path).filter("artist_name IS NOT NULL")
     if user_ids is not None:
-        buckets = sorted({b for b in _buckets_of(spark, user_ids)})
-        df = df.filter(F.col("user_bucket").isin(buckets) & F.col("user_id").isin(user_ids))
-    return df.select("user_id", "artist_name", "score", "rank")
-
-
-def _buckets_of(spark: SparkSession, user_ids: list[int]):
-    rows = (spark.createDataFrame([(int(u),) for u in user_ids], "user_id long")
-            .select(F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).alias("b")).collect())
-    return [r.b for r in rows]
+        buckets = df.select("buckets").first()
+        wanted = [] if buckets is None else [
+            r[0] for r in spark.createDataFrame([(int(u),) for u in user_ids], "user_id long")
+            .select(_bucket(buckets[0])).distinct().collect()]  # at most one row for each id asked for
+        df = df.filter(F.col("user_bucket").isin(wanted) & F.col("user_id").isin(user_ids))
+    return df.select(*[f.name for f in RECOMMENDATIONS.fields])
 
 
 def drop_blocked(recs: DataFrame, feedback: DataFrame) -> DataFrame:

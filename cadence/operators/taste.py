@@ -108,16 +108,6 @@ def seed_vectors(feedback: DataFrame, vectors: DataFrame) -> DataFrame:
     return taste_vectors(seeds, vectors)
 
 
-def cosine_scores(left_unit: DataFrame, right_unit: DataFrame, left_key: str,
-                  right_keys: list[str]) -> DataFrame:
-    """Cosine of every (left, right) pair that shares a tag, from
-    unit vectors: join on tag, sum of products."""
-    l = left_unit.select(left_key, "tag", F.col("value").alias("_l"))
-    r = right_unit.select(*right_keys, "tag", F.col("value").alias("_r"))
-    return (l.join(r, "tag").groupBy(left_key, *right_keys)
-             .agg(F.sum(F.col("_l") * F.col("_r")).alias("cos")))
-
-
 def exclusions(scores: DataFrame, feedback: DataFrame | None) -> DataFrame:
     """Played, seeded and blocked artists per user, folded."""
     ex = scores.select("user_id", "akey")

@@ -9,11 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count we let through ``bounded_broadcast``.  Dimension tables of
-# the package (curation rules, idf per tag, primary tag per artist) are far below
-# it at any realistic scale; beyond it the join falls back to a shuffle join and
-# AQE may still convert it at runtime from the measured shuffle size.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Most bytes that ``bounded_broadcast`` lets through.
+BROADCAST_BYTES = 16 << 20
 
 
 def get_spark(app: str = "cadence", cpus: int | str | None = None,
@@ -65,22 +62,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/cadence/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    The bound is checked with a LIMIT-ed count (a cheap job that stops after
-    ``max_rows + 1`` rows).  Above the bound the frame is returned unhinted, so
-    the planner uses a shuffle join (and AQE may still broadcast it if the
+    Both are measured over at most ``max_rows + 1`` rows (a cheap job; none for a
+    ``local_table``).  Above either bound the frame is returned unhinted, so the
+    planner uses a shuffle join (and AQE may still broadcast it if the
     materialised side turns out small).
     """
-    n = getattr(df, "_cadence_rows", None)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = getattr(df, "_cadence_size", None)
+    if size is None:
+        width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= max_rows and size[1] <= max_bytes else df
 
 
 def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A DataFrame from an in-memory list; its row count is recorded so
+    """A DataFrame from an in-memory list; its size is recorded so
     ``bounded_broadcast`` needs no job to prove the bound."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -91,7 +89,7 @@ def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
         df = spark.range(1).select(F.inline(F.array(*structs)))
     else:
         df = spark.createDataFrame([], st)
-    df._cadence_rows = len(rows)
+    df._cadence_size = (len(rows), sum(len(str(v)) for row in rows for v in row))
     return df
 
 
@@ -107,3 +105,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None if nothing has been written there yet.
+    Any other failure to read it is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -42,6 +42,7 @@ RECOMMENDATIONS = T.StructType([
     T.StructField("artist_name", T.StringType(), False),
     T.StructField("score", T.DoubleType(), False),
     T.StructField("rank", T.IntegerType(), False),
+    T.StructField("computed_at", T.TimestampNTZType(), True),
 ])
 FEEDBACK = T.StructType([
     T.StructField("user_id", T.LongType(), False),

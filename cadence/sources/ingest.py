@@ -94,3 +94,11 @@ def advance_sync_marks(users: DataFrame, runs: DataFrame) -> DataFrame:
                          F.when(F.col("_start").isNull(), F.col("last_synced_at"))
                           .when(F.col("last_synced_at").isNull(), F.col("_start"))
                           .otherwise(F.greatest("last_synced_at", "_start")).alias("last_synced_at")))
+
+
+def completed_runs(runs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``runs`` (user_id, started_at, completed) with the runs that had a rejected
+    page (``rejected``: user_id, started_at) marked as not completed."""
+    bad = rejected.select("user_id", "started_at").distinct().withColumn("_bad", F.lit(True))
+    return (runs.join(bad, ["user_id", "started_at"], "left")
+                .withColumn("completed", F.col("completed") & F.col("_bad").isNull()).drop("_bad"))

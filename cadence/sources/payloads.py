@@ -59,6 +59,27 @@ def parse_recent_tracks(pages: DataFrame) -> DataFrame:
                         _seconds_to_ntz(F.col("t.date.uts")).alias("listened_at")))
 
 
+def recent_tracks_rejects(pages: DataFrame) -> DataFrame:
+    """The pages of S2 that are no recent-tracks answer: malformed text, API errors.
+    A sync run with a rejected page is not complete, so its mark must not move
+    (``ingest.completed_runs``)."""
+    keys = F.json_object_keys("value")
+    good = F.array_contains(keys, "recenttracks") & ~F.array_contains(keys, "error")
+    return pages.filter(~F.coalesce(good, F.lit(False)))
+
+
+def rejects(docs: DataFrame) -> DataFrame:
+    """Answers of S3-S6 that are no JSON object and must be fetched again."""
+    return docs.filter(F.json_object_keys("value").isNull())
+
+
+def _asked(docs: DataFrame, field: str) -> Column:
+    """The artist asked for: the ``artist_name`` column next to ``value`` if there is
+    one (an error answer names no artist), else the answer's."""
+    said = F.col(f"e.{field}.`@attr`.artist")
+    return F.coalesce(F.col("artist_name"), said) if "artist_name" in docs.columns else said
+
+
 def parse_track_info(docs: DataFrame) -> DataFrame:
     """S3: track.getInfo -> (artist_name, track_name, duration_ms); a missing
     track (API error) or duration is 0.  ``docs`` carries the asked
@@ -71,9 +92,11 @@ def parse_track_info(docs: DataFrame) -> DataFrame:
 
 def parse_artist_tags(docs: DataFrame) -> DataFrame:
     """Artist.getTopTags -> (artist_name, tag, weight); an artist without
-    tags gets the sentinel row ('', 0)."""
-    env = docs.select(F.from_json("value", TAGS_ENVELOPE).alias("e")).select("e.toptags.*")
-    items = env.select(F.col("`@attr`.artist").alias("artist_name"),
+    tags, or unknown to the API, gets the sentinel row ('', 0).  An answer that is
+    no JSON, or names no artist, gives no row (see ``rejects``)."""
+    env = docs.filter(F.json_object_keys("value").isNotNull()).withColumn("e", F.from_json("value", TAGS_ENVELOPE))
+    env = env.select(_asked(docs, "toptags").alias("artist_name"), "e.toptags.tag").filter("artist_name IS NOT NULL")
+    items = env.select("artist_name",
                        F.filter(_list(F.col("tag"), TAG_ITEM),
                                 lambda t: t["name"].isNotNull() & (t["name"] != "")).alias("tags"))
     x = items.select("artist_name", F.explode_outer("tags").alias("t"))
@@ -94,9 +117,11 @@ def parse_similar_artists(docs: DataFrame) -> DataFrame:
 
 def parse_top_tracks(docs: DataFrame) -> DataFrame:
     """Artist.getTopTracks -> (artist_name, track_name, rank from 1); an
-    unknown artist gets the sentinel row ('', 0)."""
-    env = docs.select(F.from_json("value", TOPTRACKS_ENVELOPE).alias("e")).select("e.toptracks.*")
-    items = env.select(F.col("`@attr`.artist").alias("artist_name"),
+    unknown artist gets the sentinel row ('', 0).  An answer that is no JSON, or
+    names no artist, gives no row (see ``rejects``)."""
+    env = docs.filter(F.json_object_keys("value").isNotNull()).withColumn("e", F.from_json("value", TOPTRACKS_ENVELOPE))
+    env = env.select(_asked(docs, "toptracks").alias("artist_name"), "e.toptracks.track").filter("artist_name IS NOT NULL")
+    items = env.select("artist_name",
                        F.filter(_list(F.col("track"), TOPTRACK_ITEM),
                                 lambda t: t["name"].isNotNull() & (t["name"] != "")).alias("t"))
     x = items.select("artist_name", F.posexplode_outer("t").alias("pos", "s"))

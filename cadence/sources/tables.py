@@ -14,7 +14,7 @@ from cadence.operators.common import utc_plays
 def write_plays(plays: DataFrame, path: str, mode: str = "append") -> None:
     p = utc_plays(plays, "artist_name", "track_name", "album_name")
     (p.withColumn("play_date", F.to_date("listened_at"))
-      .repartition("play_date")
+      .hint("rebalance", "play_date")  # a day's plays together, but large days in several tasks and files
       .sortWithinPartitions("user_id", "listened_at")
       .write.mode(mode).partitionBy("play_date").parquet(path))
 

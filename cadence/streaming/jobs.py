@@ -3,13 +3,12 @@ with checkpoints and landing folders under the shared checkpoint root."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.plans.session import scratch_path
+from cadence.plans.session import read_table, scratch_path
 from cadence.sources.payloads import render_recent_tracks
+from cadence.streaming.streams import batch_name
 
 
 def land_pages(plays: DataFrame, path: str, file_col: str) -> None:
@@ -29,17 +28,18 @@ def replayed_files(plays: DataFrame, rows_per_file: int = 1000) -> DataFrame:
 
 def drain(stream: DataFrame, name: str, mode: str = "append",
           checkpoint: str | None = None) -> DataFrame:
-    """Run ``stream`` with trigger(availableNow) into a memory table and
-    return that table."""
+    """Run ``stream`` with trigger(availableNow) and return all rows it put out.
+    Each micro-batch writes its rows to a folder of its own, which a retry
+    replaces, so nothing passes through the driver."""
     spark = stream.sparkSession
-    qname = f"{name}_{uuid.uuid4().hex[:8]}"
-    ck = checkpoint or scratch_path(spark, f"stream-{name}")
-    q = (stream.writeStream.format("memory").queryName(qname).outputMode(mode)
-               .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(qname)
+    out = scratch_path(spark, f"out-{name}")
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_name(batch, epoch_id)}")
+
+    drain_foreach(stream, write, name, checkpoint, mode)
+    written = read_table(spark, out)
+    return spark.createDataFrame([], stream.schema) if written is None else written.drop("batch")
 
 
 def land_replayed(spark: SparkSession, plays: DataFrame, name: str) -> str:
@@ -48,12 +48,12 @@ def land_replayed(spark: SparkSession, plays: DataFrame, name: str) -> str:
     return path
 
 
-def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = None) -> None:
+def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = None, mode: str = "append") -> None:
     """Run ``stream`` with trigger(availableNow) through a foreachBatch
     function and wait for it."""
     spark = stream.sparkSession
     ck = checkpoint or scratch_path(spark, f"stream-{name}")
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", ck)
+    q = (stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", ck)
                .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:

@@ -16,9 +16,9 @@ The reference syncs incrementally from a high-water mark stamped at the sync's
 * T5 ``feedback_state_batches``: latest-wins feedback state, one snapshot per
   micro-batch.
 * T6: rows later than the watermark are dropped by T2/T3 and cannot be
-  recovered downstream; the no-loss form is T4's foreachBatch pattern.
-  Backfills arrive newest first, so use watermarks on incremental streams
-  only, never on a first load.
+  recovered downstream; ``recompute_clock`` is the no-loss form.  Backfills
+  arrive newest first, so use watermarks on incremental streams only, never on
+  a first load.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.functions.timeops import check_tz, local_ts
+from cadence.functions.timeops import check_tz, local_date, local_ts, part_of_day
 from cadence.operators.binges import peak_7d
+from cadence.plans.session import materialize, read_table
 from cadence.schemas import PLAY_KEY
 from cadence.sources.ingest import append_new
 from cadence.sources.payloads import parse_recent_tracks
@@ -86,67 +87,91 @@ def live_clock(plays: DataFrame, tz: str = "UTC", delay: str = "2 hours",
         "plays")
 
 
+def batch_name(batch: DataFrame, epoch_id: int) -> str:
+    """A name for a micro-batch that its retries share and that no batch of another
+    checkpoint has: the streaming query's id (new with a new checkpoint) and the
+    epoch.  Called outside a stream it is the epoch alone."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query or 'batch'}-{epoch_id:010d}"
+
+
 def append_plays_batches(table_path: str):
     """T2 (unbounded replay): a foreachBatch function appending only plays
-    whose key is not stored yet (first wins within the batch)."""
+    whose key is not stored yet (first wins within the batch).  The table is
+    partitioned by play date, and only the batch's dates are read back."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        b = batch.withColumn("_arrival", F.lit(epoch_id))
-        existing = _read_or_none(spark, table_path)
-        new = append_new(b.drop("event_ts") if "event_ts" in b.columns else b, PLAY_KEY, "_arrival", existing)
-        new.drop("_arrival").write.mode("append").parquet(table_path)
+        b = batch.drop("event_ts").withColumn("_arrival", F.lit(epoch_id)).withColumn("play_date", F.to_date("listened_at"))
+        b = materialize(b, "plays-batch")  # a foreachBatch input is evaluated anew by every action
+        existing = read_table(spark, table_path)
+        if existing is not None:
+            days = [r[0] for r in b.select("play_date").distinct().collect()]  # bounded by the calendar
+            existing = existing.filter(F.col("play_date").isin(days))
+        new = append_new(b, PLAY_KEY, "_arrival", existing)
+        new.hint("rebalance", "play_date").write.mode("append").partitionBy("play_date").parquet(table_path)
     return run
 
 
 def binge_alerts(table_path: str, alerts_path: str, min_plays: int = 6):
     """T4: foreachBatch function: append the batch's new plays, then recompute
     the exact 7-day album peak for the (user, artist, album) keys the batch
-    touched, and append those at or above ``min_plays``."""
+    touched, and write those at or above ``min_plays`` to the batch's own folder,
+    which a retry replaces."""
     keys = ["user_id", "artist_name", "album_name"]
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        append_plays_batches(table_path)(batch, epoch_id)
         spark = batch.sparkSession
+        name = batch_name(batch, epoch_id)
+        batch = materialize(batch, "binge-batch")
+        append_plays_batches(table_path)(batch, epoch_id)
         touched = (batch.filter(F.col("album_name").isNotNull() & (F.col("album_name") != ""))
                         .select(*keys).distinct())
         plays = spark.read.parquet(table_path).join(touched, keys, "left_semi")
         peaks = peak_7d(plays.select(*keys, "listened_at"), keys).filter(F.col("peak_plays") >= min_plays)
-        peaks.withColumn("batch_id", F.lit(epoch_id)).write.mode("append").parquet(alerts_path)
+        peaks.write.mode("overwrite").parquet(f"{alerts_path}/batch={name}")
     return run
 
 
-def feedback_state_batches(state_path: str):
+def feedback_state_batches(state_path: str, order_cols: tuple[str, ...] = ("event_ts", "seq")):
     """T5: foreachBatch function merging feedback events into the latest-wins
     state.  The snapshot keeps the latest event per (user, folded artist)
-    with its time -- 'clear' included, as a tombstone -- so an older event in
-    a later batch can never resurrect a cleared verdict.  Each batch writes a
-    new snapshot folder ``batch=<id>``; readers take the highest, so a failed
-    batch never leaves a half-written state."""
+    with its order columns -- 'clear' included, as a tombstone -- so an older event
+    in a later batch can never resurrect a cleared verdict.  Each batch writes a
+    new snapshot ``version=<n>/batch=<name>``, one above the newest of any other
+    batch; a retry finds its own snapshot and writes it again from the one before,
+    and a new checkpoint goes on from the newest snapshot whatever its epochs."""
     def run(events: DataFrame, epoch_id: int) -> None:
         spark = events.sparkSession
-        ev = events.select("user_id", "artist_name", "action", "event_ts")
-        prev = latest_snapshot(spark, state_path)
-        if prev is not None:
-            ev = prev.select("user_id", "artist_name", F.col("verdict").alias("action"), "event_ts") \
-                     .unionByName(ev)
-        last = F.max_by(F.struct("artist_name", "action", "event_ts"), F.col("event_ts"))
+        name = batch_name(events, epoch_id)
+        order = [c for c in order_cols if c in events.columns]
+        ev = events.select("user_id", "artist_name", "action", *order)
+        stored = read_table(spark, state_path)
+        version = 0
+        if stored is not None:
+            others = stored.filter(F.col("batch") != name)
+            newest = others.agg(F.max("version")).first()[0]
+            if newest is not None:
+                version = newest + 1
+                prev = others.filter(F.col("version") == newest)
+                ev = prev.select("user_id", "artist_name", F.col("verdict").alias("action"), *order).unionByName(ev)
+        last = F.max_by(F.struct("artist_name", "action", *order), F.struct(*order, "action", "artist_name"))
         snap = (ev.groupBy("user_id", F.lower("artist_name").alias("_k")).agg(last.alias("_l"))
                   .select("user_id", F.col("_l.artist_name").alias("artist_name"),
-                          F.col("_l.action").alias("verdict"), F.col("_l.event_ts").alias("event_ts"),
+                          F.col("_l.action").alias("verdict"), *[F.col(f"_l.{c}").alias(c) for c in order],
                           F.lit(None).cast("timestamp_ntz").alias("expanded_at")))
-        snap.write.mode("overwrite").parquet(f"{state_path}/batch={epoch_id}")
+        materialize(snap, "feedback-state").write.mode("overwrite").parquet(
+            f"{state_path}/version={version}/batch={name}")
     return run
 
 
 def latest_snapshot(spark: SparkSession, state_path: str) -> DataFrame | None:
     """The newest snapshot written by ``feedback_state_batches`` (with
     tombstones)."""
-    try:
-        df = spark.read.parquet(state_path)
-    except Exception:  # noqa: BLE001 - nothing written yet
+    df = read_table(spark, state_path)
+    if df is None:
         return None
-    top = df.agg(F.max("batch")).scalar()
-    return df.filter(F.col("batch") == top).drop("batch")
+    top = df.agg(F.max("version")).scalar()
+    return df.filter(F.col("version") == top).drop("version", "batch")
 
 
 def current_feedback(spark: SparkSession, state_path: str) -> DataFrame | None:
@@ -157,8 +182,31 @@ def current_feedback(spark: SparkSession, state_path: str) -> DataFrame | None:
     return snap.filter(F.col("verdict") != "clear").select("user_id", "artist_name", "verdict", "expanded_at")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - table not created yet
-        return None
+def recompute_clock(table_path: str, clock_path: str, tz: str = "UTC"):
+    """foreachBatch function without loss: append the batch's new plays, then
+    recompute the clock cells of every (user, local day) that the batch touched
+    from the stored plays, however late they are.  Each batch writes its cells to
+    its own folder; ``latest_cells`` reads the newest of each."""
+    tz = check_tz(tz)
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        name = batch_name(batch, epoch_id)
+        batch = materialize(batch, "clock-batch")
+        append_plays_batches(table_path)(batch, epoch_id)
+        touched = materialize(batch.select("user_id", local_date("listened_at", tz).alias("day")).distinct(), "clock-days")
+        dates = [r[0] for r in touched.select(F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1)))).distinct()
+                 .collect()]  # UTC dates that may hold a touched local day: bounded by the calendar
+        plays = spark.read.parquet(table_path).filter(F.col("play_date").isin(dates))
+        cells = (plays.select("user_id", local_date("listened_at", tz).alias("day"), part_of_day("listened_at", tz).alias("part"))
+                      .join(touched, ["user_id", "day"], "left_semi")
+                      .groupBy("user_id", "day", "part").agg(F.count(F.lit(1)).alias("plays")))
+        cells.write.mode("overwrite").parquet(f"{clock_path}/batch={name}")
+    return run
+
+
+def latest_cells(spark: SparkSession, clock_path: str) -> DataFrame:
+    """The clock written by ``recompute_clock``.  Stored plays are never removed, so
+    a cell's newest count is its largest."""
+    cells = spark.read.parquet(clock_path)
+    return cells.groupBy("user_id", "day", "part").agg(F.max("plays").alias("plays"))

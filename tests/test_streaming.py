@@ -2,8 +2,8 @@
 
 import datetime as dt
 import os
-import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import activity as A
@@ -13,7 +13,7 @@ from cadence.sources import ingest as I
 from cadence.sources import payloads as P
 from cadence.streaming import jobs as SJ
 from cadence.streaming import streams as ST
-from tests.conftest import ALICE
+from tests.conftest import LEA
 
 NY = "America/New_York"
 
@@ -65,31 +65,97 @@ def test_binge_alerts_foreach_batch(spark, small):
     half = plays.filter(F.col("listened_at") < "1996-01-01")
     run(half, 0)
     run(plays.exceptAll(half), 1)
+    before = spark.read.parquet(alerts).count()
+    run(plays.exceptAll(half), 1)  # a retry adds neither plays nor alerts
+    assert spark.read.parquet(alerts).count() == before
     got = spark.read.parquet(alerts).groupBy("user_id", "artist_name", "album_name") \
         .agg(F.max("peak_plays").alias("peak_plays"))
-    stored = spark.read.parquet(table)
-    want = B.binges(stored, min_plays=2)
+    want = B.binges(spark.read.parquet(table).drop("play_date"), min_plays=2)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def _verdicts(spark, path):
+    return sorted((r.artist_name, r.verdict) for r in ST.current_feedback(spark, path).collect())
+
+
 def test_feedback_state_batches(spark):
     t0 = dt.datetime(2026, 1, 1)
-    schema = "user_id long, artist_name string, action string, event_ts timestamp_ntz"
-    b1 = spark.createDataFrame([(ALICE, "A", "seed", t0), (ALICE, "B", "block", t0)], schema)
-    b2 = spark.createDataFrame([(ALICE, "a", "block", t0 + dt.timedelta(hours=1)),
-                                (ALICE, "B", "clear", t0 + dt.timedelta(hours=2))], schema)
+    hour = dt.timedelta(hours=1)
+
+    def events(*rows):
+        return spark.createDataFrame([(LEA, a, v, t0 + h * hour, q) for a, v, h, q in rows],
+                                     "user_id long, artist_name string, action string, event_ts timestamp_ntz, seq long")
+
     path = scratch_path(spark, "fb-test")
     run = ST.feedback_state_batches(path)
+    assert ST.current_feedback(spark, path) is None
+    b1, b2 = events(("A", "seed", 0, 1), ("B", "block", 0, 2)), events(("a", "block", 1, 3), ("B", "clear", 2, 4))
     run(b1, 0)
     run(b2, 1)
-    state = ST.current_feedback(spark, path).collect()
-    assert [(r.artist_name, r.verdict) for r in state] == [("a", "block")]
+    assert _verdicts(spark, path) == [("a", "block")]
+    run(b2, 1)  # a retry
+    assert _verdicts(spark, path) == [("a", "block")]
     # an older event arriving late does not bring back the cleared verdict
-    run(spark.createDataFrame([(ALICE, "B", "seed", t0 + dt.timedelta(minutes=30))], schema), 2)
-    assert [(r.artist_name, r.verdict) for r in ST.current_feedback(spark, path).collect()] == [("a", "block")]
+    run(events(("B", "seed", 1, 5)), 2)
+    assert _verdicts(spark, path) == [("a", "block")]
+    # of two events at one time the later in the log wins
+    run(events(("C", "seed", 3, 7), ("c", "block", 3, 8)), 3)
+    assert _verdicts(spark, path) == [("a", "block"), ("c", "block")]
     assert [(r.artist_name, r.verdict) for r in I.feedback_state(b1.unionByName(b2)).collect()] == [("a", "block")]
 
 
+def test_a_new_checkpoint_goes_on_from_the_newest_state(spark):
+    path, landing = scratch_path(spark, "fb-restart"), scratch_path(spark, "fb-landing")
+    schema = "user_id long, artist_name string, action string, event_ts timestamp_ntz, seq long"
+    for i, name in enumerate("ABC"):
+        row = (LEA, name, "seed", dt.datetime(2026, 1, 1 + i), i)
+        spark.createDataFrame([row], schema).write.mode("append").parquet(landing)
+    for check in ("one", "two"):  # the second run starts again at epoch 0
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        SJ.drain_foreach(stream, ST.feedback_state_batches(path), check)
+        spark.createDataFrame([(LEA, "D", "block", dt.datetime(2026, 2, 1), 9)], schema).write.mode("append").parquet(landing)
+    assert _verdicts(spark, path) == [("A", "seed"), ("B", "seed"), ("C", "seed"), ("D", "block")]
+
+
+def test_an_unreadable_table_is_an_error_not_an_empty_one(spark, small, tmp_path):
+    bad = tmp_path / "table"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_bytes(b"no parquet")
+    plays = small.plays.limit(5).select("user_id", "artist_name", "track_name", "album_name", "listened_at")
+    for run in (ST.append_plays_batches(str(bad)), ST.feedback_state_batches(str(bad))):
+        with pytest.raises(Exception, match="(?i)parquet|schema"):
+            run(plays.withColumn("action", F.lit("seed")).withColumn("event_ts", F.col("listened_at")), 0)
+    assert os.listdir(bad) == ["part-0.parquet"]
+
+
+def test_late_plays_are_not_lost(spark, small):
+    """Files newest first; the recomputed cells equal the batch clock."""
+    plays = small.plays.select("user_id", "artist_name", "track_name", "album_name", "listened_at").dropDuplicates(
+        ["user_id", "track_name", "listened_at"])
+    base = scratch_path(spark, "late")
+    run = ST.recompute_clock(f"{base}/plays", f"{base}/clock", NY)
+    cut = plays.select(F.expr("percentile_approx(unix_micros(to_timestamp(listened_at)), 0.5)")).first()[0]
+    late = F.unix_micros(F.to_timestamp("listened_at")) < cut
+    run(plays.filter(~late), 0)
+    run(plays.filter(late), 1)
+    run(plays.filter(late), 1)  # a retry
+    got, want = ST.latest_cells(spark, f"{base}/clock"), A.clock(plays, NY, None)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_rejected_answers(spark):
+    asked = spark.createDataFrame([("A", '{"error":6,"message":"not found"}'), ("B", "<html>"), ("C", '{"toptags":{"tag":[]}}'),
+                                   ("D", '{"toptags":{"tag":{"name":"dub","count":3}}}'), ("E", None)], "artist_name string, value string")
+    assert sorted(tuple(r) for r in P.parse_artist_tags(asked).collect()) == [("A", "", 0), ("C", "", 0), ("D", "dub", 3)]
+    assert sorted(r.artist_name for r in P.rejects(asked).collect()) == ["B", "E"]
+    tops = spark.createDataFrame([("A", '{"error":6}'), ("B", "[1]"), ("C", '{"toptracks":{"track":{"name":"x"}}}')],
+                                 "artist_name string, value string")
+    assert sorted(tuple(r) for r in P.parse_top_tracks(tops).collect()) == [("A", "", 0), ("C", "x", 1)]
+    assert P.parse_artist_tags(tops.select("value")).count() == 0  # nobody named: no row
+    pages = spark.createDataFrame([('{"recenttracks":{"track":[]}}',), ('{"error":29}',), ('{"recenttracks":',), (None,)], "value string")
+    assert P.recent_tracks_rejects(pages).count() == 3
+
+
 def test_payload_shapes(spark):
     docs = spark.createDataFrame([
         ('{"recenttracks":{"track":[{"name":"Now","artist":{"#text":"X"},"@attr":{"nowplaying":"true"}},'
