@@ -22,8 +22,8 @@ hashes).  Two texts link when ``den * intersection >= num * union``.
    from the texts of classes with a candidate pair, none are kept of the others.
 
 Hot shingles: minima per shingle are pre-aggregated; the joins are plain
-equi-joins that Spark splits on skew, and the last one is keyed by shingle and
-length band.  Intermediate tables are written under the shared
+equi-joins that Spark splits on skew, and the last one is keyed by shingle and,
+for hot ones, length band.  Intermediate tables are written under the shared
 checkpoint folder.  Two different shingles share a 64-bit hash with a chance of
 one in 1.8e19 a pair.
 
@@ -44,14 +44,16 @@ from pyspark.sql import functions as F
 
 from cadence.llm.common import bounded_batches, chunks, mix64, window_hashes, with_text_columns, word_hashes
 from cadence.llm.components import connected
-from cadence.plans.session import materialize
+from cadence.plans.session import bounded_broadcast, materialize
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: Bits of a shingle's hash that name its counter in the frequency sketch, and the
 #: slices in which sketches are sent.  A tenfold corpus deserves three bits more.
 SKETCH_BITS, SLICES = 22, 64
 #: Shingles before a shared one that tell whether a pair was met already.
-BEFORE = 32
+BEFORE = 8
+#: Classes of a shingle above which the last join splits them by length.
+HOT = 500
 #: Hash ranges of the suffix filter.
 RANGES = 64
 
@@ -181,18 +183,20 @@ def _all_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): every candidate pair of classes in different components.
 
     Only shingles that lie in several components count.  The join is keyed by
-    shingle and length band (a set links with sets of its own or the next band).  A
-    pair is met at its first common shingle: each row has the ``BEFORE`` shingles
+    shingle and, where many classes share it, length band (a set links with sets of
+    its own or the next band).  A pair is met at its first common shingle: each row has the ``BEFORE`` shingles
     that come before it in its class, and where two rows have one in common, the
     pair was met there.  Only classes with more can still meet twice."""
-    mixed = shared.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rows = shared.join(mixed.select("gram"), "gram", "left_semi").drop("weight")
+    mixed = shared.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                       F.count("*").alias("_n")).filter("low < high")
+    rows = shared.drop("weight").join(mixed.select("gram", (F.col("_n") > HOT).alias("hot")), "gram")
     order = Window.partitionBy("class").orderBy("at")
     rows = rows.withColumns({"rank": F.row_number().over(order) - 1,
                              "before": F.collect_list("gram").over(order.rowsBetween(-BEFORE, -1))})
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
-    longer = _as(rows.withColumn("band", band), "b", ("gram", "band"))
-    shorter = _as(rows.withColumn("band", F.explode(F.array(band, band + 1))), "a", ("gram", "band"))
+    bands = F.when(F.col("hot"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
+    longer = _as(rows.withColumn("band", F.when(F.col("hot"), band).otherwise(0)).drop("hot"), "b", ("gram", "band"))
+    shorter = _as(rows.withColumn("band", F.explode(bands)).drop("hot"), "a", ("gram", "band"))
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class") < F.col("b_class")))
     ranks = F.when(F.greatest("a_rank", "b_rank") > BEFORE, F.least("a_rank", "b_rank")).otherwise(F.lit(0))
     met = shorter.join(longer, ["gram", "band"]).filter(
@@ -225,7 +229,10 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs, by exact intersection."""
+    """(a, b, linked) of candidate pairs, by exact intersection.  Only the sets of the
+    pairs' classes are shuffled."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets.join(bounded_broadcast(asked, 500_000), "class", "left_semi")
     tested = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
 
@@ -271,15 +278,17 @@ def _candidate_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str
     docs = docs.withColumn("_p", place)
     docs = docs.mapInArrow(on_bit, docs.schema).drop("_p")
     found = with_text_columns(docs, "_t", run, "class bigint, set binary", keep=["id"])
-    return found.join(wanted, ["class", "id"], "left_semi").dropDuplicates(["class"]).select("class", "set")
+    # one shuffle, by class: equal sets of one id are the same, so any of them will do
+    kept = found.join(wanted.withColumnRenamed("id", "_id"), "class").filter(F.col("id").eqNullSafe(F.col("_id")))
+    return kept.select("class", "set").dropDuplicates(["class"])
 
 
 def _shared(classes: DataFrame) -> DataFrame:
     """(gram, class, n, at, weight) of the prefix shingles that another class has as well;
     weight: how many of them the class has."""
-    prefixes = classes.select(F.explode("prefix").alias("gram"), "class")
-    other = prefixes.select("gram", F.col("class").alias("other"))  # the same shuffle serves both sides
-    met = prefixes.join(other, (prefixes["gram"] == other["gram"]) & (prefixes["class"] != other["other"]), "left_semi")
+    prefixes = classes.select("class", F.explode("prefix").alias("gram")).filter("gram IS NOT NULL AND class IS NOT NULL")
+    one, other = prefixes.alias("one"), prefixes.alias("other")  # alike, so that one shuffle serves both sides
+    met = one.join(other, (F.col("one.gram") == F.col("other.gram")) & (F.col("one.class") != F.col("other.class")), "left_semi")
     at = (F.array_position("prefix", F.col("gram")) - 1).cast("int")
     weight = F.count("*").over(Window.partitionBy("class"))  # a class has no more rows than its prefix
     return met.join(classes.select("class", "n", "prefix"), "class").select(
