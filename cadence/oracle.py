@@ -57,11 +57,10 @@ FROM (SELECT DISTINCT artist_name, CAST(substr(artist_name, 5) AS INT) AS k
 CROSS JOIN (SELECT * FROM (VALUES ('view', 1), ('b-side', 2), ('click', 3),
                                   ('encore', 4), ('purchase', 5)) v(track_name, rnk)) t""",
     "artist_feedback": """
-SELECT *, CAST(NULL AS TIMESTAMP) AS expanded_at FROM (
-SELECT DISTINCT user_id, 'ACT ' || CAST(100 + user_id AS VARCHAR) AS artist_name, 'block' AS verdict
-FROM plays
-UNION ALL
-SELECT DISTINCT user_id, 'Act ' || CAST(user_id AS VARCHAR), 'seed' FROM plays) f""",
+SELECT user_id, w.prefix || CAST(user_id + w.plus AS VARCHAR) AS artist_name, w.verdict,
+       CASE WHEN w.verdict = 'seed' AND user_id % 3 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' END AS expanded_at
+FROM (SELECT DISTINCT user_id FROM plays) u
+CROSS JOIN (VALUES ('ACT ', 100, 'block'), ('aCt ', 20, 'block'), ('Act ', 0, 'seed')) w(prefix, plus, verdict)""",
     "users": """
 SELECT c_custkey AS user_id, m.last_synced_at
 FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_synced_at
@@ -75,32 +74,25 @@ FROM (SELECT *, 'Act ' || CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)
       FROM events) e
 WHERE event_type IN ('click', 'error', 'view')""",
     "suggested_names": "SELECT DISTINCT 'act ' || CAST(p_partkey % 150 AS VARCHAR) AS name FROM part",
-    # C1 clean tags over the B.4 rules (trimmed-empty tags dropped)
-    # C1 clean tags over the B.4 rules (trimmed-empty tags dropped)
-    "tags_allowed": """
-SELECT m.* FROM (
-  SELECT rt.artist_name, COALESCE(al.canonical, lower(trim(rt.tag))) AS tag, rt.weight
-  FROM artist_tags rt LEFT JOIN tag_aliases al ON al.alias = lower(trim(rt.tag))
-  WHERE rt.tag <> '') m
-WHERE m.tag <> '' AND m.tag NOT IN (SELECT tag FROM tag_blocklist)""",
+    # C1 clean tags over the B.4 rules, set by set: tags after renaming, minus the
+    # forbidden ones, minus those that another tag of the artist rules out
+    "tags_renamed": """
+SELECT artist_name, weight, COALESCE(canonical, folded) AS tag
+FROM (SELECT artist_name, weight, lower(trim(tag)) AS folded FROM artist_tags) LEFT JOIN tag_aliases ON alias = folded""",
     "tags_clean": """
-SELECT a.artist_name, a.tag, MAX(a.weight) AS weight
-FROM tags_allowed a
-LEFT JOIN (SELECT DISTINCT a2.artist_name, x.excluded_tag AS tag
-           FROM tags_allowed a2 JOIN tag_exclusions x ON x.context_tag = a2.tag) s
-  ON s.artist_name = a.artist_name AND s.tag = a.tag
-WHERE s.artist_name IS NULL
-GROUP BY a.artist_name, a.tag""",
+WITH kept AS (SELECT * FROM tags_renamed ANTI JOIN tag_blocklist USING (tag) WHERE tag <> ''),
+     ruled_out AS (SELECT artist_name, excluded_tag AS tag FROM kept JOIN tag_exclusions ON context_tag = tag)
+SELECT artist_name, tag, MAX(weight) AS weight FROM kept ANTI JOIN ruled_out USING (artist_name, tag) GROUP BY ALL""",
     "primary_tag": """
-SELECT artist_name, tag FROM (
-  SELECT artist_name, tag,
-         row_number() OVER (PARTITION BY artist_name ORDER BY weight DESC, tag) AS rn
-  FROM tags_clean) r WHERE rn = 1""",
+SELECT artist_name, MIN(tag) AS tag
+FROM tags_clean JOIN (SELECT artist_name, MAX(weight) AS weight FROM tags_clean GROUP BY ALL) heaviest
+  USING (artist_name, weight)
+GROUP BY ALL""",
 }
 
 _ORDER = ["plays", "plays_long", "artist_tags", "tag_blocklist", "tag_aliases",
           "tag_exclusions", "track_durations", "artist_top_tracks", "artist_feedback",
-          "users", "feedback_events", "suggested_names", "tags_allowed", "tags_clean",
+          "users", "feedback_events", "suggested_names", "tags_renamed", "tags_clean",
           "primary_tag"]
 
 

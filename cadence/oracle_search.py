@@ -33,8 +33,8 @@ SEARCH_ORACLE = [
     ("[]", "[]", "[]", "[]", "[]", "[]", "[]", "[]", "['month:13', 'year:abc', 'click']",
      "(artist_name ILIKE '%month:13%' OR track_name ILIKE '%month:13%')",
      "listened_at", "ASC"),
-    ("['Guns']", "[]", "[]", "[]", "[]", "[]", "[]", "[]", "['N''', 'Roses']",
-     "artist_name ILIKE '%Guns%' AND (artist_name ILIKE '%N''%' OR track_name ILIKE '%N''%')",
+    ("['Rock''n''Roll']", "[]", "[]", "[]", "[]", "[]", "[]", "[]", "['it''s']",
+     "artist_name ILIKE '%Rock''n''Roll%' AND (artist_name ILIKE '%it''s%' OR track_name ILIKE '%it''s%')",
      "listened_at", "DESC"),
     ("[]", "[]", "[]", "[]", "[]", "[]", "[]", "[]", "['date:2024-02-31']",
      "(artist_name ILIKE '%date:2024-02-31%' OR track_name ILIKE '%date:2024-02-31%')",
@@ -54,6 +54,7 @@ SEARCH_ORACLE = [
     ("['ACT']", "[]", "[]", "[2024]", "[1]", "[]", "[]", "[]", "[]",
      "artist_name ILIKE '%ACT%' AND year(listened_at) = 2024 AND month(listened_at) = 1",
      "album_name", "DESC"),
+    ("[]", "[]", "[]", "[]", "[]", "[]", "[]", "[]", "['click']", "FALSE", "listened_at", "DESC"),
 ]
 
 

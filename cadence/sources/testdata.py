@@ -19,18 +19,19 @@ from cadence.plans.session import local_table
 # start, end); "{u}" is replaced by the user's id.
 SEARCH_TEMPLATES = [
     ('artist:"act {u}" part:evening', "America/New_York", "listened_at", "desc", None, None),
-    ("year:2024 month:jan view", "UTC", "artist_name", "asc", "2024-01-08 00:00:00", "2024-01-15 00:00:00"),
+    ("year:2024 month:jan view", "UTC", "artist_name", "asc", "2024-01-08T09:00:00+09:00", "2024-01-14T19:00:00-05:00"),
     ("date:2024-01-15 day:monday", "America/New_York", "album_name", "desc", None, None),
     ('ALBUM:"album 1" day:sat', "Mars/Phobos", "track_name", "asc", None, None),
     ("%", "UTC", "bogus", "sideways", None, None),
     ("month:13 year:abc click", "UTC", "listened_at", "asc", None, None),
-    ("artist:Guns N' Roses", "UTC", "listened_at", "desc", None, None),
+    ("artist:Rock'n'Roll it's", "UTC", "listened_at", "desc", None, None),
     ("date:2024-02-31", "UTC", "listened_at", "desc", None, None),
     ("", "Asia/Tokyo", "album_name", "asc", None, None),
     ("act_1", "UTC", "artist_name", "desc", None, None),
     ('track:"" vie', "America/New_York", "listened_at", "desc", None, None),
     ("part:night day:tue date:20240116", "Asia/Tokyo", "listened_at", "asc", None, None),
     ('YEAR:2024 month:1 artist:"ACT"', "America/New_York", "album_name", "desc", None, None),
+    ("click", "UTC", "listened_at", "desc", "some day", None),
 ]
 
 # The five stand-in top tracks per tagged act, best first.
@@ -143,14 +144,20 @@ class TestTables:
 
     @cached_property
     def artist_feedback(self) -> DataFrame:
+        """Per user: one block of an act that nobody played, one of an act that users
+        did play (in other casing), and a seed; every third user's seed is looked
+        up already."""
         users = self.plays.select("user_id").distinct()
-        block = users.select("user_id",
-                             F.concat(F.lit("ACT "), (100 + F.col("user_id")).cast("string")).alias("artist_name"),
-                             F.lit("block").alias("verdict"))
-        seed = users.select("user_id",
-                            F.concat(F.lit("Act "), F.col("user_id").cast("string")).alias("artist_name"),
-                            F.lit("seed").alias("verdict"))
-        return block.unionByName(seed).withColumn("expanded_at", F.lit(None).cast("timestamp_ntz"))
+
+        def opinion(prefix: str, number, verdict: str):
+            return F.struct(F.concat(F.lit(prefix), number.cast("string")).alias("artist_name"),
+                            F.lit(verdict).alias("verdict"))
+
+        u = F.col("user_id")
+        rows = F.array(opinion("ACT ", 100 + u, "block"), opinion("aCt ", 20 + u, "block"), opinion("Act ", u, "seed"))
+        done = (F.col("verdict") == "seed") & (u % 3 == 0)
+        return users.select("user_id", F.inline(rows)).withColumn(
+            "expanded_at", F.when(done, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")))
 
     # B.6 and extra bindings ------------------------------------------------
     @cached_property
