@@ -102,13 +102,6 @@ def clock(plays: DataFrame, tz: str = "UTC", days: int | None = 365, as_of=None)
              .agg(F.count(F.lit(1)).alias("plays")))
 
 
-def _with_duration(plays: DataFrame, durations: DataFrame) -> DataFrame:
-    """Plays left-joined to track lengths on exact (artist, track)."""
-    p = utc_plays(plays, "artist_name", "track_name")
-    d = durations.select("artist_name", "track_name", "duration_ms")
-    return p.join(d, ["artist_name", "track_name"], "left")
-
-
 def _hours(ms_sum):
     return round_half_up_ratio(ms_sum, F.lit(3_600_000), 1)
 
@@ -116,11 +109,25 @@ def _hours(ms_sum):
 def listening_time(plays: DataFrame, durations: DataFrame, period: str = "month",
                    tz: str = "UTC") -> DataFrame:
     """Plays and hours per local week/month; unknown lengths add 0 hours."""
-    tz = check_tz(tz)
-    j = _with_duration(plays, durations)
-    return (j.groupBy("user_id", local_period("listened_at", tz, period).alias("month"))
-             .agg(F.count(F.lit(1)).alias("plays"),
-                  _hours(F.sum(F.coalesce(F.col("duration_ms").cast("long"), F.lit(0)))).alias("hours")))
+    return (with_duration(play_counts(plays, tz, period), durations).groupBy("user_id", "month")
+            .agg(F.sum("n").alias("plays"), _hours(F.sum("ms")).alias("hours")))
+
+
+def play_counts(plays: DataFrame, tz: str = "UTC", period: str = "month") -> DataFrame:
+    """(user, month, artist, track, n): plays counted before any join, so a popular
+    artist or track reaches the join as one row per user and period."""
+    p = utc_plays(plays, "artist_name", "track_name")
+    return (p.groupBy("user_id", local_period("listened_at", check_tz(tz), period).alias("month"),
+                      "artist_name", "track_name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_duration(counts: DataFrame, durations: DataFrame) -> DataFrame:
+    """Counts left-joined to track lengths on exact (artist, track); ``ms`` is the
+    length times the count, 0 for an unknown length."""
+    d = durations.select("artist_name", "track_name", "duration_ms")
+    return (counts.join(d, ["artist_name", "track_name"], "left")
+                  .withColumn("ms", F.coalesce(F.col("duration_ms").cast("long"), F.lit(0)) * F.col("n"))
+                  .drop("duration_ms"))
 
 
 def report(plays: DataFrame, period: str = "month", tz: str = "UTC") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.timeops import check_tz, local_period, part_of_day, weekday
+from cadence.operators.activity import play_counts, with_duration
 from cadence.operators.common import akey, in_window, round_half_up_ratio, top_k, utc_plays
 
 # The primary-tag side is one row per tagged artist and is derived, so its size
@@ -15,21 +16,23 @@ from cadence.operators.common import akey, in_window, round_half_up_ratio, top_k
 # sort-merge join on artist_name (and AQE splits skewed artists).
 
 
-def _tagged(plays: DataFrame, primary: DataFrame, *cols: str) -> DataFrame:
-    """Plays joined to their artist's primary tag (exact spelling);
-    untagged plays drop out."""
-    p = utc_plays(plays, "artist_name", *cols)
-    return p.join(primary.select("artist_name", "tag"), "artist_name")
+def _tagged(counts: DataFrame, primary: DataFrame) -> DataFrame:
+    """Play counts (``n`` per artist and whatever else) joined to the artist's
+    primary tag (exact spelling); untagged plays drop out.  Plays are counted
+    before the join, so no raw play is shuffled on a popular artist."""
+    return counts.join(primary.select("artist_name", "tag"), "artist_name")
 
 
 def genre_clock(plays: DataFrame, primary: DataFrame, tz: str = "UTC",
                 days: int | None = None, as_of=None) -> DataFrame:
     """A5: plays per (weekday 0=Sunday, part of day, primary tag)."""
     tz = check_tz(tz)
-    p = in_window(_tagged(plays, primary), days, as_of)
-    return (p.groupBy("user_id", weekday("listened_at", tz).alias("weekday"),
-                      part_of_day("listened_at", tz).alias("part"), "tag")
-             .agg(F.count(F.lit(1)).alias("plays")))
+    p = in_window(utc_plays(plays, "artist_name"), days, as_of)
+    counts = (p.groupBy("user_id", weekday("listened_at", tz).alias("weekday"),
+                        part_of_day("listened_at", tz).alias("part"), "artist_name")
+               .agg(F.count(F.lit(1)).alias("n")))
+    return (_tagged(counts, primary).groupBy("user_id", "weekday", "part", "tag")
+            .agg(F.sum("n").alias("plays")))
 
 
 def tag_shift(plays: DataFrame, primary: DataFrame, period: str = "month",
@@ -37,9 +40,10 @@ def tag_shift(plays: DataFrame, primary: DataFrame, period: str = "month",
     """Plays per (period, primary tag) and its share of the period's
     tagged plays, rounded half-up to 0.1."""
     tz = check_tz(tz)
-    p = in_window(_tagged(plays, primary), days, as_of)
-    b = (p.groupBy("user_id", local_period("listened_at", tz, period).alias("period_start"), "tag")
-          .agg(F.count(F.lit(1)).alias("plays")))
+    p = in_window(utc_plays(plays, "artist_name"), days, as_of)
+    counts = (p.groupBy("user_id", local_period("listened_at", tz, period).alias("period_start"), "artist_name")
+               .agg(F.count(F.lit(1)).alias("n")))
+    b = _tagged(counts, primary).groupBy("user_id", "period_start", "tag").agg(F.sum("n").alias("plays"))
     total = F.sum("plays").over(Window.partitionBy("user_id", "period_start"))
     return b.withColumn("pct_of_period", round_half_up_ratio(100 * F.col("plays"), total, 1))
 
@@ -48,27 +52,19 @@ def monthly_summary(plays: DataFrame, durations: DataFrame, primary: DataFrame,
                     tz: str = "UTC") -> DataFrame:
     """Per local month plays, new artists, hours and the top primary tag.
 
-    One pass over plays carries duration (J2) and primary tag (left J1); the
-    month digests are then stitched by (user, month) (J7)."""
-    tz = check_tz(tz)
-    p = utc_plays(plays, "artist_name", "track_name")
-    d = durations.select("artist_name", "track_name", "duration_ms")
-    pt = primary.select("artist_name", "tag")
-    base = (p.join(d, ["artist_name", "track_name"], "left")
-             .join(pt, "artist_name", "left")
-             .withColumn("month", local_period("listened_at", tz, "month")))
-    monthly = base.groupBy("user_id", "month").agg(
-        F.count(F.lit(1)).alias("plays"),
-        round_half_up_ratio(F.sum(F.coalesce(F.col("duration_ms").cast("long"), F.lit(0))),
-                            F.lit(3_600_000), 1).alias("hours"))
-    genre = (base.filter(F.col("tag").isNotNull())
-                 .groupBy("user_id", "month", "tag").agg(F.count(F.lit(1)).alias("gp")))
+    All digests come from one count of plays per (user, month, artist, track):
+    hours (J2) and primary tag (J1) are joined to the counts, and the month digests
+    are stitched by (user, month) (J7).  An artist's first month is the earliest
+    month that has a play of it."""
+    counts = play_counts(plays, tz, "month")
+    monthly = with_duration(counts, durations).groupBy("user_id", "month").agg(
+        F.sum("n").alias("plays"), round_half_up_ratio(F.sum("ms"), F.lit(3_600_000), 1).alias("hours"))
+    by_artist = counts.groupBy("user_id", "month", "artist_name").agg(F.sum("n").alias("n"))
+    genre = _tagged(by_artist, primary).groupBy("user_id", "month", "tag").agg(F.sum("n").alias("gp"))
     top = (top_k(genre, 1, ["user_id", "month"], [F.desc("gp"), F.asc("tag")])
            .select("user_id", "month", F.col("tag").alias("top_genre")))
-    firsts = (p.groupBy("user_id", akey().alias("akey"))
-               .agg(F.min("listened_at").alias("first_play")))
-    new = (firsts.groupBy("user_id", local_period("first_play", tz, "month").alias("month"))
-                 .agg(F.count(F.lit(1)).alias("new_artists")))
+    firsts = by_artist.groupBy("user_id", akey().alias("akey")).agg(F.min("month").alias("month"))
+    new = firsts.groupBy("user_id", "month").agg(F.count(F.lit(1)).alias("new_artists"))
     return (monthly.join(new, ["user_id", "month"], "left")
                    .join(top, ["user_id", "month"], "left")
                    .select("user_id", "month", "plays",
@@ -80,10 +76,9 @@ def genre_tracks(plays: DataFrame, primary: DataFrame, tag: str | None = None,
                  limit: int = 60) -> DataFrame:
     """A10: a user's tracks whose artist's primary tag is ``tag`` (every tag
     when None), plays desc, then track, artist; top ``limit`` per (user, tag)."""
-    p = _tagged(plays, primary, "track_name")
-    if tag is not None:
-        p = p.filter(F.col("tag") == tag)
-    g = p.groupBy("user_id", "tag", "artist_name", "track_name").agg(F.count(F.lit(1)).alias("plays"))
+    counts = plays.groupBy("user_id", "artist_name", "track_name").agg(F.count(F.lit(1)).alias("plays"))
+    g = _tagged(counts, primary if tag is None else primary.filter(F.col("tag") == tag)).select(
+        "user_id", "tag", "artist_name", "track_name", "plays")
     return top_k(g, limit, ["user_id", "tag"],
                  [F.desc("plays"), F.asc("track_name"), F.asc("artist_name")])
 

@@ -23,6 +23,7 @@ from cadence.plans.session import materialize
 TASTE_HALF_LIFE_DAYS = 90
 SEED_WEIGHT = 0.5
 RECOMMEND_TOP_N = 20
+BLOCKS = 64  # parts of the artists in which a user's best are found first
 SCORE_DIGITS = 9  # scores are rounded before ranking so float summation order can't flip ties
 
 
@@ -126,56 +127,64 @@ def recommend(scores: DataFrame, vectors: DataFrame, feedback: DataFrame | None
     if "unit" not in vectors.columns:
         vectors = scoring_vectors_from(vectors)
     taste = taste_vectors(scores, vectors)
-    users = taste.select("user_id").distinct()
     au = (vectors.filter(F.col("unit").isNotNull() & (F.col("unit") != 0))
                  .select("artist_name", "akey", "tag", F.col("unit").alias("value")))
-    tu = unit(taste, ["user_id"]).withColumn("kind", F.lit("t"))
-    parts = tu
+    uv = unit(taste, ["user_id"])
     if feedback is not None:
+        # cosines are linear in the user's side: blend the two unit vectors tag by
+        # tag, once per user, instead of joining each of them to the artists
         seedv = seed_vectors(feedback, vectors)
-        has_seed = seedv.select("user_id").distinct().withColumn("has_seed", F.lit(True))
-        parts = parts.unionByName(unit(seedv, ["user_id"]).withColumn("kind", F.lit("s")))
-    # one join for both directions: (user, tag, taste value, seed value)
-    uv = parts.select("user_id", "tag",
-                      F.when(F.col("kind") == "t", F.col("value")).otherwise(0.0).alias("_t"),
-                      F.when(F.col("kind") == "s", F.col("value")).otherwise(0.0).alias("_s"))
-    dots = (uv.join(au, "tag")
-              .groupBy("user_id", "artist_name", "akey")
-              .agg(F.sum(F.col("_t") * F.col("value")).alias("ct"),
-                   F.sum(F.col("_s") * F.col("value")).alias("cs")))
-    dots = dots.join(users, "user_id", "left_semi")
-    if feedback is not None:
-        dots = dots.join(has_seed, "user_id", "left")
-        score = F.when(F.col("has_seed"), (1 - seed_weight) * F.col("ct") + seed_weight * F.col("cs")) \
-                 .otherwise(F.col("ct"))
-    else:
-        score = F.col("ct")
-    cand = (dots.select("user_id", "artist_name", "akey", score.alias("raw"))
-                .filter(F.col("raw") > 0)
-                .join(exclusions(scores, feedback), ["user_id", "akey"], "left_anti")
-                .withColumn("score", F.round("raw", SCORE_DIGITS)))
-    ranked = top_k(cand, k, ["user_id"], [F.desc("score"), F.asc("artist_name")], rank_col="rank")
+        users = (taste.select("user_id").distinct()
+                      .join(seedv.select("user_id").distinct().withColumn("has_seed", F.lit(True)), "user_id", "left"))
+        weight = F.when(F.col("has_seed"), F.when(F.col("kind") == "s", seed_weight).otherwise(1 - seed_weight)).otherwise(1.0)
+        both = uv.withColumn("kind", F.lit("t")).unionByName(unit(seedv, ["user_id"]).withColumn("kind", F.lit("s")))
+        uv = (both.join(users, "user_id").withColumn("value", weight * F.col("value"))
+                  .groupBy("user_id", "tag").agg(F.sum("value").alias("value")))
+    ranked = _best(uv, au, exclusions(scores, feedback), k)
     return ranked.select("user_id", "artist_name", "score", "rank")
 
 
-def _user_tag_plays(plays: DataFrame, primary: DataFrame) -> DataFrame:
-    p = plays.select("user_id", "artist_name")
-    return (p.join(primary.select("artist_name", "tag"), "artist_name")
-             .groupBy("user_id", "tag").agg(F.count(F.lit(1)).alias("plays")))
+def _best(users: DataFrame, artists: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best artists per user by dot product over tags.
+
+    Artists are cut into ``BLOCKS`` blocks.  The join on (tag) is followed by an
+    aggregation keyed by (user, block), inside which a user's partial products
+    with the block's artists meet in one task; the best ``k`` of a block that are
+    not excluded leave it, so the last shuffle holds users x blocks x k rows."""
+    a = artists.withColumn("block", F.pmod(F.xxhash64("artist_name"), F.lit(BLOCKS)))
+    dots = (users.select("user_id", "tag", F.col("value").alias("_u")).join(a, "tag")
+                 .groupBy("user_id", "block", "artist_name", "akey")
+                 .agg(F.sum(F.col("_u") * F.col("value")).alias("raw"))
+                 .filter("raw > 0"))
+    cand = dots.join(excluded, ["user_id", "akey"], "left_anti").withColumn("score", F.round("raw", SCORE_DIGITS))
+    order = [F.desc("score"), F.asc("artist_name")]
+    best = top_k(cand, k, ["user_id", "block"], order)
+    return top_k(best, k, ["user_id"], order, rank_col="rank")
+
+
+def _pair_artist_plays(plays: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(user, artist, n) of the users named in the pairs: a semi join on the pairs'
+    users comes before the count, so nobody else's plays are aggregated."""
+    users = pairs.select(F.explode(F.array("user_a", "user_b")).alias("user_id")).distinct()
+    return (plays.select("user_id", "artist_name").join(users, "user_id", "left_semi")
+                 .groupBy("user_id", "artist_name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _user_tag_plays(counts: DataFrame, primary: DataFrame) -> DataFrame:
+    return (counts.join(primary.select("artist_name", "tag"), "artist_name")
+                  .groupBy("user_id", "tag").agg(F.sum("n").alias("plays")))
 
 
 def _pair_sides(pairs: DataFrame, per_user: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(pair_id, key.., a_val, b_val) for the union of both users' keys (U3):
-    each side is a join of the pairs with per-user rows, then a full outer
-    join on the key.  Touches only users named in the pairs."""
+    each side is a join of the pairs with per-user rows, then both are added up per
+    key."""
     pu = per_user.select("user_id", *keys, value)
     a = (pairs.select("pair_id", F.col("user_a").alias("user_id"))
-              .join(pu, "user_id").select("pair_id", *keys, F.col(value).alias("a_val")))
+              .join(pu, "user_id").select("pair_id", *keys, F.col(value).alias("a_val"), F.lit(0).alias("b_val")))
     b = (pairs.select("pair_id", F.col("user_b").alias("user_id"))
-              .join(pu, "user_id").select("pair_id", *keys, F.col(value).alias("b_val")))
-    return (a.join(b, ["pair_id", *keys], "full")
-             .select("pair_id", *keys, F.coalesce("a_val", F.lit(0)).alias("a_val"),
-                     F.coalesce("b_val", F.lit(0)).alias("b_val")))
+              .join(pu, "user_id").select("pair_id", *keys, F.lit(0).alias("a_val"), F.col(value).alias("b_val")))
+    return a.unionByName(b).groupBy("pair_id", *keys).agg(F.sum("a_val").alias("a_val"), F.sum("b_val").alias("b_val"))
 
 
 def _pct(v: str, total: str):
@@ -186,7 +195,7 @@ def _pct(v: str, total: str):
 
 
 def _compat_tag_sides(plays: DataFrame, primary: DataFrame, pairs: DataFrame):
-    sides = _pair_sides(pairs, _user_tag_plays(plays, primary), ["tag"], "plays")
+    sides = _pair_sides(pairs, _user_tag_plays(_pair_artist_plays(plays, pairs), primary), ["tag"], "plays")
     agg = sides.groupBy("pair_id").agg(
         F.sum(F.col("a_val") * F.col("b_val")).cast("double").alias("dot"),
         F.sum(F.col("a_val") * F.col("a_val")).cast("double").alias("na2"),
@@ -197,8 +206,8 @@ def _compat_tag_sides(plays: DataFrame, primary: DataFrame, pairs: DataFrame):
 
 def _compat_shared(plays: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, akey, a_plays, b_plays) for folded artists both users play."""
-    per_artist = (plays.select("user_id", akey().alias("akey"))
-                       .groupBy("user_id", "akey").agg(F.count(F.lit(1)).alias("plays")))
+    per_artist = (_pair_artist_plays(plays, pairs).groupBy("user_id", akey().alias("akey"))
+                  .agg(F.sum("n").alias("plays")))
     return (_pair_sides(pairs, per_artist, ["akey"], "plays")
             .filter((F.col("a_val") > 0) & (F.col("b_val") > 0))
             .select("pair_id", "akey", F.col("a_val").alias("a_plays"), F.col("b_val").alias("b_plays")))
@@ -227,8 +236,7 @@ def compat_shared_artists(plays: DataFrame, pairs: DataFrame, k: int = 25) -> Da
     by folded name), shown with the modal spelling over both users' plays
     (each play counted once, also when a pair is one user twice)."""
     shared = _compat_shared(plays, pairs)
-    ap = plays.select("user_id", akey().alias("akey"), "artist_name")
-    spell = ap.groupBy("user_id", "akey", "artist_name").agg(F.count(F.lit(1)).alias("n"))
+    spell = _pair_artist_plays(plays, pairs).withColumn("akey", akey())
     users_of_pair = (pairs.select("pair_id", F.col("user_a").alias("user_id"))
                      .unionByName(pairs.select("pair_id", F.col("user_b").alias("user_id")))
                      .distinct())
