@@ -165,14 +165,14 @@ def _hub_pairs(shared: DataFrame, turns: int, num: int, den: int) -> DataFrame:
     shingles with.  The hub of a shingle is its class with most shared shingles in
     the prefix, i.e. the copy with fewest changes of its own, to which most others
     are near; every turn picks it from another part of the classes."""
-    one = F.struct("class", "n", "at")
+    one = F.struct("class", "n", "at", "rank")
     part = F.pmod(F.xxhash64("class"), F.lit(turns))
     hubs = shared.groupBy("gram").agg(*[
         F.max_by(one, F.when(part == t, F.struct("weight", "class"))).alias(f"hub{t}") for t in range(turns)])
     hubs = hubs.select("gram", F.posexplode(F.array(*[f"hub{t}" for t in range(turns)])).alias("turn", "hub")).filter(
-        "hub IS NOT NULL").select("gram", "turn", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("class", "n", "at")])
+        "hub IS NOT NULL").select("gram", "turn", *[F.col(f"hub.{c}").alias(f"b_{c}") for c in ("class", "n", "at", "rank")])
     met = _as(shared, "a", ("gram",)).join(hubs, "gram").filter(
-        (F.col("a_class") != F.col("b_class")) & _may_link(num, den, F.least("a_at", "b_at")))
+        (F.col("a_class") != F.col("b_class")) & _may_link(num, den, F.least("a_rank", "b_rank").cast("long")))
     counted = met.groupBy("a_class", "turn", "b_class").agg(F.count("*").alias("shares"))
     best = counted.groupBy("a_class", "turn").agg(F.max_by("b_class", F.struct("shares", "b_class")).alias("hub"))
     return best.groupBy(F.least("a_class", "hub").alias("a"), F.greatest("a_class", "hub").alias("b")).agg(
@@ -189,20 +189,24 @@ def _all_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     pair was met there.  Only classes with more can still meet twice."""
     mixed = shared.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                        F.count("*").alias("_n")).filter("low < high")
-    rows = shared.drop("weight").join(mixed.select("gram", (F.col("_n") > HOT).alias("hot")), "gram")
+    rows = shared.drop("rank", "weight").join(mixed.select("gram", (F.col("_n") > HOT).alias("hot")), "gram")
     order = Window.partitionBy("class").orderBy("at")
     rows = rows.withColumns({"rank": F.row_number().over(order) - 1,
                              "before": F.collect_list("gram").over(order.rowsBetween(-BEFORE, -1))})
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
-    bands = F.when(F.col("hot"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
-    longer = _as(rows.withColumn("band", F.when(F.col("hot"), band).otherwise(0)).drop("hot"), "b", ("gram", "band"))
-    shorter = _as(rows.withColumn("band", F.explode(bands)).drop("hot"), "a", ("gram", "band"))
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_class") < F.col("b_class")))
     ranks = F.when(F.greatest("a_rank", "b_rank") > BEFORE, F.least("a_rank", "b_rank")).otherwise(F.lit(0))
-    met = shorter.join(longer, ["gram", "band"]).filter(
-        ordered & (F.col("a_component") != F.col("b_component")) & _may_link(num, den, ranks.cast("long"))
-        & ~F.arrays_overlap("a_before", "b_before"))
-    return met.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
+    may_link = (ordered & (F.col("a_component") != F.col("b_component")) & _may_link(num, den, ranks.cast("long"))
+                & ~F.arrays_overlap("a_before", "b_before"))
+    cold = rows.filter("NOT hot").drop("hot")  # both sides alike, so that one shuffle serves them
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
+    hot = rows.filter("hot").drop("hot").withColumn("band", band)
+    next_too = hot.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    keys = ["gram", "band"]
+    met = [_as(cold, "a", ("gram",)).join(_as(cold, "b", ("gram",)), "gram"),
+           _as(next_too, "a", tuple(keys)).join(_as(hot, "b", tuple(keys)), keys)]
+    pairs = [m.filter(may_link).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+             for m in met]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 # --- verification ---------------------------------------------------------------
@@ -233,6 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     pairs' classes are shuffled."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = sets.join(bounded_broadcast(asked, 500_000), "class", "left_semi")
+    sets = sets.groupBy("class").agg(F.first("set").alias("set"))  # a class's rows hold the same set
     tested = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("set").alias("a_set")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("set").alias("b_set")), "b")
 
@@ -263,36 +268,37 @@ def _candidate_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str
         words[r["at"]] = r["bits"]
     packed = words.astype("<i8").tobytes()
 
-    def run(texts: list[str]):
-        sets = shingle_sets(texts, width)
-        return [[set_id(s) for s in sets], [s.astype("<u8").tobytes() for s in sets]]
-
-    def on_bit(batches):
+    def run(batches):
         import pyarrow as pa
 
         flags = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        given: set[int] = set()  # a task gives each class once, so repeated rows stay few
         for b in batches:
-            yield b.filter(pa.array(flags[np.array(b.column("_p"), dtype=np.int64)]))
+            asked = b.column("_t").filter(pa.array(flags[np.array(b.column("_p"), dtype=np.int64)]))
+            new = {}
+            for s in shingle_sets([t or "" for t in asked.to_pylist()], width):
+                new.setdefault(set_id(s), s.astype("<u8").tobytes())
+            names = [c for c in new if c not in given]
+            given.update(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([new[c] for c in names], pa.binary())],
+                                             names=["class", "set"])
 
-    docs = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("_t"))
-    docs = docs.withColumn("_p", place)
-    docs = docs.mapInArrow(on_bit, docs.schema).drop("_p")
-    found = with_text_columns(docs, "_t", run, "class bigint, set binary", keep=["id"])
-    # one shuffle, by class: equal sets of one id are the same, so any of them will do
-    kept = found.join(wanted.withColumnRenamed("id", "_id"), "class").filter(F.col("id").eqNullSafe(F.col("_id")))
-    return kept.select("class", "set").dropDuplicates(["class"])
+    docs = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("_t")).select("_t", place.alias("_p"))
+    found = docs.mapInArrow(run, "class bigint, set binary")
+    return found.join(bounded_broadcast(wanted.select("class"), 500_000), "class", "left_semi")
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """(gram, class, n, at, weight) of the prefix shingles that another class has as well;
-    weight: how many of them the class has."""
+    """(gram, class, n, at, rank, weight) of the prefix shingles that another class has as
+    well; rank: how many of them come before it in its class; weight: how many the
+    class has."""
     prefixes = classes.select("class", F.explode("prefix").alias("gram")).filter("gram IS NOT NULL AND class IS NOT NULL")
     one, other = prefixes.alias("one"), prefixes.alias("other")  # alike, so that one shuffle serves both sides
     met = one.join(other, (F.col("one.gram") == F.col("other.gram")) & (F.col("one.class") != F.col("other.class")), "left_semi")
     at = (F.array_position("prefix", F.col("gram")) - 1).cast("int")
     weight = F.count("*").over(Window.partitionBy("class"))  # a class has no more rows than its prefix
-    return met.join(classes.select("class", "n", "prefix"), "class").select(
-        "gram", "class", "n", at.alias("at"), weight.alias("weight"))
+    rows = met.join(classes.select("class", "n", "prefix"), "class").select("gram", "class", "n", at.alias("at"))
+    return rows.withColumns({"rank": F.row_number().over(Window.partitionBy("class").orderBy("at")) - 1, "weight": weight})
 
 
 def _sets_of(pairs: DataFrame, documents: DataFrame, classes: DataFrame, known: DataFrame | None, text: str, key: str,
