@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text handled by one vectorised step (one longer text is one step).
-CHUNK_BYTES = 1 << 20
-#: Rows per Arrow batch: with texts of a few KB a batch stays at a few MB, and
-#: with 100 KB texts below 100 MB.
-BATCH_ROWS = 512
+CHUNK_BYTES = 1 << 18
+#: Rows per Arrow batch: with texts of a few KB a batch stays below some MB, and
+#: with 100 KB texts below 50 MB.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

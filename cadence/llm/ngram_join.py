@@ -97,13 +97,12 @@ def frequencies(documents: DataFrame, text: str, width: int = WIDTH) -> np.ndarr
         import pyarrow as pa
         from pyspark import TaskContext
 
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint8)
         for b in batches:
             sets = shingle_sets([t or "" for t in b.column(0).to_pylist()], width)
             at, n = np.unique(_counter(np.concatenate([np.zeros(0, np.uint64), *sets])), return_counts=True)
-            total[at] += n.astype(np.uint32)
-        data = np.minimum(total, 255).astype(np.uint8).tobytes()
-        rows = [data[i * per:(i + 1) * per] for i in range(SLICES)]
+            total[at] = np.minimum(total[at] + n, 255)
+        rows = [total[i * per:(i + 1) * per].tobytes() for i in range(SLICES)]
         group = TaskContext.get().partitionId() // 256
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()),
                                           pa.array(rows, pa.binary())], names=["slice", "tasks", "counts"])

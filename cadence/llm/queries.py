@@ -97,5 +97,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+# DuckDB twins.  op1: all pairs that share a shingle, links by the contract's integer
+# test, components by walking the links.  op8: the digests from the table itself,
+# the formatted length from the template's parts.
+_OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3])
+                                          WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS g FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, (shared = x.n AND shared = y.n) AS same FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+walk AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, walk.c FROM walk JOIN links l ON l.a = walk.doc_id),
+least_of AS (SELECT doc_id, min(c) AS component_id FROM walk GROUP BY doc_id),
+twins AS (SELECT b AS doc_id, min(a) AS a FROM links WHERE same GROUP BY b)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, coalesce(least(d.doc_id, e.a), d.doc_id) AS class_id
+FROM documents d LEFT JOIN sizes z USING (doc_id) LEFT JOIN least_of m USING (doc_id) LEFT JOIN twins e USING (doc_id)"""
+
+_OP8_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, r, '""" + FORGED + r"""' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+e AS (SELECT *, replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\', '\b'), chr(10), '\n') AS head,
+             regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS lost,
+             sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard_join": _OP1_SQL, "op8_chat_formatting": _OP8_SQL}
