@@ -6,9 +6,6 @@ rows.  The API returns a bare object instead of a one-element list, so list
 fields are read as raw JSON strings first and parsed again with an array
 schema: Spark's ``from_json`` turns a lone root object into a one-element
 array, which covers both shapes.
-
-The ``render_*`` functions do the inverse from tables (used to land test
-pages from the driver's data, and to check round trips).
 """
 
 from __future__ import annotations
@@ -16,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadence.operators.common import utc_plays
-
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 RECENT_ENVELOPE = ("recenttracks struct<track: string, "
@@ -127,81 +122,3 @@ def parse_top_tracks(docs: DataFrame) -> DataFrame:
     x = items.select("artist_name", F.posexplode_outer("t").alias("pos", "s"))
     return x.select("artist_name", F.coalesce(F.col("s.name"), F.lit("")).alias("track_name"),
                     F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.col("pos") + 1).cast("int").alias("rank"))
-
-
-# -- rendering (tables -> payloads) ------------------------------------------
-
-def _one_or_list(items: Column) -> Column:
-    """JSON of a list, or of its only element -- the API's two shapes."""
-    return F.when(F.size(items) == 1, F.to_json(items[0])).otherwise(F.to_json(items))
-
-
-def render_recent_tracks(plays: DataFrame, username: Column | None = None,
-                         extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """One recent-tracks page per user and UTC day (newest first inside the
-    page); days with an even day-of-month also carry a now-playing row.
-    ``extra_keys`` split pages further and are kept as columns (e.g. the file
-    a page is landed in)."""
-    p = utc_plays(plays, "artist_name", "track_name", "album_name", *extra_keys)
-    user = username if username is not None else F.concat(F.lit("user-"), F.col("user_id").cast("string"))
-    uts = F.expr(f"timestampdiff(SECOND, {_EPOCH}, listened_at)")
-    item = F.struct(F.col("track_name").alias("name"),
-                    F.struct(F.col("artist_name").alias("#text")).alias("artist"),
-                    F.struct(F.coalesce("album_name", F.lit("")).alias("#text")).alias("album"),
-                    F.struct(uts.cast("string").alias("uts"),
-                             F.date_format("listened_at", "dd MMM yyyy, HH:mm").alias("#text")).alias("date"))
-    day = F.to_date("listened_at")
-    pages = (p.groupBy(*extra_keys, user.alias("username"), day.alias("day"))
-              .agg(F.sort_array(F.collect_list(F.struct(uts.alias("k"), item.alias("i"))), asc=False).alias("s")))
-    tracks = F.transform("s", lambda x: x["i"])
-    now = F.struct(F.col("s")[0]["i"]["name"].alias("name"), F.col("s")[0]["i"]["artist"].alias("artist"),
-                   F.col("s")[0]["i"]["album"].alias("album"),
-                   F.lit(None).cast("struct<uts:string,`#text`:string>").alias("date"))
-    with_now = F.when(F.dayofmonth("day") % 2 == 0, F.concat(F.array(now), tracks)).otherwise(tracks)
-    body = _one_or_list(with_now)
-    return pages.select(*extra_keys, F.concat(
-        F.lit('{"recenttracks":{"track":'), body,
-        F.lit(',"@attr":{"user":'), _json_string(F.col("username")),
-        F.lit(',"page":"'), F.date_format("day", "yyyyMMdd"), F.lit('","totalPages":"1"}}}')).alias("value"))
-
-
-def render_artist_tags(artist_tags: DataFrame) -> DataFrame:
-    """One top-tags document per artist; sentinel rows render an empty list."""
-    g = artist_tags.groupBy("artist_name").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("weight")).alias("k"), F.col("tag").alias("t"),
-        F.struct(F.col("tag").alias("name"), F.col("weight").cast("string").alias("count")).alias("i")))).alias("s"))
-    items = F.transform(F.filter("s", lambda x: x["t"] != ""), lambda x: x["i"])
-    return g.select(F.concat(F.lit('{"toptags":{"tag":'), _one_or_list(items),
-                             F.lit(',"@attr":{"artist":'), _json_string(F.col("artist_name")),
-                             F.lit("}}}")).alias("value"))
-
-
-def render_top_tracks(top_tracks: DataFrame) -> DataFrame:
-    """One top-tracks document per artist, best first; sentinels render empty."""
-    g = top_tracks.groupBy("artist_name").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("rank").alias("k"), F.col("track_name").alias("name")))).alias("s"))
-    items = F.transform(F.filter("s", lambda x: x["name"] != ""), lambda x: F.struct(x["name"].alias("name")))
-    return g.select(F.concat(F.lit('{"toptracks":{"track":'), _one_or_list(items),
-                             F.lit(',"@attr":{"artist":'), _json_string(F.col("artist_name")),
-                             F.lit("}}}")).alias("value"))
-
-
-def _json_string(c: Column) -> Column:
-    """A JSON string literal for ``c`` (quotes and escapes by to_json)."""
-    j = F.to_json(F.array(c))
-    return j.substr(F.lit(2), F.length(j) - 2)
-
-
-def render_track_info(asked: DataFrame, durations: DataFrame) -> DataFrame:
-    """track.getInfo answers for the asked (artist, track) pairs: a track
-    with its duration, a track without one (stored length 0), or an API
-    error for tracks the source does not know."""
-    d = durations.select("artist_name", "track_name", "duration_ms")
-    j = asked.select("artist_name", "track_name").join(d, ["artist_name", "track_name"], "left")
-    track = F.when(F.col("duration_ms") > 0,
-                   F.to_json(F.struct(F.col("track_name").alias("name"),
-                                      F.col("duration_ms").cast("string").alias("duration")))) \
-             .otherwise(F.to_json(F.struct(F.col("track_name").alias("name"))))
-    value = F.when(F.col("duration_ms").isNull(), F.lit('{"error":6,"message":"Track not found"}')) \
-             .otherwise(F.concat(F.lit('{"track":'), track, F.lit("}")))
-    return j.select("artist_name", "track_name", value.alias("value"))

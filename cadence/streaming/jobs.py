@@ -1,31 +1,14 @@
 """Run a streaming plan to completion over landed files (``availableNow``),
-with checkpoints and landing folders under the shared checkpoint root."""
+with checkpoints and outputs under the shared checkpoint root."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cadence.plans.session import read_table, scratch_path
-from cadence.sources.payloads import render_recent_tracks
 from cadence.streaming.streams import batch_name
 
 
-def land_pages(plays: DataFrame, path: str, file_col: str) -> None:
-    """Write plays as recent-tracks JSON pages, one folder per ``file_col``."""
-    pages = render_recent_tracks(plays, extra_keys=(file_col,))
-    pages.write.mode("overwrite").partitionBy(file_col).text(path)
-
-
-def replayed_files(plays: DataFrame, rows_per_file: int = 1000) -> DataFrame:
-    """Plays split into files by play_id, every tenth play repeated in the
-    next file (an overlapping re-fetch)."""
-    f = F.floor(F.col("play_id") / rows_per_file).cast("int")
-    first = plays.withColumn("file", f)
-    again = plays.filter(F.col("play_id") % 10 == 0).withColumn("file", f + 1)
-    return first.unionByName(again)
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append",
           checkpoint: str | None = None) -> DataFrame:
     """Run ``stream`` with trigger(availableNow) and return all rows it put out.
@@ -42,12 +25,6 @@ def drain(stream: DataFrame, name: str, mode: str = "append",
     return spark.createDataFrame([], stream.schema) if written is None else written.drop("batch")
 
 
-def land_replayed(spark: SparkSession, plays: DataFrame, name: str) -> str:
-    path = scratch_path(spark, f"landing-{name}")
-    land_pages(replayed_files(plays), path, "file")
-    return path
-
-
 def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = None, mode: str = "append") -> None:
     """Run ``stream`` with trigger(availableNow) through a foreachBatch
     function and wait for it."""
@@ -58,8 +35,3 @@ def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = Non
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-
-
-def land_parquet(df: DataFrame, path: str, file_col: str) -> None:
-    """Land rows as parquet files, one folder per ``file_col``."""
-    df.write.mode("overwrite").partitionBy(file_col).parquet(path)

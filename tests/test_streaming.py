@@ -11,6 +11,7 @@ from cadence.operators import binges as B
 from cadence.plans.session import scratch_path
 from cadence.sources import ingest as I
 from cadence.sources import payloads as P
+from cadence.sources import testpages as TP
 from cadence.streaming import jobs as SJ
 from cadence.streaming import streams as ST
 from tests.conftest import LEA
@@ -22,9 +23,9 @@ def _land_in_order(spark, plays, n_files):
     """Land pages file by file (ascending modification time, so a
     one-file-per-trigger stream sees event time move forward)."""
     path = scratch_path(spark, "landing-test")
-    files = SJ.replayed_files(plays, rows_per_file=max(1, plays.count() // n_files + 1))
+    files = TP.replayed_files(plays, rows_per_file=max(1, plays.count() // n_files + 1))
     for f in range(n_files + 1):
-        pages = P.render_recent_tracks(files.filter(F.col("file") == f))
+        pages = TP.render_recent_tracks(files.filter(F.col("file") == f))
         pages.write.mode("overwrite").text(f"{path}/part-{f:04d}")
         pages.write.mode("append").text(f"{path}/all")
     return f"{path}/all"
@@ -40,7 +41,7 @@ def test_stream_dedupe_multi_batch(spark, small):
     path = _land_in_order(spark, plays, 4)
     stream = ST.plays_from_landing(spark, path, _users(plays), max_files_per_trigger=1)
     out = SJ.drain(ST.dedupe_plays_stream(stream, "7 days"), "t_dedupe")
-    batch = P.parse_recent_tracks(P.render_recent_tracks(plays)).join(_users(plays), "username")
+    batch = P.parse_recent_tracks(TP.render_recent_tracks(plays)).join(_users(plays), "username")
     cols = ["user_id", "artist_name", "track_name", "album_name", "listened_at"]
     assert out.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(out.select(cols)).count() == 0
@@ -197,7 +198,7 @@ def test_live_clock_across_dst_fall_back(spark):
     for f in range(4):  # 3-hour files covering all 10 hours
         part = plays.filter((F.col("listened_at") >= base + dt.timedelta(hours=3 * f)) &
                             (F.col("listened_at") < base + dt.timedelta(hours=3 * f + 3)))
-        P.render_recent_tracks(part).write.mode("append").text(f"{path}/all")
+        TP.render_recent_tracks(part).write.mode("append").text(f"{path}/all")
     users = spark.createDataFrame([(7, "user-7")], "user_id long, username string")
     stream = ST.plays_from_landing(spark, f"{path}/all", users, max_files_per_trigger=1)
     live = SJ.drain(ST.live_clock(stream, NY, delay="2 hours"), "t_dst", mode="update")
