@@ -138,11 +138,14 @@ def window_hashes(h: np.ndarray, width: int, stream: int = 7) -> np.ndarray:
 
 # --- running numpy over texts -----------------------------------------------
 
-def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str] | None = None) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str] | None = None,
+                      per_task: bool = False) -> DataFrame:
     """``df`` with new columns computed from its text column, in Arrow batches.
 
     ``fn`` gets the texts of a batch (null as empty) and returns one sequence per
-    field of ``fields`` (a DDL string).  ``keep`` names the columns to carry along
+    field of ``fields`` (a DDL string); with ``per_task`` it is called once a task,
+    without arguments, to make that function, so that what it remembers ends with
+    the task.  ``keep`` names the columns to carry along
     untouched (all by default); those that clash with a new name, in any case, are
     replaced by the new column."""
     import pyarrow as pa
@@ -159,8 +162,9 @@ def with_text_columns(df: DataFrame, text: str, fn, fields: str, keep: list[str]
     arrow, at = to_arrow_schema(new), kept.index(text) if plain else len(kept)
 
     def run(batches):
+        work = fn() if per_task else fn
         for b in batches:
-            columns = fn([t or "" for t in b.column(at).to_pylist()])
+            columns = work([t or "" for t in b.column(at).to_pylist()])
             made = [pa.array(c, type=f.type, from_pandas=True) for c, f in zip(columns, arrow)]
             yield pa.RecordBatch.from_arrays(list(b.columns[:len(kept)]) + made, names=kept + arrow.names)
 

@@ -45,8 +45,8 @@ RUN = 6
 LEAST = 4
 #: Bits of the bitmap that keeps most windows from leaving their batch.
 BITS = 1 << 22
-#: Words remembered by a worker before it starts anew.
-REMEMBERED = 700_000
+#: Words remembered by a task before it starts anew.
+REMEMBERED = 400_000
 
 PLAIN, NUMBER, QUANTITY, UNIT, NAME, NOTHING = range(6)
 NUMBER_WORDS = frozenset(
@@ -110,15 +110,14 @@ class Kinds(dict):
         return row
 
 
-_KINDS = Kinds()  # one table a worker
 _PLACEHOLDER = _seeds(8, 61)  # the hash of each kind of placeholder
 
 
 class Templates:
     """The template tokens of a batch of texts, one text after the other."""
 
-    def __init__(self, texts: list[str]) -> None:
-        known = _KINDS
+    def __init__(self, texts: list[str], known: Kinds | None = None) -> None:
+        known = Kinds() if known is None else known
         if len(known) > REMEMBERED:
             known.start()
         words = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in map(WORD.findall, texts)]
@@ -203,18 +202,22 @@ def document_windows(documents: DataFrame, widths: tuple[int, ...], bits: np.nda
     """(doc, hash, place, slots) of the document windows that may be a benchmark's."""
     packed = np.packbits(bits)
 
-    def run(texts: list[str]):
-        t, bits = Templates(texts), np.unpackbits(packed).astype(bool)
-        out: list[list] = [[] for _ in texts]
-        for width in widths:
-            h, at = t.windows(width)
-            maybe = bits[_bit(h)]
-            for x, a in zip(h[maybe].tolist(), at[maybe].tolist()):
-                i = int(t.text[a])
-                out[i].append({"hash": x, "place": a - int(t.first[i]), "slots": t.slots(a, width)})
-        return [out]
-
-    found = with_text_columns(documents, text, run, f"_w {_WINDOW}", keep=[key])
+    def start():
+        known, bits = Kinds(), np.unpackbits(packed).astype(bool)
+
+        def run(texts: list[str]):
+            t = Templates(texts, known)
+            out: list[list] = [[] for _ in texts]
+            for width in widths:
+                h, at = t.windows(width)
+                maybe = bits[_bit(h)]
+                for x, a in zip(h[maybe].tolist(), at[maybe].tolist()):
+                    i = int(t.text[a])
+                    out[i].append({"hash": x, "place": a - int(t.first[i]), "slots": t.slots(a, width)})
+            return [out]
+        return run
+
+    found = with_text_columns(documents, text, start, f"_w {_WINDOW}", keep=[key], per_task=True)
     return found.filter(F.size("_w") > 0).select(F.col(key).alias("doc"), F.inline("_w"))
 
 

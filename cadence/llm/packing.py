@@ -28,6 +28,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -40,8 +41,8 @@ from cadence.llm.token_counts import byte_letters
 from cadence.plans.session import materialize
 
 CAPACITY = 2048
-#: Words remembered by a worker before it starts anew (some 200 bytes a word).
-REMEMBERED = 1_000_000
+#: Words remembered by a task before it starts anew (some 200 bytes a word).
+REMEMBERED = 400_000
 
 # Characters whose words can be cut here just as the tokenizer cuts them: no
 # normalisation changes them and both agree on what is space, letter and number.
@@ -74,12 +75,8 @@ class WordIds(dict):
     """Word between spaces, in lower case -> the ids of its parts."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = tokenizer(path)
         self.part = PartIds(self.tokenizer.model).__getitem__
 
     def __missing__(self, word: str) -> bytes:
@@ -100,14 +97,15 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_WORDS: dict[str, WordIds] = {}
-
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    """The tokenizer of a vocabulary file, read once a worker."""
+    from tokenizers import Tokenizer
 
-def word_ids(path: str) -> WordIds:
-    """One table a worker and vocabulary."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def tokenize(documents: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id",
@@ -115,12 +113,16 @@ def tokenize(documents: DataFrame, vocabulary: str, text: str = "text", key: str
     """(key, piece, start, length, ids_crc32) of every piece of every document."""
     end = np.array([separator], dtype="<u4").tobytes()
 
-    def run(texts: list[str]):
-        data = [b + end for b in map(word_ids(vocabulary).text, texts)]
-        step = 4 * capacity
-        return [[len(d) // 4 for d in data], [[zlib.crc32(d[i:i + step]) for i in range(0, len(d), step)] for d in data]]
+    def start():
+        ids, step = WordIds(vocabulary).text, 4 * capacity
+
+        def run(texts: list[str]):
+            data = [ids(t) + end for t in texts]
+            return [[len(d) // 4 for d in data],
+                    [[zlib.crc32(d[i:i + step]) for i in range(0, len(d), step)] for d in data]]
+        return run
 
-    found = with_text_columns(documents, text, run, "_n long, _crc array<long>", keep=[key])
+    found = with_text_columns(documents, text, start, "_n long, _crc array<long>", keep=[key], per_task=True)
     pieces = found.select(key, "_n", F.posexplode("_crc").alias("piece", "ids_crc32"))
     start = F.col("piece").cast("long") * capacity
     return pieces.select(key, "piece", start.alias("start"),

@@ -25,7 +25,7 @@ def ids(tokenizer, text):
 @given(st.text(max_size=60) | st.text(alphabet=st.sampled_from("aSt' é-_9²İΣ<|endofx>\x85\xa0\x1c\t“"), max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_word_by_word_equals_the_tokenizer(text):
-    w = P.word_ids(PATH)
+    w = P.WordIds(PATH)
     assert w.text(text) == w.whole(text)
 
 
