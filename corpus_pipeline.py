@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm import decontaminate, language_id, ngram_join, packing, quality_rules
 from cadence.llm.common import table
-from cadence.plans.session import materialize
+from cadence.plans.session import bounded_broadcast, materialize
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, str], DataFrame], condition: str) -> DataFrame:
@@ -47,7 +47,8 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each component of near copies, the document with the smallest id."""
     groups = ngram_join.link_components(docs).filter("doc_id = component_id")
     stays = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("_rows")), "stays")
-    kept = docs.join(stays, "doc_id")
+    # a row for nearly every document: a merge join at every size
+    kept = docs.join(stays.hint("merge"), "doc_id")
     once = kept.filter("_rows = 1").select(*docs.columns)
     repeated = kept.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
@@ -56,7 +57,9 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    hits = materialize(hits.select("doc_id").distinct(), "hits")
+    # few documents hold an item; beyond the bound the join shuffles both sides
+    return docs.join(bounded_broadcast(hits, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
