@@ -2,12 +2,16 @@
 
 ``extract`` strips markup into a sequence of lines (one per block element),
 gives every line its text length, sums the lengths over sliding line windows and
-keeps the lines between the points where that sum surges and where it dives.
-Lines that are no article text have length 0 beforehand, like the empty lines
-that stripped markup leaves: those inside menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments (by element or by class, id and
-role names), and those that are nearly all link text.  Where a page marks its
-article (``<article>`` or ``<main>``), lines outside it have length 0 as well.
+keeps the lines between the points where that sum surges and where it dives,
+measured against the page's own sums (``kept_between``).
+
+Marks only help: lines inside menus, headers, footers, sidebars, notices, adverts,
+forms and reader comments (by element or by class, id and role names), and those
+that are nearly all link text, have length 0 beforehand, like the empty lines that
+stripped markup leaves (so has a line that begins with a copyright sign); a heading in the window
+of a surge begins the text.  Where a page
+marks its article (``<article>`` or ``<main>``), lines outside it have length 0 as
+well and nothing in it is too short: there the sums only have to leave 0.
 
 Each page is handled alone, in Arrow batches, without a shuffle.
 
@@ -30,6 +34,9 @@ from cadence.llm.common import bounded_batches
 
 #: Lines in a sliding window.
 WINDOW = 3
+#: Share of the page's typical window sum that is a surge, the most characters that
+#: may take, and the share of the largest span that another one needs to count.
+SURGE, ENOUGH, SPAN = 0.25, 90, 0.2
 
 # Elements whose content is not text of the page.
 _OPAQUE = frozenset("script style noscript template svg math iframe object canvas audio video select "
@@ -58,6 +65,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_HEADING = re.compile(r"h[1-6]")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for name in _OPAQUE}
 _SPACE = re.compile(r"\s+")
 
@@ -76,10 +84,10 @@ def _is_furniture(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
+def lines(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Blocks of a page in order: (text, its length, length of link text,
-    inside page furniture, inside the marked article)."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+    inside page furniture, inside the marked article, a heading)."""
+    out: list[tuple[str, int, int, bool, bool, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # element, furniture around it, article around it
@@ -91,7 +99,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, len(text), linked, bad, art))
+                out.append((text, len(text), linked, bad, art, any(_HEADING.fullmatch(x[0]) for x in stack[-2:])))
             parts.clear()
         linked = 0
 
@@ -154,23 +162,42 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
     return out
 
 
-def kept_between(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which lines lie between a surge and the next dive of the window sums.
+def kept_between(lengths: np.ndarray, window: int = WINDOW, heading: np.ndarray | None = None,
+                 marked: bool = False) -> np.ndarray:
+    """Which lines lie between a surge and a dive of the window sums.
 
-    A window's sum is the text length of ``window`` lines from its first on.  It
-    surges where it leaves 0 and dives where it falls back to 0; between the two
-    the first and last line with text are the borders."""
+    A window's sum is the text length of ``window`` lines in a row.  It surges where it
+    rises to ``SURGE`` of the page's typical sum (that of the window in which the median
+    character lies; at most ``ENOUGH`` characters) and dives where it falls below.  A span
+    between the two begins and ends with a line that has half of that by itself, so the
+    short neighbours that a window brings along are left out, unless a heading among them
+    says that the text begins there.  Short spans (less than ``SPAN`` of the largest one and
+    than twice ``ENOUGH``) are notices; the text goes from the first of the others to the
+    last.  In a ``marked`` article every line counts."""
     n = len(lengths)
     keep = np.zeros(n, dtype=bool)
-    if not n:
+    if not n or not lengths.any():
         return keep
-    run = np.concatenate((np.zeros(window - 1, np.int64), lengths, np.zeros(window, np.int64)))
+    run = np.concatenate((np.zeros(window - 1, np.int64), lengths, np.zeros(window - 1, np.int64)))
     sums = np.convolve(run, np.ones(window, np.int64), "valid")  # sums[i]: lines i-window+1 .. i
-    low = np.concatenate(([True], sums == 0, [True]))
-    surge = np.flatnonzero(low[:-1] & ~low[1:])
-    dive = np.flatnonzero(~low[:-1] & low[1:])
-    for a, b in zip(surge, dive):
-        keep[a:b - window + 1] = True
+    order = np.sort(sums)
+    typical = order[np.searchsorted(np.cumsum(order), order.sum() / 2)]
+    least = 1.0 if marked else min(ENOUGH, SURGE * float(typical))
+    low = np.concatenate(([True], sums < least, [True]))
+    surge, dive = np.flatnonzero(low[:-1] & ~low[1:]), np.flatnonzero(~low[:-1] & low[1:])
+    spans = []
+    for a, b in zip(surge.tolist(), dive.tolist()):
+        first = max(a - window + 1, 0)
+        strong = first + np.flatnonzero(lengths[first:b] >= max(least / 2, 1))
+        if len(strong):
+            begin = int(strong[0])
+            if heading is not None:
+                begin = next((i for i in range(max(begin - window + 1, 0), begin) if heading[i] and lengths[i]), begin)
+            spans.append((begin, int(strong[-1]) + 1))
+    sizes = [int(lengths[a:b].sum()) for a, b in spans]
+    spans = [x for x, size in zip(spans, sizes) if marked or size >= min(SPAN * max(sizes), 2 * ENOUGH)]
+    if spans:
+        keep[spans[0][0]:spans[-1][1]] = True
     return keep & (lengths > 0)
 
 
@@ -180,9 +207,10 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     marked = any(x[4] and not x[3] for x in found)
-    lengths = np.array([0 if bad or (marked and not art) or (not marked and 2 * linked > length) else length
-                        for _, length, linked, bad, art in found], dtype=np.int64)
-    return "\n".join(found[i][0] for i in np.flatnonzero(kept_between(lengths)))
+    lengths = np.array([0 if bad or (marked and not art) or (not marked and (2 * linked > length or text[0] == "©")) else length
+                        for text, length, linked, bad, art, _ in found], dtype=np.int64)
+    keep = kept_between(lengths, heading=np.array([x[5] for x in found]), marked=marked)
+    return "\n".join(found[i][0] for i in np.flatnonzero(keep))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -45,6 +45,28 @@ def test_kept_between_surge_and_dive():
     assert not H.kept_between(np.zeros(4, np.int64)).any() and not len(H.kept_between(np.zeros(0, np.int64)))
 
 
+def unmarked(*blocks):
+    return "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>"
+
+
+def test_window_sums_decide_on_pages_without_marks():
+    text = [prose(i, n) for i, n in ((1, 30), (2, 3), (3, 60), (4, 20))]
+    menu, foot = ["Home", "About us", "Contact", "Shop", "Log in"], ["Buy now!", "Terms", "Privacy", "Imprint", "© 2024 all rights"]
+    assert H.main_text(unmarked(*menu, *text, *foot)) == "\n".join(text)
+    notice = "We use cookies to improve this site and to count visits. Go on to accept."
+    page = unmarked(notice, "Fine", *menu, "<h1>A title</h1>", *text, *foot)
+    assert H.main_text(page) == "\n".join(["A title", *text])
+    sums = np.array([4, 8, 7, 4, 300, 12, 250, 6, 5, 9])
+    assert np.flatnonzero(H.kept_between(sums)).tolist() == [4, 5, 6]
+    assert H.kept_between(sums, marked=True).all()
+
+
+def test_short_texts_and_far_parts_of_a_page_without_marks_stay():
+    assert H.main_text(unmarked("one", "two three", "four")) == "one\ntwo three\nfour"
+    far = [prose(1, 400), *["- item"] * 9, prose(2, 30)]
+    assert H.main_text(unmarked(*far)) == "\n".join(far)
+
+
 def test_extract_keeps_rows_and_counts_code_points(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(0, None, "<p>é😀</p>"), (0, None, "<p>é😀</p>")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text")).collect()
