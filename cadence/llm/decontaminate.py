@@ -6,12 +6,16 @@ placeholders.  Every window of ``WIDTH`` template tokens of a document is hashed
 and hash-joined with the windows of the benchmark items; an item shorter than
 that is one window of its own length.  A placeholder's original is the value of
 its slot.  Windows that line up (same distance between place in the document and
-place in the item) are one alignment, and its slots must be consistent: a value
-of the item stands for one value in the document throughout.  So a question with
-other numbers or names is caught, a text that merely has the same shape is not.
+place in the item, give or take ``DRIFT`` words put in or left out) are one
+alignment, and its slots must be consistent: a value of the item stands for the one
+value in the document that it has at half of its places at least.  Windows with
+another value do not count, those with the item's own values always do.  So a
+question with other numbers or names is caught, a text that merely has the same
+shape is not.
 
-A document is contaminated by an item if a consistent alignment holds
-``RUN`` windows, or half of the item's windows if that is fewer.
+A document is contaminated by an item if the windows that count in an alignment are
+``RUN``, or half of the item's windows if that is fewer, or if they cover as many
+words of the item as that many windows in a row do (edits cut windows, not words).
 
 Documents are read once, in Arrow batches.  Only windows whose hash falls on a
 set bit of a bitmap of the benchmark's hashes (fixed size) leave the batch; the
@@ -41,6 +45,8 @@ from cadence.plans.session import materialize
 WIDTH = 8
 #: Windows of one alignment that make a document contaminated.
 RUN = 6
+#: Words put in or left out within an alignment.
+DRIFT = 2
 #: Fewest literal words of a window, and tokens of an item.
 LEAST = 4
 #: Bits of the bitmap that keeps most windows from leaving their batch.
@@ -152,16 +158,20 @@ class Templates:
         at = np.flatnonzero(fit)
         return h[at].view(np.int64), at
 
+    def places(self, at: int, width: int) -> list[int]:
+        """The tokens of a window that are placeholders."""
+        return [i for i in range(at, at + width) if self.kind[i] != PLAIN]
+
+    def original(self, i: int) -> str:
+        value = self.value[self.rows[i]]
+        return f"{value} {self.value[self.unit[i]]}" if self.unit[i] >= 0 else value
+
     def slots(self, at: int, width: int) -> list[str]:
-        out = []
-        for i in range(at, at + width):
-            if self.kind[i] != PLAIN:
-                value = self.value[self.rows[i]]
-                out.append(f"{value} {self.value[self.unit[i]]}" if self.unit[i] >= 0 else value)
-        return out
+        return [self.original(i) for i in self.places(at, width)]
 
 
 _WINDOW = "array<struct<hash: bigint, place: int, slots: array<string>>>"
+_ITEM_WINDOW = "array<struct<hash: bigint, place: int, slots: array<struct<at: int, value: string>>>>"
 
 
 def item_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
@@ -174,10 +184,12 @@ def item_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id")
             for h, at in zip(*(x.tolist() for x in t.windows(width))):
                 i = int(t.text[at])
                 if min(int(size[i]), WIDTH) == width:
-                    out[i].append({"hash": h, "place": at - int(t.first[i]), "slots": t.slots(at, width)})
+                    start = int(t.first[i])
+                    out[i].append({"hash": h, "place": at - start, "slots": [
+                        {"at": j - start, "value": t.original(j)} for j in t.places(at, width)]})
         return [np.minimum(size, WIDTH), out]
 
-    found = with_text_columns(benchmark, text, run, f"width int, _w {_WINDOW}", keep=[key])
+    found = with_text_columns(benchmark, text, run, f"width int, _w {_ITEM_WINDOW}", keep=[key])
     return found.select(F.col(key).alias("item"), F.size("_w").alias("windows"), "width", F.inline("_w")).select(
         "item", "windows", "width", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
 
@@ -221,6 +233,49 @@ def document_windows(documents: DataFrame, widths: tuple[int, ...], bits: np.nda
     return found.filter(F.size("_w") > 0).select(F.col(key).alias("doc"), F.inline("_w"))
 
 
+def counted(met: list[tuple[int, list[tuple[int, str, str]]]]) -> tuple[set[int], int]:
+    """(places of the windows that count, changed slots in them) of one alignment, given
+    each window's place in the item and its slots (place, item's value, document's)."""
+    votes: dict[str, dict[str, list[int]]] = {}
+    for _, slots in met:
+        for at, was, now in slots:
+            votes.setdefault(was, {}).setdefault(now, []).append(at)
+    stands = {}
+    for was, by in votes.items():
+        now = max(by, key=lambda v: (len(set(by[v])), len(by[v]), v == was, v))
+        if 2 * len(set(by[now])) >= len({at for v in by.values() for at in v}):
+            stands[was] = now
+    kept = [w for w in met if all(now == was or stands.get(was) == now for _, was, now in w[1])]
+    return {place for place, _ in kept}, len({(was, now) for _, slots in kept for _, was, now in slots if was != now})
+
+
+def _decided(alignments: DataFrame, run: int) -> DataFrame:
+    """(doc, item, n, windows, changed) of the alignments that contaminate."""
+    names = ["doc", "item", "n", "windows", "changed"]
+
+    def decide(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found, n, changed = [], [], []
+            sizes = zip(b.column("windows").to_pylist(), b.column("width").to_pylist(), b.column("met").to_pylist())
+            for i, (windows, width, met) in enumerate(sizes):
+                places, other = counted([(w["item_place"], [(p["item_slots"]["at"], p["item_slots"]["value"], p["slots"])
+                                                            for p in w["pairs"]]) for w in met])
+                need = min(run, -(-windows // 2))
+                covered = len({k for p in places for k in range(p, p + width)})
+                if len(places) >= need or covered >= need + width - 1:
+                    found.append(i)
+                    n.append(len(places))
+                    changed.append(other)
+            rows = b.take(pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("item"), pa.array(n, pa.int32()),
+                                              rows.column("windows"), pa.array(changed, pa.int32())], names=names)
+
+    kinds = dict(alignments.dtypes)
+    return alignments.mapInArrow(decide, f"doc {kinds['doc']}, item {kinds['item']}, n int, windows int, changed int")
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
                  item_text: str = "text", item_key: str = "item_id", run: int = RUN) -> DataFrame:
     """(key, item_key, windows, item_windows, changed_slots): one row per document
@@ -228,15 +283,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     items = materialize(item_windows(benchmark, item_text, item_key), "benchmark-windows")
     widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect()))  # at most five
     docs = document_windows(documents, widths, bitmap(items), text, key)
-    pair = F.arrays_zip("item_slots", "slots")
-    met = docs.join(items, "hash").select("doc", "item", "windows", (F.col("place") - F.col("item_place")).alias("shift"),
-                                          "item_place", pair.alias("pairs"))
-    lined = met.groupBy("doc", "item", "windows", "shift").agg(
-        F.size(F.collect_set("item_place")).alias("n"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = lined.filter(F.size(F.array_distinct(F.col("pairs.item_slots"))) == F.size("pairs"))
-    enough = F.col("n") >= F.least(F.lit(run), F.ceil(F.col("windows") / 2))
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    return (consistent.filter(enough).groupBy("doc", "item")
-            .agg(F.max("n").alias("windows"), F.max("windows").alias("item_windows"), F.min(changed).alias("changed_slots"))
+    shift = F.col("place") - F.col("item_place")
+    # a row for each alignment that the window may be part of; one holds at most DRIFT + 1 times the item's windows
+    met = docs.join(items, "hash").select(
+        "doc", "item", "windows", "width", "item_place", F.arrays_zip("item_slots", "slots").alias("pairs"),
+        F.explode(F.sequence(shift, shift + DRIFT)).alias("shift"))
+    lined = met.groupBy("doc", "item", "windows", "width", "shift").agg(
+        F.collect_set(F.struct("item_place", "pairs")).alias("met"))
+    return (_decided(lined, run).groupBy("doc", "item")
+            .agg(F.max("n").alias("windows"), F.max("windows").alias("item_windows"), F.min("changed").alias("changed_slots"))
             .select(F.col("doc").alias(key), F.col("item").alias(item_key), "windows", "item_windows", "changed_slots"))

@@ -220,6 +220,22 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in got] == [2]
 
 
+def test_edits_cost_windows_not_the_alignment(spark):
+    long_ = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(56)).split()
+    passage = " ".join([*long_[:20], "5", *long_[20:40], "5", *long_[40:]])
+    fruit = "if a boy has 5 red apples in his small bag and puts in 5 more ripe pears from home what is the sum"
+    plain = " ".join(f"x{chr(97 + i)}" for i in range(20)).split()
+    given = [
+        (1, "so " + passage[::-1].replace("5", "7", 1)[::-1] + " end"),  # one of two equal numbers edited
+        (2, "so " + fruit.replace("5 red", "7 red").replace("5 more", "9 more") + " end"),
+        (3, "so " + " ".join([*plain[:10], "extra", *plain[10:]]) + " end"),
+        (4, "so " + " ".join([*plain[:10], *plain[11:]]) + " end"),
+        (5, "so " + " ".join(plain[:12]) + " end"),  # less than 13 words of 20
+    ]
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs(spark, given), bench(spark, [passage, fruit, " ".join(plain)])).collect()}
+    assert got == {(1, 0), (2, 1), (3, 2), (4, 2)}
+
+
 def test_short_items_empty_tables_and_clashes(spark):
     df = docs(spark, [(1, "we saw the QUICK brown, fox jumps!"), (2, "the quick")]).selectExpr("*", "1 AS item", "2 AS hash")
     got = D.contaminated(df, bench(spark, ["the quick brown fox jumps", "the quick"]).selectExpr("*", "1 AS hash")).collect()
