@@ -4,7 +4,10 @@ Texts are canonicalised to template tokens: words in lower case without marks at
 their ends; numbers (with a unit that follows: quantities) and names become typed
 placeholders.  Every window of ``WIDTH`` template tokens of a document is hashed
 and hash-joined with the windows of the benchmark items; an item shorter than
-that is one window of its own length.  A placeholder's original is the value of
+that is one window of its own length.  A capitalised word at the start of a sentence
+may be a name or not, so windows with such words have a second template in which
+they are names; windows with numbers or names also have a literal key of their
+tokens as they stand, in lower case.  A placeholder's original is the value of
 its slot.  Windows that line up (same distance between place in the document and
 place in the item, give or take ``DRIFT`` words put in or left out) are one
 alignment, and its slots must be consistent: a value of the item stands for the one
@@ -23,8 +26,9 @@ exact join follows, on either side's size, so a large benchmark only lets more
 windows through.  Nothing of the documents is collected.
 
 Defined results: null or empty texts match nothing; items of fewer than
-``LEAST`` tokens, and windows with fewer than ``LEAST`` literal words, match
-nothing, since any text may hold them; repeated rows of a document give the
+``SHORT`` tokens match nothing, since any text may hold them; windows with fewer
+than ``LEAST`` literal words, and items of fewer than ``LEAST`` tokens, match by
+their literal key only; repeated rows of a document give the
 result of one; an empty benchmark or document table gives an empty result.
 """
 
@@ -47,14 +51,18 @@ WIDTH = 8
 RUN = 6
 #: Words put in or left out within an alignment.
 DRIFT = 2
-#: Fewest literal words of a window, and tokens of an item.
+#: Fewest literal words of a template window.
 LEAST = 4
+#: Fewest tokens of an item.
+SHORT = 3
 #: Bits of the bitmap that keeps most windows from leaving their batch.
 BITS = 1 << 22
 #: Words remembered by a task before it starts anew.
 REMEMBERED = 400_000
 
 PLAIN, NUMBER, QUANTITY, UNIT, NAME, NOTHING = range(6)
+#: How a window was hashed.
+TEMPLATE, NAMED, OWN = range(3)
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
@@ -94,6 +102,17 @@ def word_kind(word: str) -> tuple[int, str, bool]:
     return NAME if core.istitle() and core[0].isupper() else PLAIN, low, ends
 
 
+def _with_unit(number, unit):
+    """The hash of a quantity from those of its parts."""
+    return mix64(number + mix64(unit))
+
+
+def _own_hash(value: str) -> int:
+    number, _, unit = (value.encode("utf-8", "surrogatepass")).partition(b" ")
+    h = [np.array([xxhash.xxh3_64_intdigest(x)], np.uint64) for x in (number, unit)]
+    return int(_with_unit(*h)[0] if unit else h[0][0])
+
+
 class Kinds(dict):
     """word -> row of the columns that hold its kind, hash, value and sentence end."""
 
@@ -111,7 +130,8 @@ class Kinds(dict):
         self[word] = row = len(self.value)
         self.kind.append(kind)
         self.ends.append(ends)
-        self.hash.append(xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")))
+        self.hash.append(_own_hash(value) if kind == QUANTITY else xxhash.xxh3_64_intdigest(
+            value.encode("utf-8", "surrogatepass")))
         self.value.append(value)
         return row
 
@@ -135,39 +155,55 @@ class Templates:
         rows, text, kind, ended = rows[real], text[real], kind[real], ended[real]
         same_text = np.diff(text, prepend=-1) == 0
         starts = ~same_text | (np.diff(ended, prepend=-1) > 0)
-        kind[(kind == NAME) & starts] = PLAIN
+        maybe = (kind == NAME) & starts
+        kind[maybe] = PLAIN
         unit = np.full(len(rows), -1)
         follows = np.flatnonzero((kind[1:] == UNIT) & (kind[:-1] == NUMBER) & same_text[1:])
         kind[follows], unit[follows] = QUANTITY, rows[follows + 1]
         keep = np.ones(len(rows), bool)
         keep[follows + 1] = False
         self.rows, self.text, self.kind, self.unit = rows[keep], text[keep], kind[keep], unit[keep]
+        self.maybe = maybe[keep]
         self.kind[self.kind == UNIT] = PLAIN
-        plain = np.array(known.hash, np.uint64)[self.rows]
-        self.hash = mix64(np.where(self.kind == PLAIN, plain, _PLACEHOLDER[self.kind]))
+        known_hash = np.array(known.hash, np.uint64)
+        own = known_hash[self.rows]
+        self.hash = mix64(np.where(self.kind == PLAIN, own, _PLACEHOLDER[self.kind]))
+        self.named = np.where(self.maybe, mix64(_PLACEHOLDER[NAME:NAME + 1]), self.hash)
+        units = np.flatnonzero(self.unit >= 0)
+        own[units] = _with_unit(own[units], known_hash[self.unit[units]])
+        self.own = mix64(own)
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
         self.literal = np.concatenate(([0], np.cumsum(self.kind == PLAIN)))
+        self.starts = np.concatenate(([0], np.cumsum(self.maybe)))
         self.value = known.value
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, first token) of every window of one text with enough literals."""
-        h = window_hashes(self.hash, width, stream=70 + width)
-        n = len(h)
-        fit = (self.text[:n] == self.text[width - 1:width - 1 + n]) & (
-            self.literal[width:width + n] - self.literal[:n] >= LEAST)
-        at = np.flatnonzero(fit)
-        return h[at].view(np.int64), at
-
-    def places(self, at: int, width: int) -> list[int]:
-        """The tokens of a window that are placeholders."""
-        return [i for i in range(at, at + width) if self.kind[i] != PLAIN]
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first token, form) of every window of one text: as a template with
+        enough literals, as one with names at sentence starts, and by its own tokens
+        where no template has the same hash."""
+        n = max(len(self.hash) - width + 1, 0)
+        within = self.text[:n] == self.text[width - 1:width - 1 + n]
+        literal = self.literal[width:width + n] - self.literal[:n]
+        starts = self.starts[width:width + n] - self.starts[:n]
+        fits = ((TEMPLATE, self.hash, literal >= LEAST), (NAMED, self.named, (starts > 0) & (literal - starts >= LEAST)),
+                (OWN, self.own, (literal < width) | (width < LEAST)))
+        out = []
+        for form, tokens, fit in fits:
+            h, at = window_hashes(tokens, width, stream=70 + width), np.flatnonzero(within & fit)
+            out.append((h[at].view(np.int64), at, np.full(len(at), form)))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def places(self, at: int, width: int, form: int = 0) -> list[int]:
+        """The tokens of a window that are placeholders; in its own form, that might be."""
+        return [i for i in range(at, at + width) if self.kind[i] != PLAIN or form != TEMPLATE and self.maybe[i]]
 
     def original(self, i: int) -> str:
         value = self.value[self.rows[i]]
         return f"{value} {self.value[self.unit[i]]}" if self.unit[i] >= 0 else value
 
-    def slots(self, at: int, width: int) -> list[str]:
-        return [self.original(i) for i in self.places(at, width)]
+    def slots(self, at: int, width: int, form: int = 0) -> list[str] | None:
+        """The originals of a window's placeholders; none where it holds its own tokens."""
+        return None if form == OWN else [self.original(i) for i in self.places(at, width, form)]
 
 
 _WINDOW = "array<struct<hash: bigint, place: int, slots: array<string>>>"
@@ -180,13 +216,13 @@ def item_windows(benchmark: DataFrame, text: str = "text", key: str = "item_id")
         t = Templates(texts)
         size = np.diff(t.first)
         out: list[list] = [[] for _ in texts]
-        for width in range(LEAST, WIDTH + 1):
-            for h, at in zip(*(x.tolist() for x in t.windows(width))):
+        for width in range(SHORT, WIDTH + 1):
+            for h, at, form in zip(*(x.tolist() for x in t.windows(width))):
                 i = int(t.text[at])
                 if min(int(size[i]), WIDTH) == width:
                     start = int(t.first[i])
                     out[i].append({"hash": h, "place": at - start, "slots": [
-                        {"at": j - start, "value": t.original(j)} for j in t.places(at, width)]})
+                        {"at": j - start, "value": t.original(j)} for j in t.places(at, width, form)]})
         return [np.minimum(size, WIDTH), out]
 
     found = with_text_columns(benchmark, text, run, f"width int, _w {_ITEM_WINDOW}", keep=[key])
@@ -221,11 +257,11 @@ def document_windows(documents: DataFrame, widths: tuple[int, ...], bits: np.nda
             t = Templates(texts, known)
             out: list[list] = [[] for _ in texts]
             for width in widths:
-                h, at = t.windows(width)
+                h, at, forms = t.windows(width)
                 maybe = bits[_bit(h)]
-                for x, a in zip(h[maybe].tolist(), at[maybe].tolist()):
+                for x, a, form in zip(h[maybe].tolist(), at[maybe].tolist(), forms[maybe].tolist()):
                     i = int(t.text[a])
-                    out[i].append({"hash": x, "place": a - int(t.first[i]), "slots": t.slots(a, width)})
+                    out[i].append({"hash": x, "place": a - int(t.first[i]), "slots": t.slots(a, width, form)})
             return [out]
         return run
 
@@ -281,12 +317,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     """(key, item_key, windows, item_windows, changed_slots): one row per document
     and benchmark item that it holds."""
     items = materialize(item_windows(benchmark, item_text, item_key), "benchmark-windows")
-    widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect()))  # at most five
+    widths = tuple(sorted(r["width"] for r in items.select("width").distinct().collect()))  # at most six
     docs = document_windows(documents, widths, bitmap(items), text, key)
     shift = F.col("place") - F.col("item_place")
     # a row for each alignment that the window may be part of; one holds at most DRIFT + 1 times the item's windows
     met = docs.join(items, "hash").select(
-        "doc", "item", "windows", "width", "item_place", F.arrays_zip("item_slots", "slots").alias("pairs"),
+        "doc", "item", "windows", "width", "item_place",
+        # a window met by its own tokens has the item's values
+        F.arrays_zip("item_slots", F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.col("item_slots.value")).alias(
+            "slots")).alias("pairs"),
         F.explode(F.sequence(shift, shift + DRIFT)).alias("shift"))
     lined = met.groupBy("doc", "item", "windows", "width", "shift").agg(
         F.collect_set(F.struct("item_place", "pairs")).alias("met"))

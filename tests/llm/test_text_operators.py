@@ -220,6 +220,17 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in got] == [2]
 
 
+def test_items_dense_in_numbers_or_names_are_found(spark):
+    items = ["What is 12 + 7 - 5 * 3 / 2 ?", "name Alice, Bob, Carol, Dave, Erin, Frank, Grace and Heidi", "The Rise And Fall Of Empires",
+             "Solve 7*8 now", "Which river runs dry", "Paul met Mary in Rome when Peter left Paris for London with Anna", "ran 12 kg 5 km"]
+    given = [(1, "so what is 12 + 7 - 5 * 3 / 2 ? yes"), (2, "x " + items[1] + " y"), (3, "on the rise and fall of empires it says"),
+             (4, "please solve 7*8 now"), (5, "a line\nWhich river runs dry then"), (6, "as " + items[5].lower() + " so"),
+             (7, "what is 12 + 7 - 5 * 3 / 4 ?"), (8, "name Alice, Bob, Carol, Dave, Erin and Frank"), (9, "ran 12kg 5 km"),
+             (10, "a line\nWhich river runs wet then")]
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in D.contaminated(docs(spark, given), bench(spark, items)).collect()}
+    assert got == {(1, 0): 0, (2, 1): 0, (3, 2): 0, (4, 3): 0, (5, 4): 0, (6, 5): 0, (9, 6): 0}
+
+
 def test_edits_cost_windows_not_the_alignment(spark):
     long_ = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(56)).split()
     passage = " ".join([*long_[:20], "5", *long_[20:40], "5", *long_[40:]])
