@@ -18,7 +18,8 @@ hashes).  Two texts link when ``den * intersection >= num * union``.
    against one class that it shares prefix shingles with (the ``hub`` of a shingle,
    another one each round), which unites copies without looking at all pairs of a
    group; the last round then tests every remaining candidate pair whose classes
-   lie in different components.  No candidate is left out.  Sets are made again
+   lie in different components.  No candidate is left out (``join_links`` tests all pairs and
+   gives the links themselves).  Sets are made again
    from the texts of classes with a candidate pair, none are kept of the others.
 
 Hot shingles: minima per shingle are pre-aggregated; the joins are plain
@@ -328,18 +329,50 @@ def _labelled(classes: DataFrame, component: DataFrame | None) -> DataFrame:
 
 # --- the operator ----------------------------------------------------------------
 
-def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
-                    num: int = NUM, den: int = DEN, hub_rounds: int = 3) -> DataFrame:
-    """(key, n_shingles, component_id, class_id) of every row of ``documents``; class_id
-    is the smallest key with the same set."""
+def _prepared(documents: DataFrame, text: str, key: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their sets, the classes of equal sets, and their shared prefix shingles."""
     bounded_batches(documents.sparkSession)
     rarity = frequencies(documents, text, width)
     rows = materialize(set_rows(documents, rarity, text, key, width, num, den), "sets")
     classes = materialize(rows.filter("n > 0").groupBy("class").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
         F.first("ranges").alias("ranges")), "classes")
-    shared = materialize(_shared(classes), "shared")
+    return rows, classes, materialize(_shared(classes), "shared")
+
+
+def join_links(documents: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
+               num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """The join itself, as (members, links): every candidate pair of classes is verified
+    once, whatever component it lies in.
+
+    members: (key, n_shingles, class, class_id, n_links) of every row of ``documents``;
+    n_links counts the other rows that its text links with, those of its own class
+    included.  links: (a, b, a_id, b_id) of every two linked classes, ``a < b``, with
+    the smallest key of each.  Rows without shingles have no class and no links."""
+    rows, classes, shared = _prepared(documents, text, key, width, num, den)
+    pairs = materialize(_near(_all_pairs(_labelled(shared, None), num, den), classes, num, den), "pairs")
+    sets = materialize(_sets_of(pairs, documents, classes, None, text, key, width), "candidate-sets")
+    linked = materialize(_verified(pairs, sets, num, den).filter("linked").select("a", "b"), "links")
+
+    sizes = rows.filter("n > 0").groupBy("class").agg(F.count("*").alias("rows"))
+    ends = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("rows").alias("others"))
+    known = classes.select("class", F.col("id").alias("class_id")).join(sizes, "class").join(others, "class", "left")
+    named = F.when(F.col("n") > 0, F.col("class")).alias("class")  # the empty set is no class
+    members = rows.select("id", "n", named).join(known, "class", "left").select(
+        F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "class", F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce(F.col("rows") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("n_links"))
+    links = linked
+    for side in ("a", "b"):
+        links = links.join(classes.select(F.col("class").alias(side), F.col("id").alias(f"{side}_id")), side)
+    return members, links.select("a", "b", "a_id", "b_id")
 
+
+def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
+                    num: int = NUM, den: int = DEN, hub_rounds: int = 3) -> DataFrame:
+    """(key, n_shingles, component_id, class_id) of every row of ``documents``; class_id
+    is the smallest key with the same set."""
+    rows, classes, shared = _prepared(documents, text, key, width, num, den)
     component: DataFrame | None = None  # (node, component) of the classes linked so far
     none = classes.sparkSession.createDataFrame([], "a bigint, b bigint, linked boolean")
     tested, sets = none, None

@@ -71,6 +71,26 @@ def test_components_equal_brute_force(spark, rows, hub_rounds):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
+def test_links_equal_brute_force(spark, rows):
+    given = rows + rows[:2]  # repeated rows are texts of their own
+    members, links = J.join_links(docs(spark, given).repartition(3))
+    sets = [shingles(t) for _, t in given]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(given)), 2)
+             for both in [len(sets[i] & sets[j])] if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)]
+    least = {}
+    for (k, _), s in zip(given, sets):
+        least[s] = min(least.get(s, k), k)
+    n = [sum(i in p for p in pairs) for i in range(len(given))]
+    assert max(n) > 5
+    assert sorted((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in members.collect()) == sorted(
+        (k, len(s), least[s] if s else k, m) for (k, _), s, m in zip(given, sets, n))
+    want = {frozenset((least[sets[i]], least[sets[j]])) for i, j in pairs if sets[i] != sets[j]}
+    found = [frozenset((r.a_id, r.b_id)) for r in links.collect()]
+    assert set(found) == want and len(found) == len(want)
+    members, links = J.join_links(docs(spark, given).limit(0))
+    assert members.count() == 0 and links.count() == 0
+
+
 def test_repeated_rows_empty_table_and_extra_columns(spark):
     t = prose(5, 30)
     given = [(7, t), (7, t), (9, t), (4, None), (4, "")]
