@@ -5,9 +5,11 @@ Each stage gets the documents that its predecessor kept, reads the side tables
 with all their columns; the last one returns packed pieces.  Models are fitted
 on the stage's own input.
 
-Defined results: null and empty texts are rejected by the quality rules; rows
-with a null id have no copies and are kept by the join; rows that repeat an id
-and text count as copies of each other; empty tables give empty results.
+Defined results: null and empty texts are rejected by the quality rules; copies and
+benchmark items are found by row, whatever its id: a row with a null id comes after
+those with one, rows of one id with other texts are judged each by its own; rows
+that repeat an id and text count as copies of each other; rows without id and words
+have no copies; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,23 +45,33 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _kept(docs, lambda d, text: language_id.identify(d, model, text), "NOT rejected")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, which names a row by id and text (64-bit hash), ordered by
+    id, null ids last; only rows that repeat both share one."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                                            F.xxhash64("text").alias("text")))
+
+
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the smallest id."""
-    groups = ngram_join.link_components(docs).filter("doc_id = component_id")
-    stays = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("_rows")), "stays")
+    keyed = _keyed(docs)
+    groups = ngram_join.link_components(keyed, key="_key").filter("_key = component_id")
+    stays = materialize(groups.groupBy("_key").agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_shingles")), "stays")
     # a row for nearly every document: a merge join at every size
-    kept = docs.join(stays.hint("merge"), "doc_id")
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    repeated = kept.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
+    kept = keyed.join(stays.hint("merge"), "_key")
+    alone = F.expr("_rows = 1 OR doc_id IS NULL AND _shingles = 0")
+    once = kept.filter(alone).select(*docs.columns)
+    repeated = kept.filter(~alone).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    hits = materialize(hits.select("doc_id").distinct(), "hits")
+    keyed = _keyed(docs)
+    hits = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), key="_key")
+    hits = materialize(hits.select("_key").distinct(), "hits")
     # few documents hold an item; beyond the bound the join shuffles both sides
-    return docs.join(bounded_broadcast(hits, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(bounded_broadcast(hits, 1_000_000), "_key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

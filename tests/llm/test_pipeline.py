@@ -52,6 +52,17 @@ def test_one_of_each_group_stays_with_nulls_and_repeats(spark):
     assert kept.columns[-2:] == ["class", "n"]
 
 
+def test_rows_without_id_and_ids_with_other_texts_are_judged_by_row(spark):
+    a, b, c = prose(1, 50), prose(2, 50), prose(3, 50)
+    given = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, a), (None, ""), (None, "")]
+    kept = CP.keep_one_of_copies(spark, docs(spark, given), SMALL)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(1, a), (None, b), (2, c), (None, ""), (None, "")], key=repr)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    clean = CP.drop_contaminated(spark, docs(spark, [(None, f"{a} {item}"), (None, a), (3, item), (3, b), (None, None)]), SMALL)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([(None, a), (3, b), (None, None)], key=repr)
+
+
 def test_filters_on_clashing_columns_and_empty_tables(spark):
     d = docs(spark, [(1, prose(1, 50)), (2, "short"), (3, None)]).selectExpr("*", "1 AS kept", "2 AS quality_score")
     for f, ids in ((CP.keep_quality, {1}), (CP.drop_contaminated, {1, 2, 3})):
