@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import (chat_format, decontaminate, html_text, language_id, ngram_join, packing, quality_knn, quality_rules,
-                         token_counts, url_filter)
+                         token_counts, url_filter, whitening)
 from cadence.llm.common import table
 
 
@@ -82,6 +82,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.blocks(table(spark, sf_dir, "embeddings"))
+    found = whitening.whiten(rows, whitening.fit(rows))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_chat_formatting,
         op9_token_counts,
         op10_url_filters,
+        op11_embedding_whitening,
     )}
 
 
