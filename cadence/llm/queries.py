@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadence.llm import (chat_format, decontaminate, html_text, language_id, ngram_join, packing, quality_knn, quality_rules,
+from cadence.llm import (chat_format, decontaminate, html_text, language_id, license_scan, merkle, ngram_join, packing, quality_knn, quality_rules,
                          token_counts, url_filter, whitening)
-from cadence.llm.common import table
+from cadence.llm.common import crc_remainder, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents are folded with a text that lost its line ends."""
+    altered = F.when(crc_remainder(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered)
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard_join,
@@ -101,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_token_counts,
         op10_url_filters,
         op11_embedding_whitening,
+        op12_merkle_manifest,
+        op13_license_scans,
     )}
 
 
@@ -136,5 +149,53 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(lost) AS loss_cha
        CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
 
 
+# Levels by a walk over the nodes; crc32 bit by bit, since DuckDB has none.
+_OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1),
+                lambda i: ord(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT),
+              lambda c, b: list_reduce([xor(c, b)] || range(8),
+                lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) + 1 END AS odd FROM documents),
+f AS (SELECT *, concat(
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+        coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+      replace(text, chr(10), '') AS cut FROM d),
+l AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN odd % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS altered FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM l),
+below AS (
+  SELECT 0 AS level, grp, place, leaf AS node FROM p
+  UNION ALL
+  SELECT any_value(level) + 1, grp, place // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM below) WHERE n > 1 GROUP BY grp, place // 3),
+tops AS (SELECT grp, max(level) AS height, arg_max(node, level) AS subroot FROM below GROUP BY grp),
+above AS (
+  SELECT 0 AS level, grp AS place, subroot AS node FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, place // 3, sha256(string_agg(node, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM above) WHERE n > 1 GROUP BY place // 3),
+nodes AS (SELECT grp, level, place, node FROM below UNION ALL SELECT -1, level, place, node FROM above),
+sides AS (SELECT a.grp, a.level, a.place,
+                 coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS before,
+                 coalesce(string_agg(b.node, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS after
+          FROM nodes a JOIN nodes b ON a.grp = b.grp AND a.level = b.level AND a.place // 3 = b.place // 3 GROUP BY ALL),
+ends AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM above),
+way AS (
+  SELECT row_number() OVER () AS row, doc_id, p.grp, leaf, subroot, root, tops.height AS inner_height, ends.height AS outer_height,
+         0 AS step, place AS at, coalesce(altered, leaf) AS node, '' AS siblings
+  FROM p JOIN tops ON tops.grp = p.grp CROSS JOIN ends
+  UNION ALL
+  SELECT w.row, w.doc_id, w.grp, w.leaf, w.subroot, w.root, inner_height, outer_height, step + 1,
+         CASE WHEN step + 1 = inner_height THEN w.grp ELSE w.at // 3 END,
+         sha256(before || w.node || after), siblings || before || after
+  FROM way w JOIN sides s ON s.grp = CASE WHEN step < inner_height THEN w.grp ELSE -1 END
+       AND s.level = CASE WHEN step < inner_height THEN step ELSE step - inner_height END
+       AND s.place = CASE WHEN step < inner_height THEN w.at WHEN step = inner_height THEN w.grp ELSE w.at END
+  WHERE step < inner_height + outer_height)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM way WHERE step = inner_height + outer_height"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1_SQL, "op8_chat_formatting": _OP8_SQL}
+    return {"op12_merkle_manifest": _OP12_SQL, "op1_ngram_jaccard_join": _OP1_SQL, "op8_chat_formatting": _OP8_SQL}
