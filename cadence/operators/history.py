@@ -135,15 +135,21 @@ def matches(plays: DataFrame, searches: DataFrame) -> DataFrame:
     s = prepare_searches(searches)
     p = utc_plays(plays, "artist_name", "track_name", "album_name")
     p = p.select("*", *[F.lower(c).alias(f"_{c}_lc") for c in ("artist_name", "track_name", "album_name")])
-    j = s.join(p, "user_id")
-    return j.filter(F.expr(match_predicate())).select(
+    return tested(s.join(p, "user_id"))
+
+
+def tested(met: DataFrame) -> DataFrame:
+    """The joined (search, play) rows that fulfil the whole search."""
+    return met.filter(F.expr(match_predicate())).select(
         "search_id", "user_id", "artist_name", "track_name", "album_name", "listened_at",
         "sort", "direction")
 
 
-def totals(plays: DataFrame, searches: DataFrame) -> DataFrame:
-    """Matches per search (0 when none) -- all matches, not the page."""
-    m = matches(plays, searches).groupBy("search_id").agg(F.count(F.lit(1)).alias("total"))
+def totals(plays: DataFrame | None, searches: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """Matches per search (0 when none) -- all matches, not the page.  ``matched``
+    gives the matches if they are known already (``search_index``)."""
+    m = matches(plays, searches) if matched is None else matched
+    m = m.groupBy("search_id").agg(F.count(F.lit(1)).alias("total"))
     return (searches.select("search_id").join(m, "search_id", "left")
                     .select("search_id", F.coalesce("total", F.lit(0)).cast("long").alias("total")))
 
@@ -153,12 +159,13 @@ def clamp_page(limit: int, offset: int) -> tuple[int, int]:
     return max(1, min(int(limit), MAX_PAGE)), max(0, int(offset))
 
 
-def page(plays: DataFrame, searches: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def page(plays: DataFrame | None, searches: DataFrame, limit: int = 50, offset: int = 0,
+         matched: DataFrame | None = None) -> DataFrame:
     """Q1: one page per search, ordered by the search's whitelisted column and
     direction (ASC puts NULLs last, DESC first, like Postgres), then
     listened_at desc, track, artist.  Any positive limit and offset hold."""
     limit, offset = max(1, int(limit)), max(0, int(offset))
-    m = matches(plays, searches)
+    m = matches(plays, searches) if matched is None else matched
     by_time = F.col("sort") == "listened_at"
     sv = (F.when(F.col("sort") == "artist_name", F.col("artist_name"))
            .when(F.col("sort") == "track_name", F.col("track_name"))

@@ -100,3 +100,22 @@ def page_sql(limit: int, offset: int) -> str:
               listened_at DESC, track_name, artist_name) AS INTEGER) AS pos FROM m)
 SELECT search_id, pos, artist_name, track_name, album_name, listened_at FROM r
 WHERE pos > {offset} AND pos <= {offset + limit}""")
+
+
+# Predicates of the searches over the long plays, written out by hand.
+LONG_ORACLE = [
+    "contains(lower(artist_name), 'brand#' || CAST(user_id % 25 + 1 AS VARCHAR)) AND year(listened_at) = 1996",
+    "contains(lower(track_name), 'ring') AND month(listened_at) = 3",
+    f"{O.local_date('listened_at', NY)} = DATE '1996-03-15'",
+    "(artist_name ILIKE '%plate%' OR track_name ILIKE '%plate%') AND (artist_name ILIKE '%old%' OR track_name ILIKE '%old%')"
+    " AND year(listened_at) IN (1995, 1997)",
+    f"album_name ILIKE '%promo%' AND artist_name ILIKE '%#7%' AND {O.weekday('listened_at', NY)} = 0",
+    "FALSE",
+]
+
+
+def long_total_sql() -> str:
+    parts = [f"SELECT user_id, {i} AS i, COUNT(*) FILTER (WHERE {pred}) AS total FROM plays_long GROUP BY user_id"
+             for i, pred in enumerate(LONG_ORACLE)]
+    return O.with_bindings("SELECT CAST(user_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS search_id, CAST(total AS BIGINT) AS total FROM ("
+                           + "\nUNION ALL\n".join(parts) + ")")

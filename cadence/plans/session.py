@@ -104,7 +104,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # the schema is known: no job reads it from a footer
+
+
+def materialize_counted(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates over the rows (``rows`` and those given) that are taken
+    while they are written, so that no second job reads the table for them."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    columns = [F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())]
+    out = materialize(df.observe(seen, *columns), name)
+    return out, seen.get
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:

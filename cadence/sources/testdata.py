@@ -34,6 +34,17 @@ SEARCH_TEMPLATES = [
     ("click", "UTC", "listened_at", "desc", "some day", None),
 ]
 
+# Searches of every customer over ``plays_long``; "{n}" is a brand number that
+# depends on the customer.
+LONG_SEARCHES = [
+    ('artist:"brand#{n}" year:1996', "UTC"),
+    ("track:ring month:3", "UTC"),
+    ("date:1996-03-15", "America/New_York"),
+    ("plate old year:1995 year:1997", "UTC"),
+    ('album:promo artist:"#7" day:sunday', "America/New_York"),
+    ("no-such-name year:1996", "UTC"),
+]
+
 # The five stand-in top tracks per tagged act, best first.
 TOP_TRACK_SLOTS = [("view", 1), ("b-side", 2), ("click", 3), ("encore", 4), ("purchase", 5)]
 
@@ -213,6 +224,17 @@ class TestTables:
         return s.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string"))
                         .alias("search_id"), "user_id", "query", "tz", "sort", "direction", "start", "end")
 
+    @cached_property
+    def searches_long(self) -> DataFrame:
+        """``LONG_SEARCHES`` for every customer with plays (search_id 'u-i')."""
+        number = (F.col("user_id") % 25 + 1).cast("string")
+        rows = [F.struct(F.lit(i).alias("i"), F.replace(F.lit(q), F.lit("{n}"), number).alias("query"), F.lit(tz).alias("tz"))
+                for i, (q, tz) in enumerate(LONG_SEARCHES)]
+        users = self.table("orders").join(self.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+        users = users.select(F.col("o_custkey").alias("user_id")).distinct()
+        return (users.select("user_id", F.inline(F.array(*rows)))
+                .select(F.concat_ws("-", "user_id", "i").alias("search_id"), "user_id", "query", "tz"))
+
     @cached_property
     def sync_runs(self) -> DataFrame:
         """Sync runs per customer: one per shipped line, started at the ship
