@@ -164,7 +164,8 @@ class HistoryIndex:
     def planned(self, searches: DataFrame) -> DataFrame:
         """The prepared searches with ``days`` (array, null: any day) and ``hits`` (the names
         that drive it, as kind and value; null: none).  Searches that cannot match are left out."""
-        s = H.prepare_searches(searches).filter("error IS NULL")
+        # written, so that the parse is not run again for every use of a parsed field
+        s = materialize(H.prepare_searches(searches).filter("error IS NULL"), "parsed-searches")
         span = self._plays().agg(F.min("play_month"), F.last_day(F.max("play_month"))).first()
         if span[0] is None:
             return s.limit(0).withColumns({"days": F.lit(None).cast("array<date>"), "driver": F.lit(None).cast("string"),
