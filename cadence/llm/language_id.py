@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cadence.llm.common import (bounded_sample, crc_remainder, dense_rows, ngram_counts, sparse_bytes,
                                 unit_rows, with_text_columns)
+from cadence.plans.session import bounded_broadcast
 
 DIMS = 4096
 SIZES = (2, 3)
@@ -75,17 +76,24 @@ def _k_means(x: np.ndarray, k: int, steps: int = 12) -> np.ndarray:
 
 
 def fit_counts(languages: list[str], counts: np.ndarray, clusters: int = 4, slack: float = 0.5) -> LanguageModel:
-    """The model of labelled n-gram counts.  The smallest accepted cosine of a
-    language is ``slack`` times the 0.1 % quantile of its training texts, since
-    unseen short texts lie farther out than those that shaped the centroids."""
+    """The model of labelled n-gram counts, a dense row a text."""
+    return fit_sparse(languages, sparse_bytes(counts), clusters, slack)
+
+
+def fit_sparse(languages: list[str], packed: list[bytes], clusters: int = 4, slack: float = 0.5) -> LanguageModel:
+    """The model of labelled n-gram counts (``sparse_bytes``).  The smallest accepted
+    cosine of a language is ``slack`` times the 0.1 % quantile of its training texts, since
+    unseen short texts lie farther out than those that shaped the centroids.  Only one
+    language's rows are dense at a time."""
     if not len(languages):
         return LanguageModel((), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    idf = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1.0)
-    x = vectors(counts, idf)
+    held = np.zeros(DIMS, dtype=np.int64)
+    for b in packed:
+        held[np.frombuffer(b, "<u2", len(b) // 6)] += 1  # a place stands once in a row
+    idf = np.log((1.0 + len(packed)) / (1.0 + held)).astype(np.float32) + np.float32(1.0)
     names, rows, least = [], [], []
-    label = np.array(languages)
     for lang in sorted(set(languages)):
-        own = x[label == lang]
+        own = vectors(dense_rows([b for b, of in zip(packed, languages) if of == lang], DIMS), idf)
         c = _k_means(own, clusters)
         floor = slack * float(np.quantile((own @ c.T).max(axis=1), 0.001))
         names += [lang] * len(c)
@@ -96,16 +104,17 @@ def fit_counts(languages: list[str], counts: np.ndarray, clusters: int = 4, slac
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
         per_language: int = 1000, clusters: int = 4) -> LanguageModel:
-    """Fit on at most ``per_language`` rows of every non-null ``lang``."""
+    """Fit on at most ``per_language`` texts of every non-null ``lang``; of an id that
+    repeats, one text."""
     chosen = bounded_sample(documents.filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
                             .select(F.col(key).alias("_key"), F.col(lang).alias("_lang")), "_key", per_language, "_lang")
-    # at most per_language x languages rows: a bounded broadcast
     rows = documents.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_t")).join(
-        F.broadcast(chosen), ["_key", "_lang"], "left_semi").filter("_t IS NOT NULL")
-    packed = with_text_columns(rows, "_t", lambda ts: [sparse_bytes(ngram_counts(ts, _CLASS, SIZES, DIMS))],
-                               "grams binary", keep=["_key", "_lang"]).collect()
+        bounded_broadcast(chosen, 200_000), ["_key", "_lang"], "left_semi").filter("_t IS NOT NULL")
+    found = with_text_columns(rows, "_t", lambda ts: [sparse_bytes(ngram_counts(ts, _CLASS, SIZES, DIMS))],
+                              "grams binary", keep=["_key", "_lang"])
+    packed = found.groupBy("_key", "_lang").agg(F.min("grams").alias("grams")).collect()
     packed.sort(key=lambda r: (str(r["_key"]), r["_lang"], bytes(r["grams"])))
-    return fit_counts([r["_lang"] for r in packed], dense_rows([bytes(r["grams"]) for r in packed], DIMS), clusters)
+    return fit_sparse([r["_lang"] for r in packed], [bytes(r["grams"]) for r in packed], clusters)
 
 
 def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

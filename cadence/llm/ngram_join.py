@@ -44,8 +44,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.llm.common import bounded_batches, chunks, mix64, window_hashes, with_text_columns, word_hashes
-from cadence.llm.components import connected
-from cadence.plans.session import bounded_broadcast, materialize
+from cadence.llm.components import connected, near_labels
+from cadence.plans.session import bounded_broadcast, materialize, materialize_counted
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: Bits of a shingle's hash that name its counter in the frequency sketch, and the
@@ -319,6 +319,22 @@ def _across(pairs: DataFrame, component: DataFrame | None) -> DataFrame:
     return pairs.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b"))
 
 
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after some more links between them: only those that the links
+    touch are contracted."""
+    if component is None:
+        return connected(links)
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        known = component.select(F.col("node").alias(side), F.col("component").alias("_c"))
+        ends = ends.join(known, side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+    joined = connected(ends)
+    old = component.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left")
+    # a class without a link so far is its own component, and new here
+    new = joined.join(component, "node", "left_anti").select("node", "component")
+    return old.select("node", F.coalesce("_new", "component").alias("component")).unionByName(new)
+
+
 def _labelled(classes: DataFrame, component: DataFrame | None) -> DataFrame:
     """Adds ``component``; a class without a link is a component of its own."""
     if component is None:
@@ -380,17 +396,18 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
         hubs = materialize(_near(_hub_pairs(shared, hub_rounds, num, den), classes, num, den), "hubs")
         sets = materialize(_sets_of(hubs, documents, classes, None, text, key, width), "candidate-sets")
     for turn in range(hub_rounds):
-        pairs = _across(hubs.filter(F.col("turn") == turn), component)
-        new = materialize(_verified(pairs, sets, num, den), "verified")
-        tested = tested.unionByName(new)
-        if new.filter("linked").count():
-            component = connected(tested.filter("linked"))
+        # pairs whose classes have one label need no test; labels of a step or two do for that
+        seen = materialize(near_labels(tested.filter("linked")), "labels") if turn else None
+        pairs = _across(hubs.filter(F.col("turn") == turn), seen)
+        tested = tested.unionByName(materialize(_verified(pairs, sets, num, den), "verified"))
+    if hub_rounds:
+        component = connected(tested.filter("linked"))
     pairs = _all_pairs(_labelled(shared, component), num, den).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(_near(pairs, classes, num, den), "rest")
-    more = materialize(_sets_of(rest, documents, classes, sets, text, key, width), "candidate-sets")
-    new = materialize(_verified(rest, more if sets is None else sets.unionByName(more), num, den), "verified")
-    if new.filter("linked").count():
-        component = connected(tested.unionByName(new).filter("linked"))
+    rest, left = materialize_counted(_near(pairs, classes, num, den), "rest")
+    if left["rows"]:
+        more = materialize(_sets_of(rest, documents, classes, sets, text, key, width), "candidate-sets")
+        found = _verified(rest, more if sets is None else sets.unionByName(more), num, den).filter("linked")
+        component = _merged(component, materialize(found, "verified"))
 
     ids = _labelled(classes.select("class", "id"), component)
     least = ids.groupBy("component").agg(F.min("id").alias("least"))
