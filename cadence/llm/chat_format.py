@@ -4,7 +4,11 @@
 nested field paths that a record fills are hashed to a fingerprint; the
 fingerprint selects the layout's declarative mapping, which turns the record
 into rows (conversation, turn, role, text).  Fields that no layout knows do not
-enter the fingerprint, so extra columns change nothing.
+enter the fingerprint, so extra columns change nothing.  A record with a filled field of
+turn rows (turn, role, text) is such a row, whatever other known fields are beside
+them: these are extra columns too.  So are filled fields that would leave a record
+without a layout: of the layouts whose fields it fills, the one with the most fields is
+taken, ties by the order of ``LAYOUTS``.  Field names match in any case, as in Spark.
 
 ``format_chats`` renders each conversation with a template that marks turns and
 escapes control strings inside texts, and gives the loss mask as spans over the
@@ -18,7 +22,7 @@ and line feeds written as ``\\b`` and ``\\n``, since a line feed ends it.
 Defined results: null text or role counts as empty; rows with a null
 conversation id form one conversation; turns are ordered by turn, then role,
 then text (nulls first), so ties and repeated rows have one order; a record
-whose fingerprint no layout has is returned by ``unmatched`` and takes no part in
+that fills the fields of no layout is returned by ``unmatched`` and takes no part in
 formatting; an empty table gives an empty result.  A conversation is one output string: its turns meet in
 one row, whatever their number.
 """
@@ -103,33 +107,55 @@ def json_schema(layouts: Sequence[Layout] = LAYOUTS) -> T.StructType:
     return T.StructType([T.StructField(f, kind(i)) for f, i in sorted(known_fields(layouts).items())])
 
 
-def fingerprint(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """Hash of the known nested field paths that a row fills.  Single text fields
-    count when not null, the fields of list items when the list is not null.  The
-    three fields of turn rows count together: always in a table that has no other
-    known field, else when one of them is not null."""
-    columns = {f.name: f.dataType for f in df.schema.fields}
-    together: dict[str, Column] = {}
-    for lay in layouts:
-        if lay.rows and set(lay.rows) <= set(columns):
-            alone = not (set(known_fields(layouts)) - set(lay.rows)) & set(columns)
-            filled = F.coalesce(*[F.col(f"`{f}`").cast("string") for f in lay.rows]).isNotNull()
-            together |= dict.fromkeys(lay.rows, F.lit(True) if alone else filled)
-    paths = []
+def _columns(df: DataFrame) -> dict[str, T.DataType]:
+    """Column types by lower-cased name."""
+    return {f.name.lower(): f.dataType for f in df.schema.fields}
+
+
+def _filled(df: DataFrame, layouts: Sequence[Layout]) -> dict[str, Column]:
+    """Known nested field path -> whether a row fills it: single text fields count when
+    not null, the fields of list items when the list is not null."""
+    columns, out = _columns(df), {}
     for field, items in sorted(known_fields(layouts).items()):
         kind = columns.get(field)
         if kind is None:
             continue
         if items:
-            if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
-                continue
-            for i in sorted(set(items) & set(kind.elementType.names)):
-                paths.append((f"{field}[].{i}", F.col(f"`{field}`").isNotNull()))
+            if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+                have = {n.lower() for n in kind.elementType.names}
+                out |= {f"{field}[].{i}": F.col(f"`{field}`").isNotNull() for i in items if i in have}
         elif not isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
-            paths.append((field, together.get(field, F.col(f"`{field}`").isNotNull())))
-    found = F.array_compact(F.array(*[F.when(there, F.lit(p)) for p, there in sorted(paths, key=lambda x: x[0])])
-                            ) if paths else F.array().cast("array<string>")
-    return F.substring(F.sha2(F.array_join(found, "\n"), 256), 1, 16)
+            out[field] = F.col(f"`{field}`").isNotNull()
+    return out
+
+
+def fingerprint(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> Column:
+    """Hash of the known nested field paths that make a row's layout.
+
+    The three fields of turn rows count as filled together and alone: in every row of a
+    table that has the fields of no other layout, else where one of them is not null.
+    Other rows have the hash of the paths they fill, or, where no layout has that one,
+    of the largest layout among them."""
+    filled = _filled(df, layouts)
+    listed = F.array_compact(F.array(*[F.when(there, F.lit(p)) for p, there in sorted(filled.items())])
+                             ) if filled else F.array().cast("array<string>")
+    whole = F.substring(F.sha2(F.array_join(listed, "\n"), 256), 1, 16)
+    fitting = [lay for lay in layouts if set(lay.paths) <= set(filled)]
+    out = whole
+    for lay in sorted((x for x in reversed(fitting) if not x.rows), key=lambda x: len(x.paths)):  # the last one is asked first
+        every = F.lit(True)
+        for p in lay.paths:
+            every = every & filled[p]
+        out = F.when(every, F.lit(lay.fingerprint)).otherwise(out)
+    known = [lay.fingerprint for lay in fitting if not lay.rows]
+    out = F.when(whole.isin(known), whole).otherwise(out) if known else out
+    for lay in fitting:
+        if lay.rows:
+            some = F.lit(not known)
+            for p in lay.rows:
+                some = some | filled[p]
+            out = F.when(some, F.lit(lay.fingerprint)).otherwise(out)
+    return out
 
 
 _TURN = "array<struct<turn: bigint, role: string, text: string>>"
@@ -142,8 +168,7 @@ def _text(df: DataFrame, path: str) -> Column:
 
 def _mapped(df: DataFrame, lay: Layout) -> Column | None:
     """The layout's mapping as an expression giving an array of turns."""
-    fields = {p.partition("[].")[0] for p in lay.paths}
-    if not fields <= set(df.columns):
+    if not set(lay.paths) <= set(_filled(df, [lay])):  # a field is missing, or of another type
         return None
     if lay.rows:
         turn, role, text = (F.col(f"`{c}`") for c in lay.rows)

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cadence.llm import chat_format as C
 from cadence.llm import decontaminate as D
@@ -172,6 +173,38 @@ def test_layouts_by_fingerprint(spark):
     assert len({lay.fingerprint for lay in C.LAYOUTS}) == len(C.LAYOUTS)
 
 
+EXTRA = {"system": "string", "answer": "string", "input": "string", "prompt": "string", "System": "string",
+         "messages": "array<struct<role:string,content:string>>", "conversations": "string", "text2": "int"}
+
+
+@pytest.mark.parametrize("extra", ["System", "messages", "answer,input,conversations,text2", "prompt,response,system"])
+def test_turn_rows_keep_every_turn_beside_known_columns(spark, extra):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", None), (2, 1, None, "c"), (2, None, "assistant", "d")]
+    for filled in (True, False):
+        df = spark.createDataFrame(rows, "conv_id long, Turn long, role string, TEXT string")
+        for name in extra.split(","):
+            kind = EXTRA.get(name, "string")
+            value = F.from_json(F.lit('[{"role":"user","content":"x"}]'), kind) if kind.startswith("array") else F.lit("7").cast(kind)
+            df = df.withColumn(name, F.when(F.lit(filled) & (F.col("Turn") == 0), value))
+        got = sorted((r.conv_id, r.turn is None, r.turn, r.role, r.text) for r in C.canonical_turns(df).collect())
+        assert got == [(1, False, 0, "user", "a"), (1, False, 1, "assistant", "b"), (2, False, 0, "user", ""), (2, False, 1, "", "c"),
+                       (2, True, None, "assistant", "d")]
+        assert C.unmatched(df).count() == 0
+
+
+def test_empty_turn_rows_beside_a_field_of_another_layout(spark):
+    df = spark.createDataFrame([(1, None, None, None, "s")], "conv_id long, turn long, role string, text string, system string")
+    assert [tuple(r) for r in C.canonical_turns(df).collect()] == [(1, None, "", "")]
+
+
+def test_records_with_a_further_known_field_take_the_largest_layout(spark):
+    df = C.from_json(spark.createDataFrame([(1, '{"instruction":"i","output":"o","answer":"x"}'), (2, '{"prompt":"p","response":"r","completion":"c","system":"s"}'),
+                                            (3, '{"answer":"x"}')], "conv_id long, j string"), "j")
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in C.canonical_turns(df).collect())
+    assert got == [(1, 0, "user", "i"), (1, 1, "assistant", "o"), (2, 0, "system", "s"), (2, 1, "user", "p"), (2, 2, "assistant", "r")]
+    assert [r.conv_id for r in C.unmatched(df).collect()] == [3]
+
+
 def test_chat_nulls_ties_repeats_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string, formatted string"
     df = spark.createDataFrame([(None, None, None, None, "x"), (None, 1, "user", "b", "x"), (2, 1, "user", "b", "x"),
