@@ -20,7 +20,7 @@ USER_BUCKETS = 64
 
 
 def refresh(plays: DataFrame, corpus: DataFrame, feedback: DataFrame | None,
-            old_cache: DataFrame | None = None, as_of=None, k: int = 20) -> DataFrame:
+            old_cache: DataFrame | None = None, as_of=None, k: int = 20, bounds: bool = False) -> DataFrame:
     """V7: recompute every user's recommendations in one plan.
 
     Shared work (idf, artist vectors) is planned once for all users.  A user
@@ -28,7 +28,7 @@ def refresh(plays: DataFrame, corpus: DataFrame, feedback: DataFrame | None,
     even if it is shorter or empty (every candidate played or blocked)."""
     vectors = scoring_vectors(corpus)
     scores = play_scores(plays, as_of)
-    new = recommend(scores, vectors, feedback, k=k)
+    new = recommend(scores, vectors, feedback, k=k, bounds=bounds)
     if old_cache is None:
         return new
     refreshed = taste_vectors(scores, vectors).select("user_id").distinct()

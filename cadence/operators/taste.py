@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.timeops import as_of_ntz, utc_micros
+from cadence.operators import bounded_topk
 from cadence.operators.common import akey, modal_spelling, top_k, utc_plays
 from cadence.plans.session import materialize
 
@@ -118,12 +119,14 @@ def exclusions(scores: DataFrame, feedback: DataFrame | None) -> DataFrame:
 
 
 def recommend(scores: DataFrame, vectors: DataFrame, feedback: DataFrame | None = None,
-              k: int = RECOMMEND_TOP_N, seed_weight: float = SEED_WEIGHT) -> DataFrame:
+              k: int = RECOMMEND_TOP_N, seed_weight: float = SEED_WEIGHT, bounds: bool = False) -> DataFrame:
     """V5: the top ``k`` unplayed artists per user by cosine to the taste
     vector, blended half and half with the cosine to the seed vector when
     the user has one.  Scores <= 0 are dropped; played, seeded and blocked
     artists (folded) are removed *before* ranking; users without a taste
-    vector get no rows.  Output (user_id, artist_name, score, rank)."""
+    vector get no rows.  Output (user_id, artist_name, score, rank).  With ``bounds``
+    users meet only the artists that can be among their best (``bounded_topk``): the
+    same rows by fewer products, for corpora with many artists a tag."""
     if "unit" not in vectors.columns:
         vectors = scoring_vectors_from(vectors)
     taste = taste_vectors(scores, vectors)
@@ -140,7 +143,8 @@ def recommend(scores: DataFrame, vectors: DataFrame, feedback: DataFrame | None
         both = uv.withColumn("kind", F.lit("t")).unionByName(unit(seedv, ["user_id"]).withColumn("kind", F.lit("s")))
         uv = (both.join(users, "user_id").withColumn("value", weight * F.col("value"))
                   .groupBy("user_id", "tag").agg(F.sum("value").alias("value")))
-    ranked = _best(uv, au, exclusions(scores, feedback), k)
+    excluded = exclusions(scores, feedback)
+    ranked = bounded_topk.best(uv, au, excluded, k, SCORE_DIGITS) if bounds else _best(uv, au, excluded, k)
     return ranked.select("user_id", "artist_name", "score", "rank")
 
 
