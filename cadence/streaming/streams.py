@@ -14,7 +14,7 @@ The reference syncs incrementally from a high-water mark stamped at the sync's
 * T4 ``binge_alerts``: foreachBatch that appends the batch and recomputes the
   exact 7-day peak for the touched (user, artist, album) keys only.
 * T5 ``feedback_state_batches``: latest-wins feedback state, one snapshot per
-  micro-batch.
+  micro-batch; ``FeedbackLog`` writes only what a batch touches.
 * T6: rows later than the watermark are dropped by T2/T3 and cannot be
   recovered downstream; ``recompute_clock`` is the no-loss form.  Backfills
   arrive newest first, so use watermarks on incremental streams only, never on
@@ -30,6 +30,7 @@ from cadence.functions.timeops import check_tz, local_date, local_ts, part_of_da
 from cadence.operators.binges import peak_7d
 from cadence.plans.session import materialize, read_table
 from cadence.schemas import PLAY_KEY
+from cadence.sources.folders import Folders
 from cadence.sources.ingest import append_new
 from cadence.sources.payloads import parse_recent_tracks
 
@@ -164,6 +165,48 @@ def feedback_state_batches(state_path: str, order_cols: tuple[str, ...] = ("even
     return run
 
 
+class FeedbackLog:
+    """T5 / S9 as a log: a micro-batch writes the latest event of each key it touches, and
+    readers take the latest of all batches.  The bytes of a batch follow the batch, not
+    the state.
+
+    Events have (user_id, artist_name, action, order columns); the latest event of a (user,
+    folded artist) wins, 'clear' included, so an older event that comes late changes nothing.
+    ``merge`` puts all batches into one folder and drops verdicts cleared more than
+    ``horizon_days`` before the newest event: an event older than that must not come
+    any more, as no tombstone is left to outlive it."""
+
+    ORDER = ("event_ts", "seq")
+    SCHEMA = "user_id bigint, akey string, artist_name string, action string, event_ts timestamp_ntz, seq bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.folders = Folders(spark, path, self.SCHEMA)
+
+    def _latest(self, events: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct("artist_name", "action", *self.ORDER), F.struct(*self.ORDER, "action", "artist_name"))
+        return (events.groupBy("user_id", "akey").agg(last.alias("_l"))
+                .select("user_id", "akey", *[F.col(f"_l.{c}").alias(c) for c in ("artist_name", "action", *self.ORDER)]))
+
+    def write_batch(self, events: DataFrame, epoch_id: int) -> None:
+        """The foreachBatch function."""
+        ev = events.select("user_id", F.lower("artist_name").alias("akey"), "artist_name", "action", *self.ORDER)
+        self.folders.add(self._latest(ev), batch_name(events, epoch_id))
+
+    def merge(self, horizon_days: int | None = None) -> None:
+        """Compact the log."""
+        state = self._latest(self.folders.read())
+        if horizon_days is not None:
+            newest = state.select(F.max("event_ts")).scalar()
+            old = F.col("event_ts") < newest - F.make_dt_interval(days=F.lit(horizon_days))
+            state = state.filter((F.col("action") != "clear") | ~old)
+        self.folders.merge(state)
+
+    def current(self) -> DataFrame:
+        """The live verdicts."""
+        return (self._latest(self.folders.read()).filter(F.col("action") != "clear")
+                .select("user_id", "artist_name", F.col("action").alias("verdict"), F.lit(None).cast("timestamp_ntz").alias("expanded_at")))
+
+
 def latest_snapshot(spark: SparkSession, state_path: str) -> DataFrame | None:
     """The newest snapshot written by ``feedback_state_batches`` (with
     tombstones)."""
