@@ -10,6 +10,7 @@ from cadence.operators.common import akey, top_k, utc_plays
 from cadence.operators.taste import play_scores, recommend, scoring_vectors, taste_vectors
 from cadence.plans.session import materialize, read_table
 from cadence.schemas import RECOMMENDATIONS
+from cadence.sources.folders import Folders
 
 # Fixed values (knobs of the reference's song lists)
 FAVORITE_ARTISTS = 15
@@ -83,6 +84,69 @@ def read_cache(spark: SparkSession, path: str, user_ids: list[int] | None = None
     return df.select(*[f.name for f in RECOMMENDATIONS.fields])
 
 
+class PublishedLists:
+    """The recommendation lists as versions that appear at once.
+
+    A refresh computes and writes the lists of the users it is asked for, nothing else, as
+    one folder that a commit adds to the table (``sources.folders``): a reader finds every
+    user's list whole, from before or after the commit.  Of a user with lists in several folders the
+    newest counts; an empty list is a row without artist.  ``merge`` leaves the newest."""
+
+    SCHEMA = "user_id bigint, artist_name string, score double, rank int, edition int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.folders = Folders(spark, path, self.SCHEMA)
+
+    def refresh(self, plays: DataFrame, corpus: DataFrame, feedback: DataFrame | None, as_of=None, k: int = 20,
+                users: DataFrame | None = None, bounds: bool = False) -> None:
+        """Renew the lists of ``users`` (default: all with plays).  Users without a taste
+        vector keep the old list, as in ``refresh``."""
+        if users is not None:
+            users = materialize(users.select("user_id").distinct(), "renewed-users")
+            plays = plays.join(users, "user_id", "left_semi")
+            feedback = None if feedback is None else feedback.join(users, "user_id", "left_semi")
+        vectors = scoring_vectors(corpus)
+        scores = materialize(play_scores(plays, as_of), "play-scores")
+        new = recommend(scores, vectors, feedback, k=k, bounds=bounds).select("user_id", "artist_name", "score", "rank")
+        new = materialize(new, "new-lists")
+        tasted = taste_vectors(scores, vectors).select("user_id").distinct()
+        empty = tasted.join(new.select("user_id"), "user_id", "left_anti").select(
+            "user_id", F.lit(None).cast("string").alias("artist_name"), F.lit(None).cast("double").alias("score"),
+            F.lit(None).cast("int").alias("rank"))
+        self.publish(new.unionByName(empty))
+
+    def publish(self, lists: DataFrame) -> None:
+        """Add whole lists (user_id, artist_name, score, rank) of some users."""
+        edition = self.folders.version() + 1
+        folder = f"lists-{edition}"
+        self.folders.write(lists.withColumn("edition", F.lit(edition)), folder)
+        self.folders.commit([*self.folders.live(), folder])
+
+    def _newest(self, version: int | None) -> DataFrame:
+        rows = self.folders.read(version)
+        last = rows.groupBy("user_id").agg(F.max("edition").alias("edition"))
+        return rows.join(last, ["user_id", "edition"], "left_semi")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The lists of a version (default: the newest commit)."""
+        return self._newest(version).filter("artist_name IS NOT NULL").drop("edition")
+
+    def merge(self) -> None:
+        """Drop the lists that newer ones replaced."""
+        self.folders.merge(self._newest(None))
+
+
+def affected_users(old_vectors: DataFrame, new_vectors: DataFrame, taste: DataFrame) -> DataFrame:
+    """(user_id): the users whose list a change of artist vectors can change, besides those whose
+    plays or feedback changed: those with a tag in their taste that an artist whose vector
+    changed has or had.  ``taste``: (user_id, tag) of all users, from before and after."""
+    old, new = (v.select("artist_name", "tag", "value") for v in (old_vectors, new_vectors))
+    both = old.withColumnRenamed("value", "_old").join(new.withColumnRenamed("value", "_new"), ["artist_name", "tag"], "full")
+    changed = both.filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("artist_name").distinct()
+    tags = both.join(changed, "artist_name", "left_semi").select("tag").distinct()
+    return taste.select("user_id", "tag").join(tags, "tag", "left_semi").select("user_id").distinct()
+
+
 def drop_blocked(recs: DataFrame, feedback: DataFrame) -> DataFrame:
     """Recommendations minus the user's blocked artists (folded)."""
     blocked = (feedback.filter(F.col("verdict") == "block")

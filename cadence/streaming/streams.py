@@ -11,8 +11,8 @@ The reference syncs incrementally from a high-water mark stamped at the sync's
 * T3 ``live_clock``: plays per (user, local day, part of day); a 6-hour
   tumbling window over the *local* clock is exactly one (day, part) cell, so
   state is evicted once the watermark passes the cell.
-* T4 ``binge_alerts``: foreachBatch that appends the batch and recomputes the
-  exact 7-day peak for the touched (user, artist, album) keys only.
+* T4 ``binge_alerts``: foreachBatch that appends the batch and counts the 7-day
+  peaks of the touched (user, artist, album) keys in the days around it only.
 * T5 ``feedback_state_batches``: latest-wins feedback state, one snapshot per
   micro-batch; ``FeedbackLog`` writes only what a batch touches.
 * T6: rows later than the watermark are dropped by T2/T3 and cannot be
@@ -113,11 +113,28 @@ def append_plays_batches(table_path: str):
     return run
 
 
+def binge_plays(spark: SparkSession, table_path: str, touched: DataFrame, min_plays: int) -> DataFrame:
+    """The stored plays from which the peaks that a batch can raise are counted.
+
+    ``touched``: (keys, play_date) of the batch.  A 7-day window with a new play lies
+    within 7 days of it, so only those dates are scanned; of them only the keys with
+    ``min_plays`` plays are kept, since the others cannot reach an alert."""
+    keys = [c for c in touched.columns if c != "play_date"]
+    around = touched.select(F.explode(F.sequence(F.date_sub("play_date", 7), F.date_add("play_date", 7))).alias("d")).distinct()
+    days = [r[0] for r in around.collect()]  # bounded by the calendar
+    plays = spark.read.parquet(table_path).filter(F.col("play_date").isin(days)).select(*keys, "listened_at")
+    asked = touched.select(*keys).distinct()
+    enough = plays.join(asked, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_plays)
+    return plays.join(enough.select(*keys), keys, "left_semi")
+
+
 def binge_alerts(table_path: str, alerts_path: str, min_plays: int = 6):
-    """T4: foreachBatch function: append the batch's new plays, then recompute
-    the exact 7-day album peak for the (user, artist, album) keys the batch
-    touched, and write those at or above ``min_plays`` to the batch's own folder,
-    which a retry replaces."""
+    """T4: foreachBatch function: append the batch's new plays, then count the 7-day peaks
+    of the (user, artist, album) keys it touched over the days around it, and write those
+    at or above ``min_plays`` to the batch's own folder, which a retry replaces.
+
+    A window is complete when its last play has come, and that play's batch counts it:
+    the largest alert of all batches is a key's exact peak (``latest_alerts``)."""
     keys = ["user_id", "artist_name", "album_name"]
 
     def run(batch: DataFrame, epoch_id: int) -> None:
@@ -125,14 +142,19 @@ def binge_alerts(table_path: str, alerts_path: str, min_plays: int = 6):
         name = batch_name(batch, epoch_id)
         batch = materialize(batch, "binge-batch")
         append_plays_batches(table_path)(batch, epoch_id)
-        touched = (batch.filter(F.col("album_name").isNotNull() & (F.col("album_name") != ""))
-                        .select(*keys).distinct())
-        plays = spark.read.parquet(table_path).join(touched, keys, "left_semi")
-        peaks = peak_7d(plays.select(*keys, "listened_at"), keys).filter(F.col("peak_plays") >= min_plays)
+        touched = materialize(batch.filter(F.col("album_name").isNotNull() & (F.col("album_name") != ""))
+                              .select(*keys, F.to_date("listened_at").alias("play_date")).distinct(), "binge-days")
+        peaks = peak_7d(binge_plays(spark, table_path, touched, min_plays), keys).filter(F.col("peak_plays") >= min_plays)
         peaks.write.mode("overwrite").parquet(f"{alerts_path}/batch={name}")
     return run
 
 
+def latest_alerts(spark: SparkSession, alerts_path: str) -> DataFrame:
+    """(user_id, artist_name, album_name, peak_plays): the exact peaks that alerts were given for."""
+    return (spark.read.parquet(alerts_path).groupBy("user_id", "artist_name", "album_name")
+            .agg(F.max("peak_plays").alias("peak_plays")))
+
+
 def feedback_state_batches(state_path: str, order_cols: tuple[str, ...] = ("event_ts", "seq")):
     """T5: foreachBatch function merging feedback events into the latest-wins
     state.  The snapshot keeps the latest event per (user, folded artist)
