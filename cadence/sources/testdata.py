@@ -224,6 +224,16 @@ class TestTables:
         return s.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("i").cast("string"))
                         .alias("search_id"), "user_id", "query", "tz", "sort", "direction", "start", "end")
 
+    @cached_property
+    def fetched_spans(self) -> DataFrame:
+        """Spans of fetched history per customer: from each ship date, nine days a line
+        number; returned lines ('R') were cut off and fetched nothing."""
+        li = self.table("lineitem").filter("l_returnflag <> 'R'").select("l_orderkey", "l_shipdate", "l_linenumber")
+        o = self.table("orders").select("o_orderkey", "o_custkey")
+        return li.join(o, li.l_orderkey == o.o_orderkey).select(
+            F.col("o_custkey").cast("long").alias("user_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("since"),
+            (F.col("l_shipdate") + F.make_dt_interval(days=(F.col("l_linenumber") * 9).cast("int"))).cast("timestamp_ntz").alias("until"))
+
     @cached_property
     def searches_long(self) -> DataFrame:
         """``LONG_SEARCHES`` for every customer with plays (search_id 'u-i')."""
