@@ -3,8 +3,8 @@
 ``judge`` cuts host and path out of every URL with column expressions, applies
 the rules (longest fitting rule wins) and lets the model decide the rest.  The
 model is a logistic regression over hashed byte n-grams of host and path; it is
-fitted on the driver from a small labelled URL table (a parameter, tens of
-rows) and applied in Arrow batches, so no row is shuffled.
+fitted on the driver from a small labelled URL table (a parameter; by default
+some 900 rows made by rule from words of general categories) and applied in Arrow batches, so no row is shuffled.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no rule, and the model's verdict on the empty string.  Repeated rows are judged
@@ -26,9 +26,6 @@ from cadence.llm.common import _seeds, window_hashes
 #: Hashed dimensions (a power of two), n-gram sizes in bytes.
 DIMS = 1 << 14
 SIZES = (3, 4, 5)
-#: Log-odds of blocking a URL about which nothing is known.
-PRIOR = -1.0
-
 #: (host, path, verdict): the rules of the registered query.
 RULES = (
     ("net", "/", "block"),
@@ -37,34 +34,45 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Small labelled URL table.  Site names of advertising, gambling, adult, pill
-#: and bulk-mail sites (1) and of reference, news and personal sites (0); both
-#: kinds get the same addresses around the name, so that only names teach.
-BLOCKED_SITES = (
-    "ads-server", "track-ads", "ad-tracker", "adclick", "banner-ads", "casino-online", "best-casino",
-    "win-big", "win-money", "free-spins", "free-porn", "free-download", "bets-online", "sports-bets",
-    "poker-bets", "spam-mail", "bulk-spam", "link-farm", "content-farm", "adult-video", "adult-cams",
-    "x-adult", "xxx-movies", "cheap-meds", "cheap-watches", "pills-shop", "diet-pills", "viagra-pills",
-    "payday-loans", "lottery-win", "slots-casino", "popup-ads", "click-farm", "buy-followers",
-)
-ALLOWED_SITES = (
-    "encyclopedia", "library", "dailynews", "garden", "university", "recipes", "journal", "museum",
-    "travel", "health", "history", "weather", "music", "sports", "reference", "school", "books",
-    "cityguide", "theatre", "nation", "station", "anthology", "thinker", "weather-station", "the-herald",
-    "northern-times", "mountain", "strand", "thornhill", "heritage", "tionesta", "breath", "method",
-    "author", "ether", "other-voices", "long-read", "first-edition",
+#: Common words of site names by general category, to be blocked (1) or not (0).
+CATEGORIES = (
+    (1, "advertising", "ads adserver tracker tracking banner popup click affiliate sponsor promo"),
+    (1, "gambling", "casino poker betting bets lottery slots jackpot roulette bingo win"),
+    (1, "adult", "adult porn xxx sex cams escort nude erotic hentai fetish"),
+    (1, "drugs", "pills viagra cialis meds pharmacy steroids cheap-meds painkillers tramadol xanax"),
+    (1, "bulk mail", "spam bulk-mail linkfarm followers getrich payday replica freebies prizes scam"),
+    (0, "news", "news herald times journal gazette chronicle tribune observer press courier"),
+    (0, "learning", "university college school library academy museum archive lecture science history"),
+    (0, "household", "recipes garden kitchen family home cooking baking furniture pets crafts"),
+    (0, "travel", "travel city hotels mountains beach railway airport island guide maps"),
+    (0, "public", "council ministry parliament hospital police weather transport court agency health"),
+    (0, "culture", "music theatre cinema poetry gallery orchestra dance novel photography painting"),
+    (0, "technology", "software hardware network database compiler robotics mobile printer forum wiki"),
+    (0, "sport", "football tennis cycling running swimming hockey league stadium athletics rowing"),
+    (0, "trade", "market farm bakery carpenter insurance logistics factory steel textile orchard"),
+    (0, "personal", "diary notes homepage portfolio thoughts letters stories journey sketchbook memories"),
 )
+#: Addresses around a name, the same for both labels, so that only names teach.
 _AROUND = (
-    "https://www.{}.example.com/en/4321", "http://{}.example.org/de/181/", "https://blog.{}.example.net/fr/77.html",
-    "http://m.{}.example.com/es/2210?page=2", "https://{}.example.org/en/90#top", "http://www.{}.example.net/de/65",
+    "https://www.{}.com/", "http://{}.org/index.html", "https://blog.{}.net/2021/05/post-17", "http://m.{}.com/en/page?id=3",
+    "https://{}.example.org/de/90", "http://www.{}.example.com/fr/65/", "https://shop.{}.example.net/item#top",
 )
 
 
-def labelled_urls() -> tuple[tuple[str, int], ...]:
-    """Each site name within two of the addresses, with its label."""
-    return tuple((_AROUND[(i + k) % len(_AROUND)].format(name), label)
-                 for label, names in ((1, BLOCKED_SITES), (0, ALLOWED_SITES))
-                 for i, name in enumerate(names) for k in (0, 3))
+def site_names() -> list[tuple[str, int]]:
+    """(name, label): each word of a category alone, and joined to the next one and the one after three."""
+    names = []
+    for label, _, words in CATEGORIES:
+        words = words.split()
+        for i, w in enumerate(words):
+            names += [(w, label), *((f"{w}-{words[(i + k) % len(words)]}", label) for k in (1, 3))]
+    return names
+
+
+def labelled_urls(names: Sequence[tuple[str, int]] | None = None) -> tuple[tuple[str, int], ...]:
+    """Each site name (default: all) within two of the addresses, with its label."""
+    names = site_names() if names is None else names
+    return tuple((_AROUND[(i + k) % len(_AROUND)].format(name), label) for i, (name, label) in enumerate(names) for k in (0, 3))
 
 
 @dataclass(frozen=True)
@@ -124,21 +132,25 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
 
 
-def fit(labelled: Sequence[tuple[str, int]], steps: int = 400, rate: float = 8.0, ridge: float = 1e-4) -> UrlModel:
-    """Logistic regression by full-batch gradient descent; rows are n-gram
-    counts scaled to unit length.  The intercept stays at ``PRIOR``, so a URL
-    without any known n-gram is allowed.  Deterministic (zero start, fixed steps)."""
+def fit(labelled: Sequence[tuple[str, int]], steps: int = 800, rate: float = 8.0, ridge: float = 1e-4) -> UrlModel:
+    """Logistic regression by full-batch gradient descent; rows are n-gram counts scaled to unit
+    length.  The intercept is fitted with the weights.  Deterministic (zero start, fixed steps)."""
     parts = [split_url(u) for u, _ in labelled]
     row, gram = _features([h for h, _ in parts], [p for _, p in parts])
-    x = np.zeros((len(parts), DIMS))
+    x = np.zeros((len(parts), DIMS), np.float32)
     np.add.at(x, (row, gram), 1.0)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    seen = np.flatnonzero(x.any(axis=0))  # other weights stay 0
+    x = x[:, seen].astype(float)
     y = np.array([label for _, label in labelled], dtype=float)
-    w = np.zeros(DIMS)
-    for _ in range(steps):
-        err = 1.0 / (1.0 + np.exp(-(x @ w + PRIOR))) - y
+    w, bias = np.zeros(len(seen)), 0.0
+    for _ in range(steps if len(y) else 0):
+        err = 1.0 / (1.0 + np.exp(-(x @ w + bias))) - y
         w -= rate * (x.T @ err / len(y) + ridge * w)
-    return UrlModel(w, PRIOR)
+        bias -= err.mean()
+    weights = np.zeros(DIMS)
+    weights[seen] = w
+    return UrlModel(weights, float(bias))
 
 
 def score(model: UrlModel, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:

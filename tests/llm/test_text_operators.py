@@ -119,6 +119,33 @@ def test_url_model_separates_the_labelled_table_and_scores_alone_as_together():
     assert len(U.score(model, [], [])) == 0 and U.score(model, [""], [""])[0] < 0.5
 
 
+def test_url_model_on_names_held_out():
+    names = U.site_names()
+    held = U.labelled_urls(names[1::4])
+    model = U.fit(U.labelled_urls([n for i, n in enumerate(names) if i % 4 != 1]))
+    parts = [U.split_url(u) for u, _ in held]
+    said = U.score(model, [h for h, _ in parts], [p for _, p in parts]) >= 0.5
+    truth = np.array([bool(y) for _, y in held])
+    assert np.mean(said == truth) > 0.9
+    assert np.mean(said[~truth]) < 0.05
+
+
+def test_url_score_equals_brute_force():
+    model = U.fit(U.labelled_urls())
+    place = {}  # n-gram -> its weight's place, one for each
+    for host, path in map(U.split_url, [*URLS, "http://m.Casino-poker.org/en/12?x", "https://www.gardening.net/de/"]):
+        data = b"\x01" + f"{host}\x02{path}".replace("\x00", " ").encode("utf-8", "surrogatepass") + b"\x01"
+        grams = [data[i:i + n] for n in U.SIZES for i in range(len(data) - n + 1)]
+        _, found = U.hashed_ngrams([f"{host}\x02{path}"])
+        assert len(found) == len(grams) and all(place.setdefault(g, f) == f for g, f in zip(grams, found.tolist()))
+        counts = {}
+        for g in grams:
+            counts[place[g]] = counts.get(place[g], 0) + 1
+        norm = sum(c * c for c in counts.values()) ** 0.5
+        z = model.bias + sum(c / norm * model.weights[g] for g, c in counts.items())
+        assert abs(1 / (1 + np.exp(-z)) - U.score(model, [host], [path])[0]) < 1e-9
+
+
 # --- chats --------------------------------------------------------------------
 
 ODD = ["<|", "<\\|", "<\\\\|", "<", "<\\", "|>", "a\nb", "\\n", "\\b\\", C.END + "\n", C.START + "user\n", "", "$1 \\$", None]
