@@ -47,6 +47,18 @@ def test_cache_write_replaces_the_given_users_only(spark):
     assert _state(spark, path) == [] and _state(spark, path, [1]) == []
 
 
+def test_cache_without_a_list_is_written_and_read(spark):
+    path = scratch_path(spark, "cache-empty")
+    lists = spark.createDataFrame([(3, "A3", 0.5, 1), (4, "A4", 0.5, 1)], CACHE)
+    users = spark.createDataFrame([(4,)], "user_id long")
+    R.write_cache(lists.limit(0), path, buckets=128)  # nobody has a candidate: no file is written
+    assert _state(spark, path) == [] and _state(spark, path, [3, None]) == []
+    R.write_cache(lists.limit(0), path, users)
+    assert _state(spark, path, [3, 4]) == []
+    R.write_cache(lists, path)
+    assert _state(spark, path) == [(3, "A3"), (4, "A4")]
+
+
 def test_plays_table_prunes_by_date(spark, corpus):
     from cadence.sources.tables import read_plays, write_plays
 
