@@ -11,8 +11,8 @@ with more than ``HOT`` times a bucket's mean share (at most ``buckets / HOT`` of
 unbucketed; ``apply`` runs an operator over both and unites the results, which is the
 operator's result over all plays, as no user is in both.
 
-``append`` adds the plays of a batch whose keys are not stored yet, as small files beside the
-others; ``compact`` writes everything anew as a next version, with one file a bucket and month and
+``append`` adds the plays of a batch whose keys are not stored yet, as files beside the others, one
+for each bucket and month it touches whatever the number of tasks; ``compact`` writes everything anew as a next version, with one file a bucket and month and
 the hot users found anew, and names it in one commit (``sources.folders``).  Readers keep the version they
 began with.  Every ``append`` goes to the newest version; one writer at a time.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions.timeops import as_of_ntz
 from cadence.operators.common import utc_plays
-from cadence.plans.session import bounded_broadcast
+from cadence.plans.session import bounded_broadcast, materialize
 from cadence.schemas import PLAY_KEY
 from cadence.sources.folders import Folders
 from cadence.sources.ingest import append_new
@@ -60,11 +60,11 @@ class ClusteredPlays:
                            f"CLUSTERED BY (user_id) SORTED BY (user_id, listened_at) INTO {self.buckets} BUCKETS")
         return name
 
-    def _write(self, plays: DataFrame, version: str, hot: DataFrame, compact: bool) -> None:
+    def _write(self, plays: DataFrame, version: str, hot: DataFrame) -> None:
+        """``plays`` is read twice: a table, not a plan that would run twice."""
         name = self._bucketed(version)
-        cold = plays.join(hot, "user_id", "left_anti")
-        if compact:  # a task for a bucket, so a file for each bucket and month
-            cold = cold.repartition(self.buckets, "user_id")
+        # a month of a bucket lies in one task, so it is one file a write, however many tasks there are
+        cold = plays.join(hot, "user_id", "left_anti").repartition("month", F.pmod(F.hash("user_id"), F.lit(self.buckets)))
         columns = [c.split()[0] for c in COLUMNS.split(", ")]
         (cold.select(columns).write.format("parquet").mode("append").partitionBy("month")
              .bucketBy(self.buckets, "user_id").sortBy("user_id", "listened_at")
@@ -79,16 +79,16 @@ class ClusteredPlays:
     # --- writing ------------------------------------------------------------------
     def _new_version(self, plays: DataFrame) -> None:
         version = f"v{self.versions.version() + 1}"
-        total = plays.select(F.count(F.lit(1))).scalar()
-        hot = (plays.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") * self.buckets > HOT * total).select("user_id"))
+        counts = materialize(plays.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user-counts")
+        total = counts.select(F.sum("n")).scalar()
+        hot = counts.filter(F.col("n") * self.buckets > HOT * total).select("user_id")
         hot.write.mode("overwrite").parquet(self._place(version, "users"))
-        self._write(plays, version, self._hot_users(version), compact=True)
+        self._write(plays, version, self._hot_users(version))
         self.versions.commit([version])
 
     def write(self, plays: DataFrame) -> None:
         """Make ``plays`` the table."""
-        self._new_version(_dated(plays))
+        self._new_version(materialize(_dated(plays), "clustered-plays"))
 
     def append(self, plays: DataFrame) -> None:
         """Add the plays whose keys are not stored yet (first of a key by artist and album)."""
@@ -96,10 +96,11 @@ class ClusteredPlays:
         if version is None:
             self.write(plays)
             return
-        batch = _dated(plays).withColumn("_arrival", F.lit(0))
+        batch = materialize(_dated(plays), "clustered-batch").withColumn("_arrival", F.lit(0))
         months = [r[0] for r in batch.select("month").distinct().collect()]  # bounded by the calendar
         stored = self._all(version).filter(F.col("month").isin(months))
-        self._write(append_new(batch, PLAY_KEY, "_arrival", stored), version, self._hot_users(version), compact=False)
+        new = materialize(append_new(batch, PLAY_KEY, "_arrival", stored), "clustered-new")
+        self._write(new, version, self._hot_users(version))
 
     def compact(self) -> None:
         """Rewrite the newest version with one file a bucket and month."""

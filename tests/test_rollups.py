@@ -78,6 +78,21 @@ def test_empty_batches_and_null_names(spark, small):
     assert [(r.plays, r.distinct_tracks, r.distinct_artists) for r in state.report().collect()] == [(1, 0, 1)]
 
 
+def test_the_state_of_many_small_cells_is_small(spark):
+    """A cell of a few names takes a few longs, not a whole bitmap of 4 KB."""
+    from cadence.operators.distinct_state import _named, cell_counts, cells
+    from cadence.schemas import PLAYS
+    rows = [(u, f"A{u % 3}", f"T{i}", "Alb", dt.datetime(2024, 1 + i % 3, 5)) for u in range(50) for i in range(130)]
+    plays = spark.createDataFrame(rows, PLAYS)
+    counts = cell_counts(plays, "UTC")
+    names = numbered(_named(counts), spark.createDataFrame([], "user_id bigint, kind string, name string, id bigint"))
+    state = cells(counts, names).filter("kind <> 'plays'")
+    assert dict(state.dtypes)["bits"] == "bigint"
+    # 130 tracks numbered from 1 lie in three words, an artist in one; three cells a user
+    assert state.count() <= 50 * 3 * (3 + 1)
+    assert state.groupBy("kind").agg(F.sum(F.bit_count("bits")).alias("n")).orderBy("kind").collect()[1].n == 50 * 130
+
+
 # --- plays by user ----------------------------------------------------------------
 
 def test_clustered_plays_need_no_exchange(spark, small):
@@ -118,6 +133,17 @@ def test_a_hot_user_is_kept_apart_and_appends_are_compacted(spark, small):
     assert same(top(plays), table.apply(top))
 
 
+def test_an_append_of_many_tasks_makes_one_file_a_bucket_and_month(spark, small):
+    plays = materialize(small.plays_long.filter("year(listened_at) = 1996").dropDuplicates(["user_id", "track_name", "listened_at"]), "plays")
+    table = ClusteredPlays(spark, scratch_path(spark, "clustered-files"), buckets=4)
+    early = F.expr("abs(hash(track_name, listened_at)) % 2 = 0")
+    table.write(plays.filter(early))
+    once = len(table.parts()[0].inputFiles())
+    table.append(plays.filter(~early).repartition(12))
+    assert once <= 4 * 12 and len(table.parts()[0].inputFiles()) <= 2 * 4 * 12
+    assert same(plays, table.read())
+
+
 # --- late plays -------------------------------------------------------------------
 
 def brute_ledger(batches, delay):
