@@ -2,12 +2,13 @@
 
 A distinct count of a month cannot be had from those of its weeks, but sets can be united.
 Every user's track names and folded artists get dense numbers, and a batch of plays becomes one
-bitmap per (user, cell, kind, 32,768 numbers), a cell being the days that a local week and a
-local month share.  Weeks, months or any other union of cells are ``bitmap_or_agg`` over
+bitmap, a long, per (user, cell, kind, 64 numbers), a cell being the days that a local week and a
+local month share.  Weeks, months or any other union of cells are ``bit_or`` over
 cells: no play is read again, and no row is multiplied for each distinct count as
-``report`` has to.
+``report`` has to.  Most cells hold a few names of one user, for which Spark's ``bitmap_construct_agg``
+would make 4 KB each; words of 64 bits are never more than the names, and add up in a hash aggregate.
 
-Numbers are counted within a user, so that a user with some thousand names needs one bitmap a
+Numbers are counted within a user, so that a user with some hundred names needs a few words a
 cell whatever the size of the catalogue.  New names are numbered by their place in sorted ranges
 of (user, kind, name): a user with most of the names is spread over tasks.
 
@@ -27,7 +28,9 @@ from cadence.plans.session import materialize
 from cadence.sources.folders import Folders
 
 NAMES = "user_id bigint, kind string, name string, id bigint"
-CELLS = "user_id bigint, week date, month date, kind string, bucket bigint, bits binary, plays bigint"
+CELLS = "user_id bigint, week date, month date, kind string, bucket bigint, bits bigint, plays bigint"
+#: Numbers in one word of bits.
+WORD = 64
 
 
 def cell_counts(plays: DataFrame, tz: str) -> DataFrame:
@@ -39,10 +42,11 @@ def cell_counts(plays: DataFrame, tz: str) -> DataFrame:
 
 
 def _named(counts: DataFrame) -> DataFrame:
-    """(user, week, month, kind, name), each once."""
+    """(user, week, month, kind, name), as often as counted: bits and names are united anyway, so a
+    distinct here would only be one more shuffle of all rows."""
     kinds = F.array(F.struct(F.lit("track").alias("kind"), F.col("track_name").alias("name")),
                     F.struct(F.lit("artist").alias("kind"), F.col("akey").alias("name")))
-    return counts.select("user_id", "week", "month", F.inline(kinds)).filter(F.col("name").isNotNull()).distinct()
+    return counts.select("user_id", "week", "month", F.inline(kinds)).filter(F.col("name").isNotNull())
 
 
 def numbered(names: DataFrame, known: DataFrame) -> DataFrame:
@@ -64,18 +68,18 @@ def cells(counts: DataFrame, names: DataFrame) -> DataFrame:
     """The bitmaps of a batch, and its plays as rows of kind ``plays``."""
     cell = ["user_id", "week", "month"]
     bits = (_named(counts).join(names, ["user_id", "kind", "name"])
-            .groupBy(*cell, "kind", F.bitmap_bucket_number("id").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+            .groupBy(*cell, "kind", F.expr(f"id DIV {WORD}").alias("bucket"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(id % {WORD} AS INT))")).alias("bits"))
             .withColumn("plays", F.lit(0).cast("long")))
     plays = counts.groupBy(*cell).agg(F.sum("n").alias("plays")).select(
-        *cell, F.lit("plays").alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "plays")
+        *cell, F.lit("plays").alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("long").alias("bits"), "plays")
     return bits.unionByName(plays)
 
 
 def united(state: DataFrame, *keys) -> DataFrame:
     """(keys, plays, distinct_tracks, distinct_artists) over all cells of each key."""
     per = (state.groupBy("user_id", *keys, "kind", "bucket")
-           .agg(F.sum("plays").alias("plays"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("_n")))
+           .agg(F.sum("plays").alias("plays"), F.bit_count(F.bit_or("bits")).alias("_n")))
     names = [k if isinstance(k, str) else per.columns[1 + i] for i, k in enumerate(keys)]
 
     def of(kind: str) -> F.Column:
@@ -102,8 +106,7 @@ class DistinctState:
     def merge(self) -> None:
         """Put the cells of all batches together, and all names in one folder; what is read stays the same."""
         keys = ["user_id", "week", "month", "kind", "bucket"]
-        whole = self.cells.read().groupBy(*keys).agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("plays").alias("plays"))
-        self.cells.merge(whole.withColumn("bits", F.when(F.col("kind") != "plays", F.col("bits"))))
+        self.cells.merge(self.cells.read().groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.sum("plays").alias("plays")))
         self.names.merge(self.names.read())
 
     def report(self, period: str = "month") -> DataFrame:
