@@ -212,8 +212,9 @@ class HistoryIndex:
         by day or month where the searches have any; only their days are scanned."""
         keys, p = ["user_id"], self._plays()
         if period is not None:
-            # at most one row for each day of the table
-            days = [r[0] for r in searches.select(F.explode("days")).distinct().collect()]
+            # at most one row for each day of the table; many searches ask for the same days, so
+            # whole lists are made distinct first and few of them are spread out to days
+            days = [r[0] for r in searches.select("days").distinct().select(F.explode("days")).distinct().collect()]
             keep = F.lit(False)
             for first, last in _ranges(days):
                 months = F.col("play_month").between(F.lit(first.replace(day=1)), F.lit(last))
