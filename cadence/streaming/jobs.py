@@ -3,7 +3,9 @@ with checkpoints and outputs under the shared checkpoint root."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from cadence.plans.session import read_table, scratch_path
 from cadence.streaming.streams import batch_name
@@ -25,13 +27,34 @@ def drain(stream: DataFrame, name: str, mode: str = "append",
     return spark.createDataFrame([], stream.schema) if written is None else written.drop("batch")
 
 
+#: Fewest partitions of a stream's shuffles and state, should the cluster not have its executors yet.
+LEAST_PARTITIONS = 8
+
+
+@contextmanager
+def _stream_partitions(spark: SparkSession):
+    """A stream started in here has as many shuffle partitions as the cluster has cores (no more than are set).
+
+    The number is fixed when a stream starts, nothing merges small ones, and each is a state store for
+    every stateful step, which is written in every micro-batch however few rows came: with Spark's 200
+    most of a batch is that.  A checkpoint that goes on keeps the number it began with."""
+    key = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(given), max(LEAST_PARTITIONS, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, given)
+
+
 def drain_foreach(stream: DataFrame, fn, name: str, checkpoint: str | None = None, mode: str = "append") -> None:
     """Run ``stream`` with trigger(availableNow) through a foreachBatch
     function and wait for it."""
     spark = stream.sparkSession
     ck = checkpoint or scratch_path(spark, f"stream-{name}")
-    q = (stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", ck)
-               .trigger(availableNow=True).start())
+    with _stream_partitions(spark):
+        q = (stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", ck)
+                   .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

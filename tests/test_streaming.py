@@ -74,6 +74,25 @@ def test_live_clock_equals_batch_clock(spark, small):
     assert final.exceptAll(batch).count() == 0 and batch.exceptAll(final).count() == 0
 
 
+def test_a_stream_has_as_many_state_stores_as_cores(spark):
+    """Each state store is written in every micro-batch, so Spark's 200 partitions are not a stream's."""
+    plays = spark.range(50).select(
+        F.col("id").alias("play_id"), (F.col("id") % 3).alias("user_id"), F.lit("A").alias("artist_name"), F.lit("T").alias("track_name"),
+        F.lit("Alb").alias("album_name"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, id)").alias("listened_at"))
+    path, ck, key = _land_in_order(spark, plays, 1), scratch_path(spark, "stores-test"), "spark.sql.shuffle.partitions"
+    given = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        live = SJ.drain(ST.live_clock(ST.plays_from_landing(spark, path, _users(plays)), NY, delay="7 days"), "t_stores", "update", ck)
+        assert spark.conf.get(key) == "64"  # batch queries keep theirs
+        assert live.count() == A.clock(plays, NY, None).count()
+    finally:
+        spark.conf.set(key, given)
+    cores = max(SJ.LEAST_PARTITIONS, spark.sparkContext.defaultParallelism)
+    for step in ("0", "1"):
+        assert len([d for d in os.listdir(f"{ck.removeprefix('file:')}/state/{step}") if d.isdigit()]) == min(64, cores)
+
+
 def test_binge_alerts_foreach_batch(spark, small):
     plays = small.plays_long.limit(3000)
     base = scratch_path(spark, "binge-test")
