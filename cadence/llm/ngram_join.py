@@ -89,7 +89,7 @@ def frequencies(documents: DataFrame, text: str, width: int = WIDTH) -> np.ndarr
     """Rarity of shingles by counter: documents that hold a shingle of the counter, on
     a scale of a few steps an octave.  Each task sends one sketch (a byte a counter,
     at most 255); sums are made in two steps, so that no task reads more than some
-    hundred sketches."""
+    hundred sketches, and the driver gets a byte a counter."""
     bounded_batches(documents.sparkSession)
     size = 1 << SKETCH_BITS
     per = size // SLICES
@@ -108,19 +108,22 @@ def frequencies(documents: DataFrame, text: str, width: int = WIDTH) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()),
                                           pa.array(rows, pa.binary())], names=["slice", "tasks", "counts"])
 
-    def add(kind):
+    def add(kind, scale):
         def total(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
             t = sum(np.frombuffer(c, kind).astype(np.float64) for c in group["counts"])
-            return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(t, 4e9).astype("<u4").tobytes()]})
+            return pd.DataFrame({"slice": [key[0]], "counts": [scale(np.minimum(t, 4e9)).tobytes()]})
         return total
 
+    def octaves(t):
+        return np.round(4 * np.log2(t + 1.0)).astype(np.uint8)
+
     sketch = documents.select(F.col(text).cast("string")).mapInArrow(count, "slice int, tasks int, counts binary")
-    sketch = sketch.groupBy("slice", "tasks").applyInPandas(add("u1"), "slice int, counts binary")
-    sketch = sketch.groupBy("slice").applyInPandas(add("<u4"), "slice int, counts binary")
-    total = np.zeros(size, np.uint32)
+    sketch = sketch.groupBy("slice", "tasks").applyInPandas(add("u1", lambda t: t.astype("<u4")), "slice int, counts binary")
+    sketch = sketch.groupBy("slice").applyInPandas(add("<u4", octaves), "slice int, counts binary")
+    rarity = np.zeros(size, np.uint8)
     for r in sketch.collect():  # SLICES rows of fixed size
-        total[r["slice"] * per:(r["slice"] + 1) * per] = np.frombuffer(r["counts"], "<u4")
-    return np.round(4 * np.log2(total + 1.0)).astype(np.uint8)
+        rarity[r["slice"] * per:(r["slice"] + 1) * per] = np.frombuffer(r["counts"], np.uint8)
+    return rarity
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -260,13 +263,14 @@ def _candidate_sets(documents: DataFrame, wanted: DataFrame, text: str, key: str
     """(class, set) of the classes in ``wanted`` (class, id): the texts are read once
     more and only those whose id falls on a set bit of a bitmap of fixed size are
     cut again, so no text is shuffled."""
-    bits = 1 << 22
+    bits, each = 1 << 22, 1 << 15  # a bitmap of Spark's has 2^15 bits
     place = F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit(bits - 1))
-    words = np.zeros(bits // 64, np.int64)
-    for r in wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(
-            F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).collect():  # at most bits / 64 rows
-        words[r["at"]] = r["bits"]
-    packed = words.astype("<i8").tobytes()
+    wanted = materialize(wanted, "wanted")  # read three times
+    maps = [bytes(each // 8)] * (bits // each)
+    for r in wanted.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("at")).agg(
+            F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(each - 1))).alias("bits")).collect():  # at most bits / each rows
+        maps[r["at"]] = bytes(r["bits"])
+    packed = b"".join(maps)
 
     def run(batches):
         import pyarrow as pa

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from cadence.llm import ngram_join as J
@@ -118,3 +119,24 @@ def test_components_of_long_chains_and_stars(spark):
     rng.shuffle(edges)
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
+
+
+def test_the_driver_gets_a_byte_a_counter_and_some_bitmaps(spark, monkeypatch):
+    """Of the corpus the driver holds the rarities and one bitmap of ids, in few rows, and no more."""
+    rows = [(i, f"one two three four five six seven eight nine ten w{i // 2} x{i // 2} " + "tail " * (i % 2)) for i in range(600)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got, collect = [], type(given).collect
+
+    def seen(df):
+        got.append(collect(df))
+        return got[-1]
+
+    monkeypatch.setattr(type(given), "collect", seen)
+    rarity = J.frequencies(given, "text")
+    assert sum(len(r["counts"]) for r in got[0]) == len(rarity) == 1 << J.SKETCH_BITS
+    # 600 documents hold the shingle "one two three four"
+    assert rarity.dtype == np.uint8 and rarity.max() >= round(4 * np.log2(600 + 1)) - 1
+    got.clear()
+    wanted = given.selectExpr("doc_id AS class", "doc_id AS id")
+    J._candidate_sets(given, wanted, "text", "doc_id", J.WIDTH)
+    assert 0 < len(got[0]) <= 128 and sum(len(r["bits"]) for r in got[0]) <= 1 << 19
