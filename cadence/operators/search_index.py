@@ -11,10 +11,12 @@ Layout under one path (``write_index``, grown by ``extend_index``):
 A name that contains a value of three or more characters holds every gram of
 it, so ``ILIKE '%value%'`` becomes an equi-join on the value's rarest gram, verified
 once per (value, candidate name) whatever the number of searches that ask for
-it.  A search is driven by its text term with the fewest matching names: its plays
-are found by (user, name).  Years, dates and the start and end of a search become
-a set of UTC days: they prune the folders and row groups of the scan, and a search
-without such a term meets its user's plays by day (few days) or month.  Every play found is still tested by the whole predicate, so results are those
+it.  A search is driven by its text term with the fewest matching names: plays get the
+values asked for that their name holds, those without any go no further, and its plays
+are found by (user, value).  Years, months, dates and the start and end of a search become
+a few spans of UTC days, never a list of days: they prune the folders and row groups of
+the scan, and a search without such a term meets its user's plays by day (few days) or
+month.  Every play found is still tested by the whole predicate, so results are those
 of ``history.matches``.
 
 Values under three characters, wildcards, and values of which even the rarest gram
@@ -22,7 +24,7 @@ is in more than ``MAX_NAMES`` names drive nothing: such a search meets the plays
 of its user in its days, as without an index.  Case folding may change the length
 of a name ('İ' folds to two characters); names and values are folded alike first.
 
-A user with a third of all plays is spread over (user, name) or (user, day) in the
+A user with a third of all plays is spread over (user, value) or (user, day) in the
 joins of driven and dated searches; the rest are split by AQE.
 """
 
@@ -46,6 +48,9 @@ _GRAMS = "gram string, name string, kind string"
 _PLAYS = StructType([*PLAYS.fields, StructField("play_month", DateType())])
 #: Days up to which a search without a name meets its plays by day, not by month.
 FEW_DAYS = 31
+_SPANS = "array<struct<first:date,last:date>>"
+#: What ``history.tested`` reads of a search.
+_ASKED = ["search_id", "f", "tz", "sort", "direction", "start", "end", "error", "artist_pat", "track_pat", "album_pat", "free_pat"]
 KINDS = {"artist": "artist_name", "track": "track_name", "album": "album_name"}
 
 
@@ -72,7 +77,8 @@ def extend_index(plays: DataFrame, path: str) -> None:
 
     Names are appended before the plays that bear them, and grams before names: a
     run that was cut off is repeated (new grams and names are found again by an anti
-    join), and a reader never sees a play whose name is not indexed."""
+    join), and a reader never sees a play whose name is not indexed.  ``plays`` is
+    read twice, so a costly plan is better written first (``materialize``)."""
     spark = plays.sparkSession
     known = read_table(spark, f"{path}/names")
     new = _names(plays)
@@ -89,14 +95,11 @@ def extend_index(plays: DataFrame, path: str) -> None:
 
 
 def _terms(searches: DataFrame) -> DataFrame:
-    """(search_id, term, kind, low, pat): a row per text term and kind of name it may be
+    """(_row, term, kind, low, pat): a row per text term and kind of name it may be
     in; a free term may be in an artist's or a track's."""
-    listed = [F.expr(f"transform({k}_pat, (t, i) -> named_struct('term', concat('{k}-', i), 'low', t.low, 'pat', t.pat))")
-              for k in (*KINDS, "free")]
-    terms = searches.select("search_id", F.inline(F.concat(*listed)))
-    kinds = F.when(F.col("term").startswith("free"), F.array(F.lit("artist"), F.lit("track"))).otherwise(
-        F.array(F.substring_index("term", "-", 1)))
-    return terms.withColumn("kind", F.explode(kinds))
+    listed = [F.expr(f"transform({field}_pat, (t, i) -> named_struct('term', concat('{field}-', i), 'kind', '{kind}', 'low', t.low, 'pat', t.pat))")
+              for field, kind in (*((k, k) for k in KINDS), ("free", "artist"), ("free", "track"))]
+    return searches.select("_row", F.inline(F.concat(*listed)))
 
 
 def matching_names(spark: SparkSession, path: str, values: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
@@ -120,25 +123,42 @@ def matching_names(spark: SparkSession, path: str, values: DataFrame, max_names:
     return found.join(sizes, ["kind", "low"]).select("kind", "low", "n", "name")
 
 
-def _days(first: dt.date, last: dt.date) -> str:
-    """SQL for the UTC days of the table that a prepared search can hit, NULL when nothing
-    bounds it.  Local dates of a search lie within a day of their UTC day."""
-    low, high = f"DATE '{first}'", f"DATE '{last}'"
-    none = "CAST(array() AS array<date>)"
-
-    def between(a: str, b: str) -> str:
-        a, b = f"greatest({a}, {low})", f"least({b}, {high})"
-        return f"CASE WHEN {a} <= {b} THEN sequence({a}, {b}) ELSE {none} END"
-
-    year = between("make_date(y, 1, 1)", "make_date(y, 12, 31)")
-    start = f"coalesce(CAST(`start` AS date), {low})"
-    end = f"coalesce(CAST(`end` AS date), {high})"
-    days = (f"CASE WHEN size(f.dates) > 0 THEN array_distinct(flatten(transform(f.dates, d -> {between('d - 1', 'd + 1')}))) "
-            f"WHEN size(f.years) > 0 THEN flatten(transform(array_distinct(f.years), y -> {year})) "
-            f"WHEN `start` IS NOT NULL OR `end` IS NOT NULL THEN {between(start, end)} END")
-    fits = ("(size(f.years) = 0 OR array_contains(f.years, year(d))) AND (size(f.months) = 0 OR array_contains(f.months, month(d))) "
-            "AND (`start` IS NULL OR d >= CAST(`start` AS date)) AND (`end` IS NULL OR d <= CAST(`end` AS date))")
-    return f"filter({days}, d -> {fits})"
+def _spans(first: dt.date, last: dt.date) -> str:
+    """SQL for the UTC days of the table that a prepared search can hit, as spans (first, last)
+    that have no day in common, NULL when nothing bounds it.  Local dates of a search lie
+    within a day of their UTC day.
+
+    Their number does not grow with the days they hold: one for a year or for a start and end,
+    one a month where months are asked for, one a day only around single dates."""
+    low = f"greatest(DATE '{first}', CAST(`start` AS date))"  # null: skipped
+    high = f"least(DATE '{last}', CAST(`end` AS date))"
+    year_fits = "(size(f.years) = 0 OR array_contains(f.years, year(d)))"
+    month_fits = "(size(f.months) = 0 OR array_contains(f.months, month(d)))"
+    near = "array_distinct(flatten(transform(f.dates, d -> sequence(d - 1, d + 1))))"
+    dates = (f"transform(filter({near}, d -> d BETWEEN {low} AND {high} AND {year_fits} AND {month_fits}), "
+             "d -> named_struct('first', d, 'last', d))")
+    years = (f"filter(CASE WHEN size(f.years) > 0 THEN array_distinct(f.years) ELSE sequence(year({low}), year({high})) END, "
+             f"y -> y BETWEEN year({low}) AND year({high}))")
+    of_years = f"transform({years}, y -> named_struct('first', make_date(y, 1, 1), 'last', make_date(y, 12, 31)))"
+    of_months = (f"flatten(transform({years}, y -> transform(array_distinct(f.months), "
+                 "m -> named_struct('first', make_date(y, m, 1), 'last', last_day(make_date(y, m, 1))))))")
+    whole = f"array(named_struct('first', {low}, 'last', {high}))"
+    spans = f"CASE WHEN size(f.months) > 0 THEN {of_months} WHEN size(f.years) > 0 THEN {of_years} ELSE {whole} END"
+    clipped = (f"filter(transform({spans}, s -> named_struct('first', greatest(s.first, {low}), 'last', least(s.last, {high}))), "
+               "s -> s.first <= s.last)")
+    bound = "size(f.dates) > 0 OR size(f.years) > 0 OR size(f.months) > 0 OR `start` IS NOT NULL OR `end` IS NOT NULL"
+    return (f"CASE WHEN NOT ({bound}) THEN NULL WHEN {low} > {high} THEN CAST(array() AS {_SPANS}) "
+            f"WHEN size(f.dates) > 0 THEN {dates} ELSE {clipped} END")
+
+
+def _held(steps: list[tuple[dt.date, int]]) -> list[dt.date]:
+    """The days inside of any span, from the days at which spans begin (+) and are over (-)."""
+    out, open_spans, before = [], 0, None
+    for d, step in sorted(steps):
+        if open_spans:
+            out += [before + dt.timedelta(days=i) for i in range((d - before).days)]
+        open_spans, before = open_spans + step, d
+    return out
 
 
 def _ranges(days: list[dt.date]) -> list[tuple[dt.date, dt.date]]:
@@ -152,6 +172,20 @@ def _ranges(days: list[dt.date]) -> list[tuple[dt.date, dt.date]]:
     return out
 
 
+def _within(ranges: list[tuple[dt.date, dt.date]]) -> F.Column:
+    """Plays of these days: by folder, row group and row."""
+    keep = F.lit(False)
+    for first, last in ranges:
+        months = F.col("play_month").between(F.lit(first.replace(day=1)), F.lit(last))
+        after = F.lit(last + dt.timedelta(days=1)).cast("timestamp_ntz")
+        keep = keep | (months & (F.col("listened_at") >= F.lit(first).cast("timestamp_ntz")) & (F.col("listened_at") < after))
+    return keep
+
+
+def _lowered(plays: DataFrame) -> DataFrame:
+    return plays.select("*", *[F.lower(c).alias(f"_{c}_lc") for c in KINDS.values()])
+
+
 class HistoryIndex:
     """Searches over the tables written by ``write_index``."""
 
@@ -161,83 +195,91 @@ class HistoryIndex:
     def _plays(self) -> DataFrame:
         return self.spark.read.schema(_PLAYS).parquet(f"{self.path}/plays")
 
-    def planned(self, searches: DataFrame) -> DataFrame:
-        """The prepared searches with ``days`` (array, null: any day) and ``hits`` (the names
-        that drive it, as kind and value; null: none).  Searches that cannot match are left out."""
-        # written, so that the parse is not run again for every use of a parsed field
-        s = materialize(H.prepare_searches(searches).filter("error IS NULL"), "parsed-searches")
+    def _parsed(self, searches: DataFrame) -> DataFrame:
+        """All prepared searches, numbered by ``_row``, with ``spans`` (the days they can hit, null:
+        any day), written, so that neither their plan nor the parse is run again for every use."""
         span = self._plays().agg(F.min("play_month"), F.last_day(F.max("play_month"))).first()
-        if span[0] is None:
-            return s.limit(0).withColumns({"days": F.lit(None).cast("array<date>"), "driver": F.lit(None).cast("string"),
-                                           "low": F.lit(None).cast("string")})
-        s = s.withColumn("days", F.expr(_days(*span))).filter("days IS NULL OR size(days) > 0")
-        return s
+        # a search costs far more to parse than its size tells AQE: spread over all cores
+        spread = searches.repartition(2 * self.spark.sparkContext.defaultParallelism)
+        s = H.prepare_searches(spread).withColumn("_row", F.monotonically_increasing_id())
+        # without its names, which are in the patterns
+        s = s.withColumn("f", F.struct(*[F.col(f"f.{k}") for k in ("years", "months", "dates", "days", "parts")]))
+        spans = f"CAST(array() AS {_SPANS})" if span[0] is None else _spans(*span)
+        return materialize(s.withColumn("spans", F.expr(spans)), "searches")
 
     def candidates(self, searches: DataFrame) -> DataFrame:
         """The (search, play) rows that are tested: all that can match, a row each."""
-        s = materialize(self.planned(searches), "searches")
+        return self._candidates(self._parsed(searches))
+
+    def _candidates(self, parsed: DataFrame) -> DataFrame:
+        # those that can match
+        s = parsed.filter("error IS NULL AND (spans IS NULL OR size(spans) > 0)")
         terms = _terms(s)
         known = matching_names(self.spark, self.path, terms.filter("pat IS NULL"), self.max_names)
         known = materialize(known, "names")
         # a term can drive if every kind of name that it may be in is known
         sizes = known.select("kind", "low", "n").distinct()
-        found = terms.join(sizes, ["kind", "low"], "left").groupBy("search_id", "term", "low").agg(
+        found = terms.join(sizes, ["kind", "low"], "left").repartition("_row").groupBy("_row", "term", "low").agg(
             F.sum("n").alias("n"), F.bool_and((F.col("n").isNotNull()) & F.col("pat").isNull()).alias("whole"))
-        drivers = found.filter("whole").groupBy("search_id").agg(F.min(F.struct("n", "term", "low")).alias("d"))
-        drivers = drivers.select("search_id", F.col("d.n").alias("_n"), F.col("d.term").alias("_term"), F.col("d.low").alias("_low"))
-        s = materialize(s.join(drivers, "search_id", "left").filter("_n IS NULL OR _n > 0"), "driven-searches")
+        drivers = found.filter("whole").groupBy("_row").agg(F.min(F.struct("n", "term", "low")).alias("d"))
+        drivers = drivers.select("_row", F.col("d.n").alias("_n"), F.col("d.term").alias("_term"), F.col("d.low").alias("_low"))
+        s = s.join(drivers, "_row", "left").filter("_n IS NULL OR _n > 0")
         # how a search meets its plays: by name or not, in all days, some months or few days
-        period = F.when(F.size("days") <= FEW_DAYS, "day").when(F.col("days").isNotNull(), "month")
-        s = s.withColumn("_kind", F.substring_index("_term", "-", 1)).withColumn("_period", period)
-        shapes = {(r["_kind"], r["_period"]) for r in s.select("_kind", "_period").distinct().collect()}
-        parts = []  # at most fifteen
+        days = F.expr("aggregate(spans, 0, (n, s) -> n + datediff(s.last, s.first) + 1)")
+        period = F.when(days <= FEW_DAYS, "day").when(F.col("spans").isNotNull(), "month")
+        s = materialize(s.withColumn("_kind", F.substring_index("_term", "-", 1)).withColumn("_period", period), "driven-searches")
+        # the values that drive, and the names that hold them
+        lows = s.filter("_low IS NOT NULL").select("_kind", "_period", F.col("_low").alias("low")).distinct()
+        holds = F.expr("_kind = kind OR _kind = 'free' AND kind IN ('artist', 'track')")
+        names = materialize(lows.join(known.filter("name IS NOT NULL"), "low").filter(holds).select(
+            "_kind", "_period", "kind", F.col("low").alias("_low"), "name"), "driving-names")
+        # at most fifteen shapes, and for each two rows for a day of the table
+        steps = F.expr("transform(spans, s -> array(named_struct('d', s.first, 'n', 1), named_struct('d', s.last + 1, 'n', -1)))")
+        shapes: dict[tuple, list] = {}
+        for r in (s.select("_kind", "_period", F.inline_outer(F.flatten(steps))).groupBy("_kind", "_period", "d")
+                  .agg(F.sum("n").alias("n")).collect()):
+            shapes.setdefault((r["_kind"], r["_period"]), []).append((r["d"], r["n"]))
+        parts = []
         for kind, period in sorted(shapes, key=str):
-            same = s.filter(F.col("_kind").eqNullSafe(F.lit(kind)) & F.col("_period").eqNullSafe(F.lit(period)))
+            here = F.col("_kind").eqNullSafe(F.lit(kind)) & F.col("_period").eqNullSafe(F.lit(period))
+            p = self._plays() if period is None else self._plays().filter(_within(_ranges(_held(shapes[kind, period]))))
+            p = utc_plays(p, *KINDS.values())
             if kind is None:
-                parts.append(self._met(same, None, period))
+                parts.append(self._met(s.filter(here), p, period))
                 continue
             for k in ("artist", "track") if kind == "free" else (kind,):
-                names = known.filter((F.col("kind") == k) & F.col("name").isNotNull()).select(F.col("low").alias("_low"), "name")
-                met = self._met(same.join(names, "_low"), k, period)
+                held = names.filter(here & (F.col("kind") == k)).select("_low", "name")
+                named = p.withColumn("name", F.lower(KINDS[k])).join(bounded_broadcast(held, 200_000), "name").drop("name")
                 if kind == "free" and k == "track":  # the others are found by their artist
-                    met = met.filter("NOT coalesce(contains(_artist_name_lc, _low), false)")
-                parts.append(met.drop("_low"))
-        out = self._met(s.limit(0), None, None) if not parts else parts[0]
+                    named = named.filter("NOT coalesce(contains(lower(artist_name), _low), false)")
+                parts.append(_lowered(s.filter(here).select(*_ASKED, "user_id", "_low").join(named, ["user_id", "_low"]).drop("_low")))
+        out = parts[0] if parts else self._met(s.limit(0), utc_plays(self._plays(), *KINDS.values()), None)
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.join(bounded_broadcast(s.drop("user_id", "days", "_n", "_term", "_low", "_kind", "_period"), 100_000), "search_id")
-
-    def _met(self, searches: DataFrame, kind: str | None, period: str | None) -> DataFrame:
-        """(search_id, play) rows of searches and the plays of their user: joined by name, or
-        by day or month where the searches have any; only their days are scanned."""
-        keys, p = ["user_id"], self._plays()
-        if period is not None:
-            # at most one row for each day of the table; many searches ask for the same days, so
-            # whole lists are made distinct first and few of them are spread out to days
-            days = [r[0] for r in searches.select("days").distinct().select(F.explode("days")).distinct().collect()]
-            keep = F.lit(False)
-            for first, last in _ranges(days):
-                months = F.col("play_month").between(F.lit(first.replace(day=1)), F.lit(last))
-                after = F.lit(last + dt.timedelta(days=1)).cast("timestamp_ntz")
-                keep = keep | (months & (F.col("listened_at") >= F.lit(first).cast("timestamp_ntz")) & (F.col("listened_at") < after))
-            p = p.filter(keep)
-        if period is not None and kind is None:
-            whole = f"date_trunc('{period}', {{}})"
-            searches = searches.withColumn("_when", F.explode(F.expr(f"array_distinct(transform(days, d -> CAST({whole.format('d')} AS date)))")))
-            p, keys = p.withColumn("_when", F.expr(f"CAST({whole.format('listened_at')} AS date)")), [*keys, "_when"]
-        p = utc_plays(p, *KINDS.values(), *keys)
-        p = p.select("*", *[F.lower(c).alias(f"_{c}_lc") for c in KINDS.values()])
-        low = []
-        if kind is not None:
-            p, keys, low = p.withColumn("name", F.col(f"_{KINDS[kind]}_lc")), [*keys, "name"], ["_low"]
-        return searches.select("search_id", *low, *keys).join(p, keys).drop("_when", "name")
+        return out
+
+    def _met(self, searches: DataFrame, plays: DataFrame, period: str | None) -> DataFrame:
+        """(search, play) rows of searches without a name and the plays of their user: joined by
+        day or month where the searches have any."""
+        plays = _lowered(plays)
+        if period is None:
+            return searches.select(*_ASKED, "user_id").join(plays, "user_id")
+        unit, step = ("DD", "1 DAY") if period == "day" else ("MM", "1 MONTH")
+        first = {u: f"trunc(s.{u}, 'MM')" if period == "month" else f"s.{u}" for u in ("first", "last")}
+        whole = f"array_distinct(flatten(transform(spans, s -> sequence({first['first']}, {first['last']}, INTERVAL {step}))))"
+        when = searches.select("_row", "user_id", F.explode(F.expr(whole)).alias("_when"))
+        plays = plays.withColumn("_when", F.expr(f"CAST(date_trunc('{unit}', listened_at) AS date)"))
+        # a search is not copied for each of its days
+        asked = bounded_broadcast(searches.select("_row", *_ASKED), 100_000)
+        return when.join(plays, ["user_id", "_when"]).drop("_when").join(asked, "_row").drop("_row")
 
     def matches(self, searches: DataFrame) -> DataFrame:
         """As ``history.matches`` over the indexed plays."""
         return H.tested(self.candidates(searches))
 
     def totals(self, searches: DataFrame) -> DataFrame:
-        return H.totals(None, searches, self.matches(searches))
+        parsed = self._parsed(searches)
+        return H.totals(None, parsed, H.tested(self._candidates(parsed)))
 
     def page(self, searches: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
         return H.page(None, searches, limit, offset, self.matches(searches))

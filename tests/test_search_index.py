@@ -137,3 +137,96 @@ def test_ranges_join_following_days():
 def test_grams_of_short_and_repeating_names(spark):
     df = spark.createDataFrame([("ab",), ("",), ("aaaa",), ("abcd",), ("é😀b",), (None,)], "v string")
     assert [sorted(r[0]) for r in df.select(SI.grams("v")).collect()] == [[], [], ["aaa"], ["abc", "bcd"], ["é😀b"], []]
+
+
+def test_spans_hold_the_days_that_a_search_can_hit(spark):
+    first, last = dt.date(2023, 11, 1), dt.date(2025, 2, 28)
+    queries = ["", "year:2024", "year:2024 year:2024 year:2025 year:9999 year:1", "month:2", "month:2 month:12 month:feb", "year:2025 month:2",
+               "year:1999", "date:2024-02-29", "date:2024-02-29 date:20240301 date:2023-10-31", "date:2024-12-31 year:2025", "date:2024-03-01 month:2",
+               "date:2030-01-01", "day:monday copper"]
+    bounds = [(None, None), ("2024-02-28T23:30:00-02:00", None), (None, "2023-12-24"), ("2024-01-31", "2024-02-01"), ("2024-02-01", "2024-01-31"),
+              ("2030-01-01", None), (None, "1999-01-01"), ("0001-01-01", "9999-12-31")]
+    rows = [(f"{i}-{j}", 1, q, a, b) for i, q in enumerate(queries) for j, (a, b) in enumerate(bounds)]
+    searches = H.prepare_searches(spark.createDataFrame(rows, "search_id string, user_id long, query string, start string, end string"))
+    every = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+    for r in searches.withColumn("spans", F.expr(SI._spans(first, last))).collect():
+        f, start, end = r.f, r.start and r.start.date(), r.end and r.end.date()
+        near = {d + dt.timedelta(days=i) for d in f.dates for i in (-1, 0, 1)}
+        want = [d for d in every if (not f.dates or d in near) and (not f.years or d.year in f.years) and (not f.months or d.month in f.months)
+                and (start is None or d >= start) and (end is None or d <= end)]
+        if not (f.dates or f.years or f.months or start or end):
+            assert r.spans is None
+            continue
+        got = [s.first + dt.timedelta(days=i) for s in r.spans for i in range((s.last - s.first).days + 1)]
+        assert sorted(got) == want, (r.search_id, r.spans)
+
+
+def test_held_days_are_those_inside_of_a_span():
+    a = dt.date(2024, 2, 27)
+    on = [a + dt.timedelta(days=i) for i in range(9)]
+    assert SI._held([(on[5], 1), (on[3], -1), (on[0], 2), (on[2], -1), (on[6], -1)]) == [*on[:3], on[5]]
+    assert SI._held([]) == []
+
+
+def test_no_search_is_written_with_a_list_of_days(spark, tables, monkeypatch):
+    written = []
+
+    def kept(df, name):
+        written.append(materialize(df, name))
+        return written[-1]
+
+    materialize = SI.materialize
+    monkeypatch.setattr(SI, "materialize", kept)
+    queries = ["year:2024 year:2025 fire", "year:2024", "month:3 copper", "date:2025-01-10 date:2024-12-20"]
+    searches = spark.createDataFrame([(f"s{i}", i % 3, queries[i % 4]) for i in range(40)], "search_id string, user_id long, query string")
+    assert SI.HistoryIndex(spark, tables[2]).totals(searches).agg(F.sum("total")).first()[0] > 0
+    lists = [(df, c) for df in written for c, kind in df.dtypes if kind.startswith("array") and "date" in kind]
+    assert lists and all(df.agg(F.max(F.size(c))).first()[0] <= 6 for df, c in lists)  # three days around a date
+
+
+def test_searches_are_read_and_parsed_once_on_all_cores(spark, tables):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(query):
+        runs.add(1)
+        return query
+
+    searches = spark.createDataFrame([(f"s{i}", i % 3, f"year:2025 fire {i}") for i in range(30)], "search_id string, user_id long, query string")
+    index = SI.HistoryIndex(spark, tables[2])
+    assert index.totals(searches.coalesce(1).withColumn("query", told("query"))).count() == 30
+    assert runs.value == 30
+    assert index._parsed(searches.coalesce(1)).rdd.getNumPartitions() > 1
+
+
+def test_months_alone_prune_the_scan(spark, tables):
+    search = spark.createDataFrame([("a", 1, "month:2 fire")], "search_id string, user_id long, query string")
+    index = SI.HistoryIndex(spark, tables[2])
+    scans = re.findall(r"PartitionFilters: \[.*play_month.*", plan(index.matches(search)))
+    assert scans and all("2025-02" in s for s in scans)
+    assert rows(index.matches(search)) == rows(H.matches(tables[0], search)) != []
+
+
+def test_plays_without_a_name_asked_for_are_dropped_before_the_user_join(spark, tables):
+    search = spark.createDataFrame([("a", 1, 'track:"signal"')], "search_id string, user_id long, query string")
+    text = plan(SI.HistoryIndex(spark, tables[2]).matches(search))
+    assert re.search(r"Left keys[^\n]*name", text) and re.search(r"keys[^\n]*user_id[^\n]*_low", text)
+
+
+def test_names_too_many_to_broadcast(spark, tables, monkeypatch):
+    plays, searches, path = tables
+    monkeypatch.setattr(SI, "bounded_broadcast", lambda df, *_: df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(SI.HistoryIndex(spark, path).matches(searches)) == rows(H.matches(plays, searches))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_searches_that_share_an_id_are_searched_each_for_itself(spark, tables):
+    rows_ = [("a", 1, "copper"), ("a", 1, "fire"), ("a", 2, "date:2025-01-10"), (None, 1, "year:2025"), ("b", 1, "%")]
+    searches = spark.createDataFrame(rows_, "search_id string, user_id long, query string")
+    index = SI.HistoryIndex(spark, tables[2])
+    assert rows(index.matches(searches)) == rows(H.matches(tables[0], searches)) != []
+    assert rows(index.totals(searches)) == rows(H.totals(tables[0], searches))
