@@ -95,13 +95,18 @@ def extend_index(plays: DataFrame, path: str) -> None:
 
 
 def _terms(searches: DataFrame) -> DataFrame:
-    """(_row, term, kind, low, pat): a row per text term and kind of name it may be
-    in; a free term may be in an artist's or a track's."""
-    listed = [F.expr(f"transform({field}_pat, (t, i) -> named_struct('term', concat('{field}-', i), 'kind', '{kind}', 'low', t.low, 'pat', t.pat))")
-              for field, kind in (*((k, k) for k in KINDS), ("free", "artist"), ("free", "track"))]
+    """(_row, field, low): a row per text term without a wildcard."""
+    listed = [F.expr(f"transform(filter({k}_pat, t -> t.pat IS NULL), t -> named_struct('field', '{k}', 'low', t.low))")
+              for k in (*KINDS, "free")]
     return searches.select("_row", F.inline(F.concat(*listed)))
 
 
+def _kinds(field: str) -> F.Column:
+    """The kinds of name that a term of ``field`` may be in; a free term an artist's or a track's."""
+    free = F.array(F.lit("artist"), F.lit("track"))
+    return F.when(F.col(field) == "free", free).otherwise(F.array(F.col(field)))
+
+
 def matching_names(spark: SparkSession, path: str, values: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
     """(kind, low, n, name): for each distinct (kind, low) of ``values`` that can be looked
     up, the number of names that contain it and each of them (one row with a null name
@@ -215,23 +220,25 @@ class HistoryIndex:
         # those that can match
         s = parsed.filter("error IS NULL AND (spans IS NULL OR size(spans) > 0)")
         terms = _terms(s)
-        known = matching_names(self.spark, self.path, terms.filter("pat IS NULL"), self.max_names)
-        known = materialize(known, "names")
+        asked = terms.select("field", "low").distinct().withColumn("kind", F.explode(_kinds("field")))
+        asked = materialize(asked, "asked-values")
+        known = materialize(matching_names(self.spark, self.path, asked, self.max_names), "names")
         # a term can drive if every kind of name that it may be in is known
         sizes = known.select("kind", "low", "n").distinct()
-        found = terms.join(sizes, ["kind", "low"], "left").repartition("_row").groupBy("_row", "term", "low").agg(
-            F.sum("n").alias("n"), F.bool_and((F.col("n").isNotNull()) & F.col("pat").isNull()).alias("whole"))
-        drivers = found.filter("whole").groupBy("_row").agg(F.min(F.struct("n", "term", "low")).alias("d"))
-        drivers = drivers.select("_row", F.col("d.n").alias("_n"), F.col("d.term").alias("_term"), F.col("d.low").alias("_low"))
+        can = (asked.join(sizes, ["kind", "low"], "left").groupBy("field", "low")
+               .agg(F.sum("n").alias("n"), F.bool_and(F.col("n").isNotNull()).alias("whole")).filter("whole").drop("whole"))
+        drivers = (terms.join(can, ["field", "low"]).repartition("_row").groupBy("_row")
+                   .agg(F.min(F.struct("n", "field", "low")).alias("d"))
+                   .select("_row", F.col("d.n").alias("_n"), F.col("d.field").alias("_kind"), F.col("d.low").alias("_low")))
         s = s.join(drivers, "_row", "left").filter("_n IS NULL OR _n > 0")
         # how a search meets its plays: by name or not, in all days, some months or few days
         days = F.expr("aggregate(spans, 0, (n, s) -> n + datediff(s.last, s.first) + 1)")
         period = F.when(days <= FEW_DAYS, "day").when(F.col("spans").isNotNull(), "month")
-        s = materialize(s.withColumn("_kind", F.substring_index("_term", "-", 1)).withColumn("_period", period), "driven-searches")
+        s = materialize(s.withColumn("_period", period), "driven-searches")
         # the values that drive, and the names that hold them
         lows = s.filter("_low IS NOT NULL").select("_kind", "_period", F.col("_low").alias("low")).distinct()
-        holds = F.expr("_kind = kind OR _kind = 'free' AND kind IN ('artist', 'track')")
-        names = materialize(lows.join(known.filter("name IS NOT NULL"), "low").filter(holds).select(
+        lows = lows.withColumn("kind", F.explode(_kinds("_kind")))
+        names = materialize(lows.join(known.filter("name IS NOT NULL"), ["kind", "low"]).select(
             "_kind", "_period", "kind", F.col("low").alias("_low"), "name"), "driving-names")
         # at most fifteen shapes, and for each two rows for a day of the table
         steps = F.expr("transform(spans, s -> array(named_struct('d', s.first, 'n', 1), named_struct('d', s.last + 1, 'n', -1)))")
